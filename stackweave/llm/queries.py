@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, secret_scan
+from . import chat_format, decontamination, exact_dedup, packing, quality, secret_scan
 from .common import table
 
 
@@ -25,10 +25,34 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(docs)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenizer_files() -> tuple[str, str]:
+    """One vocabulary in the two forms that the tokenizer libraries read."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_files())
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_quality(docs, table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_secret_scan": op2_secret_scan,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_decontamination": op5_decontamination,
+    "op9_packing": op9_packing,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -44,6 +68,19 @@ prefixes as (select distinct unnest(list_transform(range(1, len(ds)), lambda k:
 heads as (select min(conv_id) as conv_id, count(*) as copies, max(n) as n_turns, any_value(rendered) as rendered, array_to_string(ds, ',') as p
   from rendered group by ds)
 select conv_id, cast(n_turns as integer) as n_turns, copies, rendered from heads anti join prefixes using (p)
+""",
+    "op5_decontamination": r"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select distinct cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+k as (select item_id, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') as win, least(len(ws), 10) as n
+  from b, lateral (select unnest(range(1, greatest(len(ws) - 9, 1) + 1)) as i) where len(ws) > 0),
+lens as (select distinct n from k),
+d as (select doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') as win from w, lens, lateral (select unnest(range(1, len(ws) - n + 2)) as i)),
+m as (select distinct doc_id, i, n, item_id from d join k using (win, n)),
+hits as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from m) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as list from (select distinct doc_id, item_id from m) group by doc_id)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from w left join hits using (doc_id) left join items using (doc_id)
 """,
     "op4_exact_dedup": r"""
 with n as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents),
