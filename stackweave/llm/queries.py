@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, exact_dedup, packing, quality, secret_scan
+from . import chat_format, decontamination, exact_dedup, html_text, packing, quality, secret_scan, warc
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(docs).drop("source")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.exact_groups(docs)
@@ -30,6 +34,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def tokenizer_files() -> tuple[str, str]:
     """One vocabulary in the two forms that the tokenizer libraries read."""
     import public_tokenizers
@@ -49,8 +57,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_secret_scan": op2_secret_scan,
+    "op3_html_text": op3_html_text,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontamination": op5_decontamination,
+    "op7_warc": op7_warc,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
