@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, exact_dedup, html_text, packing, quality, secret_scan, warc
+from . import chat_format, decontamination, exact_dedup, html_text, near_dedup, packing, quality, secret_scan, warc
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def tokenizer_files() -> tuple[str, str]:
     """One vocabulary in the two forms that the tokenizer libraries read."""
     import public_tokenizers
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontamination": op5_decontamination,
     "op7_warc": op7_warc,
+    "op8_near_dedup": op8_near_dedup,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
