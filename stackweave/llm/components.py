@@ -15,9 +15,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         heard = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("heard"))
         spread = labels.join(heard, labels["id"] == heard["a"]).select("id", F.col("component").alias("before"), F.least("component", "heard").alias("near"))
+        spread = materialize(spread, "spread")
         target = spread.select(F.col("id").alias("target"), F.col("near").alias("far"))
-        moved = spread.join(target, spread["near"] == target["target"]).select("id", "before", F.least("near", "far").alias("component"))
-        moved = materialize(moved, "labels")
+        moved = materialize(spread.join(target, spread["near"] == target["target"]).select("id", "before", F.least("near", "far").alias("component")), "labels")
         labels = moved.select("id", "component")
         if moved.filter("before != component").isEmpty():
             return labels
