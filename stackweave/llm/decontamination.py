@@ -30,23 +30,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import materialize, py_ascii_lower, slices
+from .common import materialize, slices
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")  # fixed value: the words of a lower-cased text
+# Fixed value: the words of a lower-cased text, [^\x00-\x2F\x3A-\x60\x7B-\x7F]+, over its UTF-8 bytes.
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
 BLOCK_WORDS = 4_000_000
 SHARD_CHARS = 2_000_000
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall(py_ascii_lower(text)) if text else []
+def words(text: str | None) -> list[bytes]:
+    return WORD.findall(text.encode().lower()) if text else []
 
 
 class Windows:
     """The distinct windows of a block of items, with the items that hold each."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
-        self.terms: dict[str, int] = {}
+        self.terms: dict[bytes, int] = {}
         held: dict[tuple[int, ...], set[str]] = defaultdict(set)
         for item, text in items:
             ids = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
@@ -56,7 +57,7 @@ class Windows:
         self.items = [sorted(x) for x in held.values()]
 
 
-def postings(terms: dict[str, int], texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+def postings(terms: dict[bytes, int], texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
     """Word counts of the texts, and (term, row, position) sorted by them."""
     counts, ids = [], []
     for text in texts:

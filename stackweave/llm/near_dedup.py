@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import materialize, py_ascii_lower, slices
+from .common import materialize, slices
 from .components import connected_components
 
 SHINGLE = 5
@@ -63,8 +63,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """The sorted distinct shingle hashes of a whole text. bytes.split parts at space and 09-0D."""
-    words = py_ascii_lower(text).encode().split() if text else []
+    """The sorted distinct shingle hashes of a whole text. Of bytes, lower() changes A-Z and split() parts at space and 09-0D only."""
+    words = text.encode().lower().split() if text else []
     if not words:
         return np.empty(0, dtype=np.uint64)
     w = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
