@@ -1,4 +1,5 @@
-"""Connected components of an edge table, distributed: smallest labels spread along edges and jump to their label's label."""
+"""Connected components of an edge table, distributed, by contraction: every node takes its smallest neighbour's label,
+labels jump to their label's label, and only the edges between different labels go on to the next round."""
 
 from __future__ import annotations
 
@@ -10,15 +11,22 @@ from .common import materialize
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (a, b) of longs -> (id, component): the smallest id that is reachable. Nodes without edges don't appear."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("component")), "labels")
+    live = materialize(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    known = None
     for _ in range(most_rounds):
-        heard = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("heard"))
-        spread = labels.join(heard, labels["id"] == heard["a"]).select("id", F.col("component").alias("before"), F.least("component", "heard").alias("near"))
-        spread = materialize(spread, "spread")
-        target = spread.select(F.col("id").alias("target"), F.col("near").alias("far"))
-        moved = materialize(spread.join(target, spread["near"] == target["target"]).select("id", "before", F.least("near", "far").alias("component")), "labels")
-        labels = moved.select("id", "component")
-        if moved.filter("before != component").isEmpty():
-            return labels
+        ends = live.select(F.col("a").alias("node"), F.col("b").alias("other")).union(live.select("b", "a"))
+        near = materialize(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")), "near")
+        far = near.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        labels = materialize(near.join(far, "label").select("node", F.col("far").alias("label")), "labels")
+        if known is None:
+            known = labels.select(F.col("node").alias("id"), F.col("label").alias("component"))
+        else:
+            moved = known.join(labels, known["component"] == labels["node"], "left")
+            known = materialize(moved.select("id", F.coalesce("label", "component").alias("component")), "components")
+        of_a = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
+        of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
+        across = live.join(of_a, "a").join(of_b, "b").filter("label_a != label_b")
+        live = materialize(across.select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct(), "edges")
+        if live.isEmpty():
+            return known
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

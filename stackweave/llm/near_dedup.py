@@ -147,14 +147,19 @@ def neighbours(place: np.ndarray, ids: np.ndarray, check: np.ndarray) -> tuple[n
     sizes = np.diff(np.append(starts, len(region)))
     size = np.repeat(sizes, sizes)
     a, b = [], []
+    chained = np.zeros(max(len(place) - 1, 0), dtype=bool)  # rows that are joined with the next already
     for apart in (1, 2):
         if len(place) <= apart:
             break
         levels = common_levels(place[apart:] ^ place[:-apart])
         near = np.flatnonzero((levels >= DEPTH) | ((levels == DEPTH - 1) & (size[apart:] <= SPARSE)))
-        agree = (check[near] == check[near + apart]).sum(axis=1) >= CHECK_LEAST
-        a.append(ids[near[agree]])
-        b.append(ids[near[agree] + apart])
+        near = near[(check[near] == check[near + apart]).sum(axis=1) >= CHECK_LEAST]
+        if apart == 1:
+            chained[near] = True
+        else:
+            near = near[~(chained[near] & chained[near + 1])]
+        a.append(ids[near])
+        b.append(ids[near + apart])
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
