@@ -50,3 +50,29 @@ def weighted_mean_std(df: DataFrame, value: str, weight: str, by: list[str], lea
     w = F.greatest(F.col(weight), F.lit(least))
     m = F.sum(w * F.col(value)) / F.sum(w)
     return df.groupBy(*by).agg(m.alias("w_mean"), F.sqrt(F.greatest(F.sum(w * F.col(value) ** 2) / F.sum(w) - m * m, F.lit(0.0))).alias("w_std"))
+
+
+def line_fit(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """Least-squares line of y over x and their correlation, in one pass."""
+    return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("r_value"))
+
+
+def parabola_fit(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """Least-squares c0 + c1 x + c2 x^2 from power sums, aggregated in one pass and solved by determinants.
+
+    Rows with a null in x or y don't count; with fewer than three different x the coefficients are null."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    powers = [F.lit(1.0), a, a * a, a * a * a, a * a * a * a]
+    sums = [*(F.sum(p).alias(f"s{k}") for k, p in enumerate(powers)), *(F.sum(powers[k] * b).alias(f"t{k}") for k in range(3))]
+    s = df.filter(a.isNotNull() & b.isNotNull()).groupBy(*by).agg(*sums, F.count_distinct(a).alias("different"))
+    s0, s1, s2, s3, s4, t0, t1, t2 = (F.col(c) for c in ("s0", "s1", "s2", "s3", "s4", "t0", "t1", "t2"))
+    det = F.when(F.col("different") > 2, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2))
+    c0 = t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)
+    c1 = s0 * (t1 * s4 - t2 * s3) - t0 * (s1 * s4 - s2 * s3) + s2 * (s1 * t2 - s2 * t1)
+    c2 = s0 * (s2 * t2 - s3 * t1) - s1 * (s1 * t2 - s2 * t1) + t0 * (s1 * s3 - s2 * s2)
+    return s.select(*by, (c0 / det).alias("c0"), (c1 / det).alias("c1"), (c2 / det).alias("c2"))
+
+
+def sample_rows(df: DataFrame, key: str, k: int) -> DataFrame:
+    """k rows in the order of their keys' digests: the same sample at any partitioning."""
+    return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(k)

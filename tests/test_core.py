@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stackweave.functions import numeric as num
 from stackweave.operators import frames, stats
+from stackweave.plans import align_queries  # noqa: F401  (adds its queries)
 from stackweave.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -16,7 +17,7 @@ def rows(df):
     return sorted(tuple(one(x) for x in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["ex01_project", "fn_mod", "ag03_project_frames", "ag10_histogram", "ag14_radial", "jn04_auto", "jn07_lookup", "st02_quiet"])
+@pytest.mark.parametrize("name", ["ex01_project", "fn_mod", "ag03_project_frames", "ag10_histogram", "ag14_radial", "jn04_auto", "jn07_lookup", "st02_quiet", "wn06_convolve", "ar11_bilinear", "sp04_masked_shift", "sp16_ring_correlation", "sp26_parabola"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for t in ("lineitem", "customer", "embeddings", "events", "documents", "labels"):
