@@ -61,3 +61,43 @@ def pair_shifts(pairs: DataFrame, ny: int, nx: int) -> DataFrame:
 
     kind = pairs.schema["stack_id"].dataType.simpleString()
     return pairs.mapInArrow(run, f"stack_id {kind}, i int, j int, dy int, dx int, peaksig double")
+
+
+def _moved(frames: DataFrame, ny: int, nx: int, move) -> DataFrame:
+    """``move`` takes frames (n, ny, nx) and their shifts ty and tx (n, 1, 1); a null shift counts as 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            px = np.array(batch.column("px").to_pylist(), dtype=np.float64).reshape(-1, ny, nx)
+            ty, tx = (batch.column(c).to_numpy(zero_copy_only=False)[:, None, None] for c in ("ty", "tx"))
+            made = pa.array(list(move(px, ty, tx).reshape(len(px), -1)), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("stack_id"), batch.column("frame"), made], names=["stack_id", "frame", "px"])
+
+    shift = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("ty", "tx")]
+    keys = ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in ("stack_id", "frame"))
+    return frames.select("stack_id", "frame", *shift, "px").mapInArrow(run, f"{keys}, px array<double>")
+
+
+def phase_shift(frames: DataFrame, ny: int, nx: int) -> DataFrame:
+    """frames(stack_id, frame, ty, tx, px) moved by (ty, tx) pixels, wrapped around, by a phase ramp on their transform."""
+    ky, kx = np.fft.fftfreq(ny)[:, None], np.fft.fftfreq(nx)[None, :]
+    return _moved(frames, ny, nx, lambda px, ty, tx: np.fft.ifft2(np.fft.fft2(px) * np.exp(-2j * np.pi * (ky * ty + kx * tx))).real)
+
+
+def lanczos_shift(frames: DataFrame, ny: int, nx: int, taps: int = 3, lobes: int | None = None) -> DataFrame:
+    """frames(stack_id, frame, ty, tx, px) moved by less than a pixel with a separable Lanczos kernel of so many taps
+    (odd) that sum to 1. The window's first zero is at half the taps, and the kernel has ``lobes`` zeros up to there,
+    (taps + 1) / 2 unless given. Beyond its edges a frame is mirrored."""
+    half, lobes = taps // 2, lobes or (taps + 1) // 2
+
+    def along(px: np.ndarray, shift: np.ndarray, axis: int) -> np.ndarray:
+        u = (np.arange(-half, half + 1) - shift) * 2.0 / taps  # (n, 1, taps)
+        w = np.sinc(lobes * u) * np.sinc(u)
+        w /= w.sum(axis=2, keepdims=True)
+        n = px.shape[axis]
+        wide = np.pad(px, [(half, half) if a == axis else (0, 0) for a in range(3)], mode="symmetric")
+        return sum(w[:, :, k + half, None] * np.take(wide, np.arange(half - k, half - k + n), axis=axis) for k in range(-half, half + 1))
+
+    return _moved(frames, ny, nx, lambda px, ty, tx: along(along(px, ty, 1), tx, 2))
