@@ -1,5 +1,9 @@
-"""Connected components of an edge table, distributed, by contraction: every node takes its smallest neighbour's label,
-labels jump to their label's label, and only the edges between different labels go on to the next round."""
+"""Connected components of an edge table, distributed, by contraction: every node points to its smallest neighbour or is a
+root if it has no smaller one, pointers jump to their roots, and only the edges between different roots go on.
+
+Two rounds at least halve the nodes: a root that nothing points to has a smaller root as neighbour in the next round, and
+the other roots are no more than the nodes that pointed. Jumps double the way, so a round takes the logarithm of its
+longest path of pointers, and nothing bounds the size or shape of a component."""
 
 from __future__ import annotations
 
@@ -9,15 +13,24 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def rooted(near: DataFrame) -> DataFrame:
+    """near (node, label), labels no larger than their nodes and nodes themselves -> each node with its root."""
+    while True:
+        far = near.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        jumped = materialize(near.join(far, "label").select("node", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved")), "labels")
+        near = jumped.select("node", "label")
+        if jumped.filter("moved").isEmpty():
+            return near
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of longs -> (id, component): the smallest id that is reachable. Nodes without edges don't appear."""
     live = materialize(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     known = None
-    for _ in range(most_rounds):
+    while True:
         ends = live.select(F.col("a").alias("node"), F.col("b").alias("other")).union(live.select("b", "a"))
         near = materialize(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")), "near")
-        far = near.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        labels = materialize(near.join(far, "label").select("node", F.col("far").alias("label")), "labels")
+        labels = rooted(near)
         if known is None:
             known = labels.select(F.col("node").alias("id"), F.col("label").alias("component"))
         else:
@@ -29,4 +42,3 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         live = materialize(across.select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct(), "edges")
         if live.isEmpty():
             return known
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
