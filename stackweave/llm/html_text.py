@@ -2,8 +2,9 @@
 
 Each page becomes a tree of nodes. For every node the characters for each tag of its subtree, adjusted for what of them is
 link text, give its density; a node's density sum adds those of its children. The subtree with the largest sum holds the
-article; the smallest density on the path from it to the body is the threshold, and every part of the page whose density
-reaches it gives its own largest-sum subtree. Elements that are never part of an article (scripts, menus, forms, notices,
+article; an article element that holds it, or that lies in it and has more than half of its sum, is taken whole. Otherwise
+the smallest density on the path from it to the body is the threshold, and every part of the page whose density reaches it
+gives its own largest-sum subtree. Elements that are never part of an article (scripts, menus, forms, notices,
 adverts, comments) don't enter the tree.
 
 Defined results: null, empty and tagless pages (plain text counts as the body's own text); unclosed and stray tags are
@@ -176,7 +177,7 @@ class Page:
         while k >= 0:
             threshold = min(threshold, density[k])
             k = self.parents[k]
-        whole = self.article_of(top)
+        whole = self.article_of(top, sums)
         if whole >= 0:
             roots = {whole}
         else:
@@ -186,15 +187,20 @@ class Page:
             inside[k] = k in roots or k > 0 and inside[self.parents[k]]
         return inside
 
-    def article_of(self, k: int) -> int:
-        """The article element that holds node k, or the only one that it holds; -1 if there is none."""
+    def article_of(self, k: int, sums: list[float]) -> int:
+        """The article element that holds node k, or the one in its subtree with most of its density sum; -1 if there is none."""
         up = k
         while up >= 0:
             if self.tags[up] == "article":
                 return up
             up = self.parents[up]
-        below = [j for j, tag in enumerate(self.tags) if tag == "article"]
-        return below[0] if len(below) == 1 else -1
+        below = [False] * len(self.tags)
+        found = -1
+        for j in range(k, len(self.tags)):
+            below[j] = j == k or j > k and below[self.parents[j]]
+            if below[j] and self.tags[j] == "article" and 2 * sums[j] > max(sums[k], 2 * sums[found] if found >= 0 else 0.0):
+                found = j
+        return found
 
     def main_text(self) -> str:
         inside = self.chosen()

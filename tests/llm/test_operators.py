@@ -165,6 +165,16 @@ def test_html():
     assert html_text.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_of_pages_without_an_article_or_with_a_small_one():
+    main = "<div>" + "".join(f"<p>Sentence {k} of the long main text goes on for quite a while here.</p>" for k in range(8)) + "</div>"
+    text = html_text.main_text(main)
+    assert text.startswith("Sentence 0") and text.endswith("here.") and "Sentence 7" in text
+    for card in ("<article><a href=x>Teaser</a></article>", "<article><p>Short card.</p></article>"):
+        for page in (main + card, card + main, f"<div>{card}{main}</div>"):
+            assert text in html_text.main_text(page)
+    assert "Teaser" not in html_text.main_text(main + "<article><a href=x>Teaser</a></article>")
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "http://b.example.org/x y", "<p>é</p>"), (1, "http://a.example.org/", "<p>é</p>"), (2, None, None), (4, "HTTP://A.example.org:80/q?b", ""), (5, "u", "other"), (5, "u", "other")]
     got = sorted(warc.archive_and_read(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect())
