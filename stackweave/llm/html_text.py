@@ -4,8 +4,10 @@ Each page becomes a tree of nodes. For every node the characters for each tag of
 link text, give its density; a node's density sum adds those of its children. The subtree with the largest sum holds the
 article; an article element that holds it, or that lies in it and has more than half of its sum, is taken whole. Otherwise
 the smallest density on the path from it to the body is the threshold, and every part of the page whose density reaches it
-gives its own largest-sum subtree. Elements that are never part of an article (scripts, menus, forms, notices,
-adverts, comments) don't enter the tree.
+gives its own largest-sum subtree. Scripts and the like don't enter the tree. Elements that seem no part of an article
+(menus, forms, notices, adverts, comments: by their names, or by a class, id or role all of whose words say so) are closed
+like others, but then left out with all they hold, except those that hold the page's largest article or more than half of
+its text outside links.
 
 Defined results: null, empty and tagless pages (plain text counts as the body's own text); unclosed and stray tags are
 closed or dropped as browsers do; a page with no article text gives an empty string; repeated rows come back once each; an
@@ -33,41 +35,52 @@ ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*
 
 # Element names by what they mean for the text of a page.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
-DROPPED = {"nav", "footer", "aside", "form", "button", "select", "input", "svg", "canvas", "object", "dialog", "menu", "head", "fieldset", "label"}
+DROPPED = {"nav", "footer", "aside", "form", "button", "select", "input", "svg", "canvas", "object", "dialog", "menu", "fieldset", "label"}
+CONTROLS = {"button", "select", "svg", "canvas", "object", "label"}  # no amount of text makes these an article
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-FENCES = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "html", "blockquote"}
+FENCES = {"ul", "ol", "menu", "dl", "table", "article", "section", "div", "body", "html", "blockquote"}
 # Words of class, id and role that mark what isn't the article.
 MARKS = {
     "ad", "ads", "advert", "advertisement", "advertising", "adverts", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "dialog", "discussion", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
 }
-KEPT = {"html", "body", "main", "article"}
+TALK = {"comment", "comments", "discussion", "disqus", "replies", "respond"}
+PLACES = {"area", "bar", "block", "bottom", "box", "buttons", "container", "item", "items", "links", "list", "main", "page", "section", "site", "slot", "top", "unit", "wrapper"}  # say nothing beside a mark
+KEPT = {"html", "head", "body", "main", "article"}
 
 
-def left_out(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element and all in it is no part of an article."""
-    if tag in KEPT:
-        return False
-    if tag in DROPPED or tag == "header" and not in_article:
-        return True
-    if not attributes:
-        return False
+def words_of(attributes: str, in_article: bool) -> str:
+    """"talk", "words" or "hidden" if a whole class token, id or role says that an element is no part of an article, else ""."""
+    said = ""
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        words = set(re.split(r"[^a-z]+", value))
-        if words & MARKS or "header" in words and not in_article:
-            return True
-    return False
+            said = said or "hidden"
+        for token in value.split():
+            words = {w for w in re.split(r"[^a-z]+", token) if w} - PLACES
+            if words & TALK and words <= MARKS:
+                return "talk"
+            if words and words <= MARKS | ({"header"} if not in_article else set()):
+                said = "words"
+    return said
+
+
+def mark_of(tag: str, attributes: str, in_article: bool) -> str:
+    """What says that an element and all in it is no part of an article: "name" or what ``words_of`` gives; "" if nothing."""
+    if tag in KEPT:
+        return ""
+    if tag in DROPPED or tag == "header" and not in_article:
+        return "name"
+    return words_of(attributes, in_article) if attributes else ""
 
 
 class Page:
     """The nodes of a page in document order, each with its parent, and the pieces of text with their nodes."""
 
     def __init__(self, source: str):
-        self.tags, self.parents = ["body"], [-1]
+        self.tags, self.parents, self.marks = ["body"], [-1], [""]
+        self.odd: set[int] = set()  # article elements that a mark names, like a reader's comment
         self.pieces: list[tuple[int, str]] = []  # a piece of "" parts two blocks
         self.open, self.inside = [0], 0
         at = 0
@@ -83,12 +96,10 @@ class Page:
             elif name in RAW:
                 close = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
                 at = close.end() if close else len(source)
-            elif name not in VOID and left_out(name, m[3] or m[6] or "", self.inside > 0):
-                at = skipped(source, name, at)
-                self.pieces.append((self.open[-1], ""))
             else:
-                self.start(name)
+                self.start(name, m[3] or m[6] or "")
         self.text(UNENDED.sub("", source[at:]))
+        self.leave_out()
 
     def text(self, raw: str) -> None:
         if raw:
@@ -98,10 +109,11 @@ class Page:
         if self.tags[self.open.pop()] == "article":
             self.inside -= 1
 
-    def start(self, name: str) -> None:
-        if name in ("html", "body"):
+    def start(self, name: str, attributes: str) -> None:
+        if name in ("html", "head", "body"):
             return
-        if name in BLOCKS or name == "br":
+        mark = "" if name in VOID else mark_of(name, attributes, self.inside > 0)
+        if name in BLOCKS or name == "br" or mark:
             self.pieces.append((self.open[-1], ""))
         if name in VOID:
             return
@@ -118,7 +130,10 @@ class Page:
                 break
         self.parents.append(self.open[-1])
         self.tags.append(name)
+        self.marks.append(mark)
         self.open.append(len(self.tags) - 1)
+        if name == "article" and words_of(attributes, True):
+            self.odd.add(self.open[-1])
         self.inside += name == "article"
 
     def end(self, name: str) -> None:
@@ -129,9 +144,50 @@ class Page:
                 while len(self.open) > depth:
                     self.pop()
                 return
-            if name not in BLOCKS and self.tags[self.open[depth]] in BLOCKS:
+            if name not in BLOCKS and name not in DROPPED and self.tags[self.open[depth]] in BLOCKS:
                 return
 
+    def leave_out(self) -> None:
+        """Takes the marked elements out of the tree, without those that hold the largest article or most of the text.
+
+        Text is counted outside links. A menu's or form's amount of text counts only where no article lies outside all
+        marked elements, readers' comments only where hardly any text does."""
+        n = len(self.tags)
+        if not any(self.marks):
+            return
+        chars, in_link, marked = [0] * n, [False] * n, [False] * n
+        for k in range(1, n):
+            in_link[k] = self.tags[k] == "a" or in_link[self.parents[k]]
+            marked[k] = bool(self.marks[k]) or marked[self.parents[k]]
+        for k, piece in self.pieces:
+            chars[k] += 0 if in_link[k] else len("".join(piece.split()))
+        spare = sum(c for c, m in zip(chars, marked) if not m)
+        for k in range(n - 1, 0, -1):
+            chars[self.parents[k]] += chars[k]
+        articles = [k for k in range(n) if self.tags[k] == "article" and k not in self.odd and chars[k]]
+        free = any(not marked[k] for k in articles)
+        holders, k = set(), max(articles, key=chars.__getitem__, default=0)
+        while k > 0:
+            holders.add(k)
+            k = self.parents[k]
+
+        def stays(k: int) -> bool:
+            mark = self.marks[k]
+            if not mark or k in holders:
+                return True
+            if 2 * chars[k] <= chars[0] or self.tags[k] in CONTROLS:
+                return False
+            return mark == "words" or not free and (mark != "talk" or 10 * spare < chars[k])
+
+        new, at = [-1] * n, 0
+        for k in range(n):
+            if k == 0 or new[self.parents[k]] >= 0 and stays(k):
+                new[k], at = at, at + 1
+        left = [k for k in range(n) if new[k] >= 0]
+        self.parents = [new[self.parents[k]] if k else -1 for k in left]
+        self.tags, self.marks = [self.tags[k] for k in left], [self.marks[k] for k in left]
+        self.pieces = [(new[k], piece) for k, piece in self.pieces if new[k] >= 0]
+
     def densities(self) -> tuple[list[float], list[float]]:
         """Composite density and density sum of every node."""
         n = len(self.tags)
@@ -182,11 +238,25 @@ class Page:
             roots = {whole}
         else:
             roots = {best[k] for k in range(n) if density[k] >= threshold and sums[best[k]] > 0}
-        inside = [False] * n
+        above, k = set(), top
+        while k >= 0:
+            above.add(k)
+            k = self.parents[k]
+        inside, under = [False] * n, [False] * n
         for k in range(n):
-            inside[k] = k in roots or k > 0 and inside[self.parents[k]]
+            p = self.parents[k]
+            under[k] = k == (whole if whole >= 0 else top) or k > 0 and under[p]
+            # a marked element that is still here gives text only if it holds the chosen node or lies in what is chosen
+            inside[k] = (k in roots or k > 0 and inside[p]) and (not self.marks[k] or k in above or under[k])
+            if self.marks[k] and not (k in above or under[k]):
+                roots = roots - {j for j in roots if self.holds(k, j)}
         return inside
 
+    def holds(self, k: int, j: int) -> bool:
+        while j > k:
+            j = self.parents[j]
+        return j == k
+
     def article_of(self, k: int, sums: list[float]) -> int:
         """The article element that holds node k, or the one in its subtree with most of its density sum; -1 if there is none."""
         up = k
@@ -213,16 +283,6 @@ class Page:
         return " ".join(filter(None, (" ".join("".join(b).split()) for b in blocks if b)))
 
 
-def skipped(source: str, name: str, at: int) -> int:
-    """The end of an element that began before ``at``; elements of its name may lie in it."""
-    depth, tag = 1, re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I)
-    for m in tag.finditer(source, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return len(source) if name not in ("p", "li", "label", "input") else at
-
-
 def main_text(source: str | None) -> str:
     return Page(source).main_text() if source else ""
 

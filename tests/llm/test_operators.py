@@ -175,6 +175,20 @@ def test_html_of_pages_without_an_article_or_with_a_small_one():
     assert "Teaser" not in html_text.main_text(main + "<article><a href=x>Teaser</a></article>")
 
 
+def test_html_keeps_marked_wrappers_of_the_text():
+    body = "<h1>Title</h1><p>The first part of the text is long enough.</p><p>The second part is as long as the first.</p>"
+    text = "Title The first part of the text is long enough. The second part is as long as the first."
+    nav = "<nav><a href=x>menu</a></nav>"
+    for name in ("content with-sidebar", "no-ads", "social-science", "search-result-body", "widget"):
+        assert html_text.main_text(f"{nav}<div class='{name}'><article>{body}</article></div><p>x</p>") == text
+        assert html_text.main_text(f"{nav}<div class='{name}'>{body}</div>") == text
+    for opened in ("<nav><a href=x>menu</a>", "<aside>note", "<div class=ad>buy"):
+        assert html_text.main_text(f"<div>{opened}</div><article>{body}</article>") == text
+        assert html_text.main_text(f"{opened}<article>{body}</article>") == text
+    assert html_text.main_text(f"<article>{body}<div class='ad-slot'><p>buy</p></div></article><div id=comments><article class=comment><p>{text * 3}</p></article></div>") == text
+    assert html_text.main_text(f"<div>{body}</div><aside><article><p>Card text.</p></article></aside>") == text
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "http://b.example.org/x y", "<p>é</p>"), (1, "http://a.example.org/", "<p>é</p>"), (2, None, None), (4, "HTTP://A.example.org:80/q?b", ""), (5, "u", "other"), (5, "u", "other")]
     got = sorted(warc.archive_and_read(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect())
