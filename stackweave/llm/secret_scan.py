@@ -1,9 +1,10 @@
 """Secret scan with corpus-wide ownership frequency (native: DataFrame functions only).
 
 Base spans come from three patterns. The method then looks at candidates in the whole corpus: the hash of each candidate
-value is counted over distinct repositories and owners. A value that many owners hold is a widely copied example; one
-that a single owner holds and that looks live (long, mixed, varied) is owner-specific. Bare tokens, which no base pattern
-names, become spans of kind "token" where they are owner-specific and live-looking; base spans always stay.
+value is counted over distinct repositories and owners. A value that many owners or many repositories hold is a widely
+copied example; one that a single owner holds in few repositories and that looks live (long, mixed, varied) is
+owner-specific. Bare tokens, which no base pattern names, become spans of kind "token" where they are owner-specific and
+live-looking; base spans always stay. ``counts`` has for each of the spans, in their order, repositories:owners.
 
 Counting goes in steps (hash, owner, repository), then (hash, owner), then hash, each with a partial aggregate, so a
 value in a third of all rows is merged before it is dealt out. Rows find their verdicts by (hash, salt).
@@ -25,10 +26,11 @@ ASSIGN_VALUE = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a shorter run never holds a longer match
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "token")
-# A bare token: 20 and more of these characters in a row, with a digit among its first 20.
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,19}[0-9])[A-Za-z0-9+/_-]{20,}"
+# A bare token: a whole run of 20 and more of these characters, with a digit anywhere.
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}"
 
 EXAMPLE_OWNERS = 3  # a value of as many owners is a copied example
+EXAMPLE_REPOS = 10  # and so is one in as many repositories, even of one owner
 SALTS = 16
 
 
@@ -77,8 +79,8 @@ def live_looking(value: Column) -> Column:
 
 
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
-    """Columns of ``docs`` without the text; n_assign, n_access, n_hex, base_sha256, spans; n_token, n_example, n_live."""
-    made = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_token", "n_example", "n_live"]
+    """Columns of ``docs`` without the text; n_assign, n_access, n_hex, base_sha256, spans; n_token, n_example, n_live, counts."""
+    made = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_token", "n_example", "n_live", "counts"]
     rest = [c for c in docs.columns if c not in (text_col, *made)]
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(*rest, base_spans(text).alias("__base"), located(text, TOKEN, "token").alias("__bare"))
@@ -96,8 +98,9 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     held = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.call_function("getbit", F.col("mask"), s) == 1)
     verdicts = by_hash.select("hash", "owners", "repos", F.explode(held).alias("salt"))
     judged = each.select("__row", "start", "end", "rank", "live", "hash", "salt").join(verdicts, ["hash", "salt"])
-    example, own = F.col("owners") >= EXAMPLE_OWNERS, (F.col("owners") == 1) & F.col("live")
-    stays = judged.select("__row", F.struct("start", "end", "rank").alias("s"), example.alias("example"), own.alias("own")).filter((F.col("s.rank") < 3) | F.col("own"))
+    example = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repos") >= EXAMPLE_REPOS)
+    own = (F.col("owners") == 1) & ~example & F.col("live")
+    stays = judged.select("__row", F.struct("start", "end", "rank", "repos", "owners").alias("s"), example.alias("example"), own.alias("own")).filter((F.col("s.rank") < 3) | F.col("own"))
     n = lambda cond: F.count_if(cond)
     of_row = stays.groupBy("__row").agg(
         F.array_sort(F.collect_list("s"), span_order).alias("all"),
@@ -106,7 +109,8 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         n(F.col("own")).alias("n_live"),
     )
     out = rows.select(*rest, "__row").join(of_row, "__row", "left")
-    spans = F.coalesce(F.col("all"), F.array().cast("array<struct<start:int,end:int,rank:int>>"))
+    spans = F.coalesce(F.col("all"), F.array().cast("array<struct<start:int,end:int,rank:int,repos:bigint,owners:bigint>>"))
+    counts = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["repos"], s["owners"])), ",").alias("counts")
     count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     base = F.sha2(listed(F.filter(spans, lambda s: s["rank"] < 3)), 256)
-    return out.select(*rest, count("n_assign"), count("n_access"), count("n_hex"), base.alias("base_sha256"), listed(spans).alias("spans"), count("n_token"), count("n_example"), count("n_live"))
+    return out.select(*rest, count("n_assign"), count("n_access"), count("n_hex"), base.alias("base_sha256"), listed(spans).alias("spans"), count("n_token"), count("n_example"), count("n_live"), counts)

@@ -151,6 +151,19 @@ def test_secret_spans(spark):
     assert {r.n_token for r in secret_scan.scan_secrets(copied).collect()} == {0}
 
 
+def test_secret_tokens_with_late_digits_and_many_repositories(spark):
+    late, sample = "sk_live_aBcDeFgHiJkLmNoPqRsT7u8", "x7Qm2Lp9Zt4Rk8Wv1Ns6Yb3"
+    texts = [f"bare {late} here", "a-word-without-any-number-in-it", f"{sample} and {late}"] + [f"bare {sample}"] * 30
+    docs = spark.createDataFrame([(k, t, "o") for k, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(docs).collect()}
+    assert (got[0].n_token, got[0].n_live, got[0].spans, got[0].counts) == (1, 1, f"token:5:{5 + len(late)}", "2:1")
+    assert got[1].spans == got[1].counts == ""
+    assert (got[2].n_token, got[2].spans) == (1, f"token:{len(sample) + 5}:{len(sample) + 5 + len(late)}")
+    assert {got[k].n_token for k in range(3, 33)} == {0}
+    named = docs.filter("doc_id > 2").selectExpr("doc_id", f"'password={sample}' as text", "source")
+    assert {(r.n_assign, r.n_example, r.n_live, r.counts) for r in secret_scan.scan_secrets(named).collect()} == {(1, 1, 0, "30:1")}
+
+
 def test_chat_prefixes(spark):
     turns = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, None, None), (4, 0, None, None)]
     got = {r.conv_id: r for r in chat_format.format_chats(spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string")).collect()}
