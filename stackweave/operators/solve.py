@@ -8,53 +8,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..llm.common import materialize
+
 SEGMENT = 256
+OVERLAP = 2  # widths of the widest pair that a segment sees beyond its ends
 
 
-def least_absolute(first: int, i: np.ndarray, j: np.ndarray, shift: np.ndarray, weight: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Shifts t of the frames from ``first`` on, t[first] = 0, that make the weighted sum of |t[j] - t[i] - shift| small.
+def least_absolute(first: int, last: int, i: np.ndarray, j: np.ndarray, shift: np.ndarray, weight: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Steps between the neighbouring frames from ``first`` to ``last`` that make the weighted sum of |t[j] - t[i] - shift| small.
 
-    Reweighted least squares over the steps between neighbouring frames; a step that no pair spans is 0."""
-    n = int(j.max()) - first
-    steps = np.arange(n)
-    spans = ((steps >= (i - first)[:, None]) & (steps < (j - first)[:, None])).astype(np.float64)
+    Reweighted least squares; a step that no pair spans is 0."""
+    n = last - first
+    i, j = i - first, j - first
     w, step = weight, np.zeros(n)
     for _ in range(rounds):
-        normal = spans.T @ (spans * w[:, None])
-        step = np.linalg.solve(normal + np.eye(n) * (1e-12 * np.trace(normal) + 1e-300), spans.T @ (w * shift))
-        w = weight / np.maximum(np.abs(spans @ step - shift), 1e-4)
-    return np.concatenate([[0.0], np.cumsum(step)])
+        # entry (s, u), s <= u, of the normal matrix is the weight of the pairs with i <= s and j > u
+        pairs = np.zeros((n, n))
+        np.add.at(pairs, (i, j - 1), w)
+        upper = np.triu(np.cumsum(np.cumsum(pairs, axis=0)[:, ::-1], axis=1)[:, ::-1])
+        normal = upper + np.triu(upper, 1).T
+        change = np.bincount(i, w * shift, n + 1) - np.bincount(j, w * shift, n + 1)
+        step = np.linalg.solve(normal + np.eye(n) * (1e-12 * np.trace(normal) + 1e-300), np.cumsum(change)[:n])
+        t = np.concatenate([[0.0], np.cumsum(step)])
+        w = weight / np.maximum(np.abs(t[j] - t[i] - shift), 1e-4)
+    spanned = np.cumsum(np.bincount(i, minlength=n + 1) - np.bincount(j, minlength=n + 1))[:n] > 0
+    return np.where(spanned, step, 0.0)
 
 
 def solve_shifts(edges: DataFrame, weight: str | None = None, segment: int = SEGMENT) -> DataFrame:
     """edges(stack_id, i, j, dy, dx), i < j -> stack_id, frame, ty, tx: what moves a frame onto the first of its stack.
 
-    The pairs of one stack are cut by i into segments of so many frames, each solved on its own together with the frames
-    its pairs reach beyond it, so a long stack never meets in one task; segments follow each other at the frame they
-    share. Stacks of up to ``segment`` frames are solved as a whole. Pairs with a null or without positive weight are
-    dropped; frames without a pair have no row unless they lie between others."""
+    The steps between the frames of one stack are cut into segments of so many, so a long stack never meets in one task.
+    A segment is solved from all pairs that touch it or the steps within ``OVERLAP`` widths of the widest pair on both of
+    its sides, of which only its own steps are kept, and stands on the sum of the steps before it. Stacks of up to
+    ``segment`` frames are solved as a whole. Pairs with a null or without positive weight are dropped. There is a row for
+    every frame up to the last that a pair has; where no pair leads from one frame to the next, the step is 0."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    used = edges.select("stack_id", F.expr(f"i div {segment}").alias("part"), "i", "j", F.col("dy").cast("double").alias("dy"), F.col("dx").cast("double").alias("dx"), w.alias("w"))
+    used = edges.select("stack_id", "i", "j", F.col("dy").cast("double").alias("dy"), F.col("dx").cast("double").alias("dx"), w.alias("w"))
+    good = materialize(used.filter("i < j and w > 0 and dy is not null and dx is not null"), "pairs")  # read twice below
     kind = edges.schema["stack_id"].dataType.simpleString()
+    stacks = good.groupBy("stack_id").agg(F.max("j").alias("last"), (F.max(F.col("j") - F.col("i")) * OVERLAP).alias("margin"))
+    from_part = F.greatest(F.expr(f"(i - margin) div {segment}"), F.lit(0))
+    to_part = F.least(F.expr(f"(j - 1 + margin) div {segment}"), F.expr(f"(last - 1) div {segment}"))
+    dealt = good.join(stacks, "stack_id").select("stack_id", "last", F.explode(F.sequence(from_part, to_part)).alias("part"), "i", "j", "dy", "dx", "w")
+    parts = stacks.select("stack_id", "last", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(last - 1) div {segment}"))).alias("part"))
+    none = F.lit(None)
+    dealt = dealt.unionByName(parts.select("stack_id", "last", "part", none.cast("int").alias("i"), none.cast("int").alias("j"), *(none.cast("double").alias(c) for c in ("dy", "dx", "w"))))
 
     def run(key: tuple, pairs: pd.DataFrame) -> pd.DataFrame:
-        first = int(key[1]) * segment
-        i, j, weights = (pairs[c].to_numpy() for c in ("i", "j", "w"))
-        order = np.lexsort((j, i))
-        ty, tx = (least_absolute(first, i[order], j[order], pairs[c].to_numpy()[order], weights[order]) for c in ("dy", "dx"))
-        kept = np.arange(min(len(ty), segment + 1))
-        return pd.DataFrame({"stack_id": [key[0]] * len(kept), "part": key[1], "frame": first + kept, "ty": ty[kept], "tx": tx[kept]})
+        part, last = int(key[1]), int(pairs["last"].iloc[0])
+        begin, end = part * segment, min((part + 1) * segment, last)
+        pairs = pairs[pairs["w"].notna()]
+        ty = tx = np.zeros(end - begin)
+        if len(pairs):
+            i, j = (pairs[c].to_numpy().astype(np.int64) for c in ("i", "j"))
+            order = np.lexsort((j, i))
+            first, final = min(begin, int(i.min())), max(end, int(j.max()))
+            ty, tx = (least_absolute(first, final, i[order], j[order], pairs[c].to_numpy()[order], pairs["w"].to_numpy()[order])[begin - first : end - first] for c in ("dy", "dx"))
+        own = np.arange(begin + (part > 0), end + 1)  # the first frame of a segment is the last of the one before
+        ty, tx = (np.append(0.0, np.cumsum(t))[part > 0 :] for t in (ty, tx))
+        return pd.DataFrame({"stack_id": [key[0]] * len(own), "part": part, "frame": own, "ty": ty, "tx": tx})
 
-    good = used.filter("i < j and w > 0 and dy is not null and dx is not null")
-    each = good.groupBy("stack_id", "part").applyInPandas(run, f"stack_id {kind}, part bigint, frame int, ty double, tx double")
-    last = F.col("frame") == (F.col("part") + 1) * segment
-    ends = F.when(last, F.struct("ty", "tx"))
-    handed = each.groupBy("stack_id", "part").agg(F.max(ends).alias("end"))
+    each = dealt.groupBy("stack_id", "part").applyInPandas(run, f"stack_id {kind}, part bigint, frame int, ty double, tx double")
+    handed = each.groupBy("stack_id", "part").agg(F.max(F.struct("frame", "ty", "tx")).alias("end"))
     before = Window.partitionBy("stack_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = handed.select("stack_id", "part", *(F.coalesce(F.sum(f"end.{c}").over(before), F.lit(0.0)).alias(f"base_{c}") for c in ("ty", "tx")))
-    placed = each.join(bases, ["stack_id", "part"]).select("stack_id", "frame", "part", (F.col("ty") + F.col("base_ty")).alias("ty"), (F.col("tx") + F.col("base_tx")).alias("tx"))
-    best = F.max(F.struct("part", "ty", "tx")).alias("b")
-    return placed.groupBy("stack_id", "frame").agg(best).select("stack_id", "frame", "b.ty", "b.tx")
+    return each.join(bases, ["stack_id", "part"]).select("stack_id", "frame", (F.col("ty") + F.col("base_ty")).alias("ty"), (F.col("tx") + F.col("base_tx")).alias("tx"))
 
 
 def pair_errors(edges: DataFrame, shifts: DataFrame) -> DataFrame:

@@ -26,6 +26,17 @@ def test_solved_shifts_follow_the_planted_drift_past_wrong_pairs(spark):
     assert solve.solve_shifts(edges.limit(0)).count() == 0
 
 
+def test_segments_give_the_shifts_of_the_whole(spark):
+    rng = np.random.default_rng(6)
+    t = np.cumsum(rng.normal(0.5, 2, (60, 2)), axis=0)
+    blank = {30, 31, 32, 33, 34, 48}  # around one boundary of 16 frames, and at another
+    rows = [("a", i, j, *(float(x) for x in t[j] - t[i] + rng.normal(0, 0.1, 2)), 0.0 if {i, j} & blank else 1.0) for i in range(60) for j in range(i + 1, min(i + 4, 60))]
+    edges = spark.createDataFrame(rows, "stack_id string, i int, j int, dy double, dx double, w double")
+    whole, parts = ({r.frame: (r.ty, r.tx) for r in solve.solve_shifts(edges, "w", s).collect()} for s in (256, 16))
+    assert sorted(whole) == sorted(parts) == list(range(60))
+    assert np.abs(np.array([whole[k] for k in range(60)]) - np.array([parts[k] for k in range(60)])).max() < 0.2
+
+
 def test_moves(spark):
     rng = np.random.default_rng(1)
     images = rng.normal(size=(2, 8, 8))
