@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..llm.common import materialize
+from ..scratch import materialize
 
 SEGMENT = 256
 OVERLAP = 2  # widths of the widest pair that a segment sees beyond its ends

@@ -26,7 +26,9 @@ def test_queries_equal_their_sql(spark, name):
 
 
 def test_every_query_has_sql_but_the_listed():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"sp05_pair_shifts"}
+    from stackweave.plans import correct_queries  # noqa: F401  (adds its queries)
+
+    assert set(QUERIES) - set(ORACLE_SQL) == {"sp05_pair_shifts", "sp08_solve_shifts"}
 
 
 def value(spark, column):
@@ -89,3 +91,42 @@ def test_entry_imports_without_llm(monkeypatch):
     assert "ex01_project" in entry.queries() and not any(q.startswith("op1_") for q in entry.queries())
     monkeypatch.undo()
     importlib.reload(entry)
+
+
+def test_nothing_outside_names_the_llm_subpackage():
+    import pathlib
+
+    package = pathlib.Path(entry_file()).parent / "stackweave"
+    outside = [p for p in package.rglob("*.py") if "llm" not in p.relative_to(package).parts]
+    assert outside and not [p for p in outside if "llm" in p.read_text()]
+
+
+def entry_file():
+    import __spark_entry__
+
+    return __spark_entry__.__file__
+
+
+def test_scratch_tables_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from stackweave import scratch
+
+    conf = {}
+    session = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=conf.get)))
+    with pytest.raises(ValueError):
+        scratch.scratch_dir(session)
+    conf["spark.checkpoint.dir"] = "hdfs://x/y/"
+    assert scratch.scratch_dir(session) == "hdfs://x/y"
+
+
+def test_scratch_tables_are_discarded(spark):
+    import os
+
+    from stackweave import scratch
+
+    table = scratch.materialize(spark.range(3), "three")
+    folder = table.scratch_path.removeprefix("file://")
+    assert table.count() == 3 and os.path.isdir(folder)
+    scratch.discard(table)
+    assert not os.path.exists(folder)
