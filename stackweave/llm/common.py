@@ -1,37 +1,33 @@
-"""Shared helpers: scratch tables in the cluster's shared folder, ASCII lowering, batch iteration."""
+"""Shared helpers: column names that don't clash, ASCII lowering, batch iteration; scratch tables come from the library."""
 
 from __future__ import annotations
 
 import string
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FALLBACK: list[str] = []
+from ..scratch import discard, materialize, scratch_path
 
+__all__ = ["ascii_lower", "discard", "fresh", "materialize", "others", "scratch_path", "slices", "table"]
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset (local tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _FALLBACK:
-        _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="spark-llm-"))
-    return _FALLBACK[0]
 
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` that don't have one of the names; like Spark's, names differ by more than their case."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage is cut and a lost executor loses nothing."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def ascii_lower(text: Column) -> Column:
