@@ -7,11 +7,12 @@ the smallest density on the path from it to the body is the threshold, and every
 gives its own largest-sum subtree. Scripts and the like don't enter the tree. Elements that seem no part of an article
 (menus, forms, notices, adverts, comments: by their names, or by a class, id or role all of whose words say so) are closed
 like others, but then left out with all they hold, except those that hold the page's largest article or more than half of
-its text outside links.
+its text outside links. Headings, paragraphs and the like are never marked by an id: it is what links jump to, made of the
+heading's own words. Every step takes time in proportion to the page, however deep its elements lie.
 
 Defined results: null, empty and tagless pages (plain text counts as the body's own text); unclosed and stray tags are
 closed or dropped as browsers do; a page with no article text gives an empty string; repeated rows come back once each; an
-empty table gives no rows; other columns pass through.
+empty table gives no rows; other columns pass through, but for those named text or n_chars, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import slices
+from .common import fresh, others, slices
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 UNENDED = re.compile(r"<[a-zA-Z/!?][^>]*\Z")  # a page cut off within a tag
@@ -40,6 +41,7 @@ CONTROLS = {"button", "select", "svg", "canvas", "object", "label"}  # no amount
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+TEXTUAL = {"a", "b", "blockquote", "caption", "dd", "dt", "em", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "i", "p", "pre", "q", "span", "strong", "td", "th"}  # their ids are targets of links
 FENCES = {"ul", "ol", "menu", "dl", "table", "article", "section", "div", "body", "html", "blockquote"}
 # Words of class, id and role that mark what isn't the article.
 MARKS = {
@@ -50,11 +52,13 @@ PLACES = {"area", "bar", "block", "bottom", "box", "buttons", "container", "item
 KEPT = {"html", "head", "body", "main", "article"}
 
 
-def words_of(attributes: str, in_article: bool) -> str:
+def words_of(tag: str, attributes: str, in_article: bool) -> str:
     """"talk", "words" or "hidden" if a whole class token, id or role says that an element is no part of an article, else ""."""
     said = ""
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
+        if name == "id" and tag in TEXTUAL:
+            continue
         if name == "hidden" or name == "aria-hidden" and value == "true":
             said = said or "hidden"
         for token in value.split():
@@ -72,7 +76,7 @@ def mark_of(tag: str, attributes: str, in_article: bool) -> str:
         return ""
     if tag in DROPPED or tag == "header" and not in_article:
         return "name"
-    return words_of(attributes, in_article) if attributes else ""
+    return words_of(tag, attributes, in_article) if attributes else ""
 
 
 class Page:
@@ -83,6 +87,8 @@ class Page:
         self.odd: set[int] = set()  # article elements that a mark names, like a reader's comment
         self.pieces: list[tuple[int, str]] = []  # a piece of "" parts two blocks
         self.open, self.inside = [0], 0
+        self.depths: dict[str, list[int]] = {}  # of each name, how deep its open elements lie
+        self.fences, self.blocks = [0], [0]  # how deep the open fences and blocks lie
         at = 0
         while (m := TAG.search(source, at)) is not None:
             self.text(source[at : m.start()])
@@ -105,9 +111,33 @@ class Page:
         if raw:
             self.pieces.append((self.open[-1], html.unescape(raw)))
 
-    def pop(self) -> None:
-        if self.tags[self.open.pop()] == "article":
-            self.inside -= 1
+    def push(self, name: str, mark: str) -> None:
+        depth = len(self.open)
+        self.parents.append(self.open[-1])
+        self.tags.append(name)
+        self.marks.append(mark)
+        self.open.append(len(self.tags) - 1)
+        self.depths.setdefault(name, []).append(depth)
+        if name in FENCES:
+            self.fences.append(depth)
+        if name in BLOCKS:
+            self.blocks.append(depth)
+        self.inside += name == "article"
+
+    def close(self, depth: int) -> None:
+        """Closes the element that lies so deep, and all that is open in it."""
+        while len(self.open) > depth:
+            name = self.tags[self.open.pop()]
+            self.depths[name].pop()
+            if name in FENCES:
+                self.fences.pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+            self.inside -= name == "article"
+
+    def deepest(self, names) -> int:
+        """How deep the innermost open element of these names lies; 0 without any."""
+        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=0)
 
     def start(self, name: str, attributes: str) -> None:
         if name in ("html", "head", "body"):
@@ -117,35 +147,21 @@ class Page:
             self.pieces.append((self.open[-1], ""))
         if name in VOID:
             return
-        closes = CLOSES.get(name, ())
-        if name in BLOCKS and any(self.tags[k] == "p" for k in self.open[1:]):
-            closes = {"p", *closes}
-        for depth in range(len(self.open) - 1, 0, -1) if closes else ():
-            tag = self.tags[self.open[depth]]
-            if tag in closes:
-                while len(self.open) > depth:
-                    self.pop()
-                break
-            if tag in FENCES:
-                break
-        self.parents.append(self.open[-1])
-        self.tags.append(name)
-        self.marks.append(mark)
-        self.open.append(len(self.tags) - 1)
-        if name == "article" and words_of(attributes, True):
+        closes = CLOSES.get(name, set())
+        depth = self.deepest(closes | {"p"} if name in BLOCKS else closes)
+        if depth > self.fences[-1]:
+            self.close(depth)
+        self.push(name, mark)
+        if name == "article" and words_of(name, attributes, True):
             self.odd.add(self.open[-1])
-        self.inside += name == "article"
 
     def end(self, name: str) -> None:
         if name in BLOCKS or name == "br":
             self.pieces.append((self.open[-1], ""))
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.tags[self.open[depth]] == name:
-                while len(self.open) > depth:
-                    self.pop()
-                return
-            if name not in BLOCKS and name not in DROPPED and self.tags[self.open[depth]] in BLOCKS:
-                return
+        depth = self.deepest((name,))
+        # an inline end tag doesn't reach beyond the block that it stands in
+        if depth and (name in BLOCKS or name in DROPPED or depth > self.blocks[-1]):
+            self.close(depth)
 
     def leave_out(self) -> None:
         """Takes the marked elements out of the tree, without those that hold the largest article or most of the text.
@@ -242,21 +258,15 @@ class Page:
         while k >= 0:
             above.add(k)
             k = self.parents[k]
-        inside, under = [False] * n, [False] * n
+        inside, under, out = [False] * n, [False] * n, [False] * n
         for k in range(n):
             p = self.parents[k]
             under[k] = k == (whole if whole >= 0 else top) or k > 0 and under[p]
             # a marked element that is still here gives text only if it holds the chosen node or lies in what is chosen
-            inside[k] = (k in roots or k > 0 and inside[p]) and (not self.marks[k] or k in above or under[k])
-            if self.marks[k] and not (k in above or under[k]):
-                roots = roots - {j for j in roots if self.holds(k, j)}
+            out[k] = k > 0 and out[p] and not under[k] or bool(self.marks[k]) and k not in above and not under[k]
+            inside[k] = (k in roots or k > 0 and inside[p]) and not out[k]
         return inside
 
-    def holds(self, k: int, j: int) -> bool:
-        while j > k:
-            j = self.parents[j]
-        return j == k
-
     def article_of(self, k: int, sums: list[float]) -> int:
         """The article element that holds node k, or the one in its subtree with most of its density sum; -1 if there is none."""
         up = k
@@ -266,9 +276,11 @@ class Page:
             up = self.parents[up]
         below = [False] * len(self.tags)
         found = -1
-        for j in range(k, len(self.tags)):
-            below[j] = j == k or j > k and below[self.parents[j]]
-            if below[j] and self.tags[j] == "article" and 2 * sums[j] > max(sums[k], 2 * sums[found] if found >= 0 else 0.0):
+        for j in range(k, len(self.tags)):  # nodes are in document order: those of the subtree come first
+            below[j] = j == k or below[self.parents[j]]
+            if not below[j]:
+                break
+            if self.tags[j] == "article" and 2 * sums[j] > max(sums[k], 2 * sums[found] if found >= 0 else 0.0):
                 found = j
         return found
 
@@ -289,8 +301,9 @@ def main_text(source: str | None) -> str:
 
 def extract_text(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
     """``pages`` without the html, with text and n_chars."""
-    own = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    ready = pages.select(*own, F.col(html_col).alias("__html"))
+    own = others(pages, html_col, "text", "n_chars")
+    (source,) = fresh(pages, "source_html")
+    ready = pages.select(*own, F.col(html_col).alias(source))
     out = T.StructType([*ready.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     schema = to_arrow_schema(out)
 
