@@ -12,9 +12,10 @@ range read of a block; what it names is read from the archives by range, in the
 Files get a new name for each attempt of a task and are found through the rows of the attempt that counted, so lost and
 repeated tasks leave at most unread files.
 
-Defined results: a null html is an empty payload; a null url is an empty one; a null page_id counts as the smallest, and
-its revisits refer to null; equal rows are records of their own, the first of equal page_ids being the response as well;
-an empty table gives no rows; other columns are ignored.
+Defined results: a null html is an empty payload; a null url is an empty one; white space and control characters of a URL
+are escaped in the index and become single spaces in the record; a null page_id counts as the smallest, and its revisits
+refer to null; equal rows are records of their own, the first of equal page_ids being the response as well; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from bisect import bisect_right
@@ -40,15 +42,19 @@ MIN_REVISIT_BYTES = 0  # smaller payloads are always responses
 SALTS = 48
 DATE = "2026-01-01T00:00:00Z"
 NONE = -(1 << 63)
+SPACES = re.compile(r"[\x00-\x20\x7F\x85\xA0\u2028\u2029]+")
 
 
 def sort_key(url: Column, page_id: Column) -> Column:
-    """Reversed host, then the rest of the URL, then the page: com,example,www)/path?query page."""
+    """Reversed host, then the rest of the URL, then the page: com,example,www)/path?query page.
+
+    Index lines are cut at line ends and tabs, so white space and control characters of the whole key are escaped; URLs
+    that differ in these alone share a key, under which each has a line of its own."""
     whole = F.lower(F.coalesce(url, F.lit("")))
     host = F.regexp_extract(whole, r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/?#]*)", 1)
     rest = F.regexp_replace(whole, r"^(?:[a-z][a-z0-9+.-]*://)?[^/?#]*", "")
-    clean = F.regexp_replace(rest, r"\s", "%20")
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), clean, F.lit(" "), F.lpad(F.coalesce(page_id.cast("string"), F.lit("-")), 20, "0"))
+    place = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
+    return F.concat(F.regexp_replace(place, r"[\x00-\x20\x7F\x{85}\x{A0}\x{2028}\x{2029}]", "%20"), F.lit(" "), F.lpad(F.coalesce(page_id.cast("string"), F.lit("-")), 20, "0"))
 
 
 def record(kind: str, url: str, page_id: int | None, payload: bytes, digest: str, refers: int | None) -> bytes:
@@ -105,7 +111,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_B
                 rows = []
                 for page_id, url, payload, key, refers, revisit in zip(*(batch.column(k).to_pylist() for k in range(6))):
                     data = payload.encode()
-                    one = gzip.compress(record("revisit" if revisit else "response", " ".join(url.split()), page_id, data, sha1_base32(data), refers), 3, mtime=0)
+                    one = gzip.compress(record("revisit" if revisit else "response", SPACES.sub(" ", url).strip(" "), page_id, data, sha1_base32(data), refers), 3, mtime=0)
                     out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
                     out.write(one)
                     rows.append((key, name, at, len(one)))
