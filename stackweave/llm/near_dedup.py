@@ -7,13 +7,19 @@
    where few share a prefix, one level less is enough. A check on other trees' hashes drops neighbours of low similarity.
    A pair at similarity 0.75 shares no prefix of any tree with probability (1 - 0.75**5)**48, two in a million.
 4. Candidates make regions (their connected components). In a region all pairs are compared on full sets, by an inverted
-   list of its shingles; a large region is cut into chunks, and each pair of chunks is a cell of its own, so no region is
-   one task and no pair of it is left out, however many partners a text has. A cell returns a spanning forest of its links.
+   list of its shingles. A large region is cut by the sizes of its sets into bands, of which only a band and the next can
+   hold a link, and bands into chunks; each pair of chunks is a cell of its own, so no region is one task and no pair of it
+   is left out, however many partners a text has. A cell returns a spanning forest of its links. The price: a band of n
+   different texts takes up to n * n / 2 comparisons, spread over cells, and up to n / ``CHUNK_MOST`` copies of each set.
 5. The links' connected components are the result.
 
+What the probability in 3 leaves out: neighbours more than two rows apart and the check can part two texts of one region in
+a tree; they stay in one region as long as some chain of neighbours of any tree leads from one to the other. The tests
+count the links that are found among texts around 0.75 inside crowds of half-similar ones.
+
 Defined results: null and empty texts have no shingles and are linked with nothing, nor are rows without doc_id (whose
 component is null); texts of fewer words than a shingle are one shingle; repeated rows come back once each; an empty table
-gives no rows; other columns pass through.
+gives no rows; other columns pass through, but for those named like a column of the result, which are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import materialize, slices
+from .common import fresh, materialize, others, slices
 from .components import connected_components
 
 SHINGLE = 5
@@ -38,7 +44,8 @@ TREES, LEVELS = 48, 6
 DEPTH = 5
 SPARSE = 16  # texts of a region in which one level less is enough
 CHECK, CHECK_LEAST = 16, 8  # bytes of other trees that go with a row, and how many have to agree
-CHUNK_DOCS, CHUNK_MOST, CHUNK_SHINGLES = 512, 8192, 2_000_000
+CHUNK_DOCS, CHUNK_MOST, CHUNK_SHINGLES = 256, 8192, 2_000_000
+BAND = float(np.log(1.34))  # of set sizes: a link's sizes differ by 4/3 at most, so its sets lie in one band or in two next to each other
 SALTS = 48
 
 _RANDOM = np.random.default_rng(20260101)
@@ -87,10 +94,10 @@ def signature(shingles: np.ndarray) -> bytes:
     return (mixed(least) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
-def sketches(docs: DataFrame, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, text_col: str, digest: str = "digest", signature_name: str = "signature") -> DataFrame:
     """docs (without the text) with n_shingles, digest (of the set; null if empty) and signature."""
-    ready = docs.select(*[c for c in docs.columns if c != text_col], F.col(text_col).alias("__text"))
-    more = [T.StructField("n_shingles", T.LongType()), T.StructField("__digest", T.BinaryType()), T.StructField("__signature", T.BinaryType())]
+    ready = docs.select(*others(docs, text_col), text_col)
+    more = [T.StructField("n_shingles", T.LongType()), T.StructField(digest, T.BinaryType()), T.StructField(signature_name, T.BinaryType())]
     out = T.StructType([*ready.schema.fields[:-1], *more])
     schema = to_arrow_schema(out)
 
@@ -248,50 +255,62 @@ def confirmed(candidates: DataFrame, docs: DataFrame, classes: DataFrame, id_col
     """Links (a, b): enough to connect all that exact links connect, of all pairs within the candidates' regions."""
     regions = connected_components(candidates)
     sized = regions.join(classes.select("id", "n_shingles"), "id")
-    chunks = sized.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
-    per_chunk = F.least(F.greatest(F.lit(CHUNK_DOCS), F.col("n") / 8), F.lit(CHUNK_MOST))
-    chunks = chunks.select("component", F.greatest(F.ceil(F.col("n") / per_chunk), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    placed = regions.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    whole = sized.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    small = (F.col("n") <= 2 * CHUNK_DOCS) & (F.col("shingles") <= CHUNK_SHINGLES)
+    per_chunk = F.least(F.greatest(F.lit(CHUNK_DOCS), F.col("n") / 32), F.lit(CHUNK_MOST))
+    banded = materialize(sized.join(whole.select("component", small.alias("small"), per_chunk.alias("per_chunk")), "component").select("id", "component", "n_shingles", "small", "per_chunk", F.when(F.col("small"), 0).otherwise(F.floor(F.log("n_shingles") / BAND)).cast("int").alias("band")), "bands")
+    counts = banded.groupBy("component", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"), F.first("per_chunk").alias("per_chunk"), F.first("small").alias("small"))
+    chunks = counts.select("component", "band", F.when(F.col("small"), 1).otherwise(F.greatest(F.ceil(F.col("n") / F.col("per_chunk")), F.ceil(F.col("shingles") / CHUNK_SHINGLES))).cast("int").alias("chunks"))
+    # each band with the numbers of chunks of the bands beside it
+    beside = chunks.select("component", F.explode(F.array(*(F.struct((F.col("band") + k).alias("band"), *(F.when(F.lit(k == j), F.col("chunks")).alias(n) for j, n in ((1, "below"), (0, "chunks"), (-1, "above")))) for k in (-1, 0, 1)))).alias("b")).select("component", "b.*")
+    around = beside.groupBy("component", "band").agg(*(F.max(n).alias(n) for n in ("below", "chunks", "above"))).filter("chunks is not null")
+    placed = banded.join(around, ["component", "band"]).select("id", "component", "band", "below", "chunks", "above", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(placed, "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for whole in batches:
-            for batch in slices(whole, 512):
+        for everything in batches:
+            for batch in slices(everything, 512):
                 found = [shingle_set(t, hashes).tobytes() for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(found, pa.binary())], names=["id", "component", "chunks", "chunk", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(found, pa.binary())], names=["id", "component", "band", "below", "chunks", "above", "chunk", "shingles"])
 
-    held = texts.select("id", "text", "component", "chunks", "chunk").mapInArrow(sets, "id bigint, component bigint, chunks int, chunk int, shingles binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    cells = held.select("id", "component", "chunk", "shingles", other)
-    cells = cells.select("id", "component", "shingles", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), (F.col("chunk") > F.col("other")).cast("int").alias("side"))
+    held = texts.select("id", "text", "component", "band", "below", "chunks", "above", "chunk").mapInArrow(sets, "id bigint, component bigint, band int, below int, chunks int, above int, chunk int, shingles binary")
+    numbered = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    # the cells of a set: with every chunk of its own band, of the band below (of which it is side 1) and above
+    own = F.transform(numbered("chunks"), lambda k: F.struct(F.col("band").alias("band"), F.least("chunk", k).alias("low"), F.greatest("chunk", k).alias("high"), (F.col("chunk") > k).cast("int").alias("side"), F.lit(False).alias("across")))
+    lower = F.transform(numbered("below"), lambda k: F.struct((F.col("band") - 1).alias("band"), k.alias("low"), F.col("chunk").alias("high"), F.lit(1).alias("side"), F.lit(True).alias("across")))
+    upper = F.transform(numbered("above"), lambda k: F.struct(F.col("band").alias("band"), F.col("chunk").alias("low"), k.alias("high"), F.lit(0).alias("side"), F.lit(True).alias("across")))
+    cells = held.select("id", "component", "shingles", F.explode(F.concat(own, lower, upper)).alias("c")).select("id", "component", "shingles", "c.*")
 
     def compare(cell: pa.Table) -> pa.Table:
         ids = cell.column("id").to_numpy()
         _, once = np.unique(ids, return_index=True)  # a repeated row is there once
         sets_of = [np.frombuffer(cell.column("shingles")[int(k)].as_py(), dtype=np.uint64) for k in once]
-        within = cell.column("low")[0] == cell.column("high")[0]
+        within = cell.column("low")[0] == cell.column("high")[0] and not cell.column("across")[0].as_py()
         found = cell_links(ids[once], cell.column("side").to_numpy()[once], sets_of, bool(within))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return materialize(cells.groupBy("component", "low", "high").applyInArrow(compare, "a bigint, b bigint"), "links")
+    return materialize(cells.groupBy("component", "band", "across", "low", "high").applyInArrow(compare, "a bigint, b bigint"), "links")
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with n_shingles, component_id and kept."""
-    own = [c for c in docs.columns if c not in (text_col, "n_shingles", "component_id", "kept")]
-    sketched = materialize(sketches(docs.select(*own, text_col), text_col).withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")), "sketches")
-    usable = sketched.filter(F.col("__digest").isNotNull() & F.col(id_col).isNotNull())
-    merged = usable.groupBy("__digest").agg(F.min(id_col).cast("long").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("__signature").alias("signature"), F.bit_or(F.expr("shiftleft(1L, __salt)")).alias("mask"))
+    own = others(docs, text_col, "n_shingles", "component_id", "kept")
+    digest, signed, salt, component = fresh(docs, "digest", "signature", "salt", "component")
+    salted = F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int").alias(salt)
+    sketched = materialize(sketches(docs.select(*own, text_col), text_col, digest, signed).select("*", salted), "sketches")
+    usable = sketched.filter(F.col(digest).isNotNull() & F.col(id_col).isNotNull())
+    keyed = usable.select(F.col(digest).alias("digest"), F.col(id_col).cast("long").alias("id"), F.col("n_shingles"), F.col(signed).alias("signature"), F.col(salt).alias("salt"))
+    merged = keyed.groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask"))
     classes = materialize(merged, "classes")
     links = confirmed(swept(tree_rows(classes)), docs, classes, id_col, text_col)
     joined = connected_components(links)
     held = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.call_function("getbit", F.col("mask"), s) == 1)
     # of every class its component, once for each salt that has members
-    known = classes.select("__digest", "id", "mask").join(joined, "id", "left").select("__digest", F.coalesce("component", "id").alias("__component"), F.explode(held).alias("__salt"))
-    out = sketched.join(known, ["__digest", "__salt"], "left")
-    component = F.when(F.col(id_col).isNotNull(), F.coalesce("__component", F.col(id_col)))
-    return out.select(*own, "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col(id_col)).alias("kept"))
+    known = classes.select(F.col("digest").alias(digest), "id", "mask").join(joined, "id", "left").select(digest, F.coalesce("component", "id").alias(component), F.explode(held).alias(salt))
+    out = sketched.join(known, [digest, salt], "left")
+    of_row = F.when(F.col(id_col).isNotNull(), F.coalesce(component, F.col(id_col)))
+    return out.select(*own, "n_shingles", of_row.alias("component_id"), of_row.eqNullSafe(F.col(id_col)).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
