@@ -8,8 +8,9 @@ all of them by exact blocked cosine products; its nearest ones vote, weighted by
 Only labels.quality of rows with crc32(doc_id as text) mod 4 other than 2 is learnt from; score inputs are texts alone.
 
 Defined results: null and empty texts have no neighbours and score the share of label 1 among the sampled rows of either
-label, 0.5; of several labels of a doc_id the largest counts; without labels all score 0.5; repeated rows come back once
-each; an empty table gives no rows; other columns pass through.
+label, 0.5; of several labels of a doc_id the largest counts, and of several rows of a labelled doc_id the greatest text
+is learnt from; without labels all score 0.5; repeated rows come back once each; an empty table gives no rows; other
+columns pass through, but for those named like a column of the result, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import slices
+from .common import fresh, others, slices
 
 MAX_LABELLED = 4096  # the bound of the fitting sample
 BUCKETS = 2048
@@ -124,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     for label in (0, 1):
         part = usable.filter(F.col("quality") == label).orderBy(F.xxhash64(F.col(id_col)), id_col).limit(half)
         chosen = part if chosen is None else chosen.unionByName(part)
-    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select("quality", text_col)  # max_labelled rows
+    # at most max_labelled rows: of rows that share a doc_id the one of the greatest text counts
+    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.max("quality").alias("quality"), F.max(text_col).alias("text")).select("quality", "text")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -132,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 raw = measures(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([x.tobytes() for x in raw], pa.binary())], names=["quality", "raw"])
 
-    got = sample.mapInArrow(measured, MEASURED).limit(4 * max_labelled).toPandas()
+    got = sample.mapInArrow(measured, MEASURED).toPandas()
     if not len(got):
         return None
     return fit(np.stack([np.frombuffer(x, np.float32) for x in got.raw]), got.quality.to_numpy())
@@ -141,9 +143,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, **options) -> DataFrame:
     """``docs`` (without the text unless it is to be kept) with held_out, score and predicted."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col, **options))
-    own = [c for c in docs.columns if c not in ("held_out", "score", "predicted") and (keep_text or c != text_col)]
+    own = others(docs, "held_out", "score", "predicted", *(() if keep_text else (text_col,)))
+    (whole,) = fresh(docs, "whole")
     held_out = (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 == 2).alias("held_out")
-    ready = docs.select(*own, held_out, F.col(text_col).alias("__text"))
+    ready = docs.select(*own, held_out, F.col(text_col).alias(whole))
     out = T.StructType([*ready.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     schema = to_arrow_schema(out)
 
