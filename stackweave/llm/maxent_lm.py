@@ -1,22 +1,27 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class, history). Classes are bands of the frequency list: ``CLASSES - 1``
-classes of ``CLASSES`` head words each, and one class for all rarer words, within which the add-one unigram distribution
-holds. Both softmaxes are log-linear in hashed features of the history: a bias, the last word (an n-gram feature) and the
-word before the last (a skip feature); with the class they are features of the word's softmax. Feature rows are hashed into tables of fixed size.
-
-Counts cover every training text. Weights come from rounds of distributed gradient updates: a round's texts are one of
-``ROUNDS`` disjoint parts of the training fold, so that all of it is used once; every task runs Adagrad steps from the
-round's weights over its texts, in sparse numpy batches, and the deltas are averaged in two levels. Scoring broadcasts the
-weights and ``KNOWN`` most frequent words (both of fixed size); rarer words are looked up by a join.
+P(word | history) is a product over classes within classes: the ``KNOWN`` most frequent words, and one leaf for all rarer
+ones, are the leaves of a ``WIDTH``-way tree balanced by frequency, and each step down the tree is a softmax over the
+branches of one node. So every known word is chosen by its history, a frequent one in one or two steps. Within the leaf of
+rarer words the add-one unigram distribution holds. Softmaxes are log-linear in a bias of the node and in hashed features:
+node with last word (an n-gram feature) and node with the word before the last (a skip feature).
+
+Counts cover every training text. The tree, the vocabulary and the table of hashed rows grow with the distinct tokens of
+the corpus, up to ``KNOWN`` words and ``MOST_ROWS`` rows, so what is broadcast stays bounded (8 MB of weights). Weights come
+from rounds of distributed gradient updates: a round's texts are one of ``ROUNDS`` disjoint parts of the training fold, so
+that all of it is used once; every task runs Adagrad steps from the round's weights over its texts, in sparse numpy
+batches, and passes on the rows that it changed; changes of a row are averaged in three levels, each task weighing as much
+as its squared gradients of that row. Small inputs go to few tasks, for which texts need no shuffle. Scoring broadcasts the
+weights and the known words; rarer words are looked up by a join.
 
 Defined results: a null text is empty and has the end token alone; rows with a null doc_id train (their id text is empty);
 repeated rows come back once each; without training texts N = V = 0 and every token has the probability 1; an empty table
-gives no rows; other columns pass through.
+gives no rows; other columns pass through, but for those named like a column of the result, which are replaced.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,17 +32,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import materialize, slices
+from .common import fresh, materialize, others, slices
 
-CLASSES = 16
-HEAD = (CLASSES - 1) * CLASSES
+WIDTH = 16  # branches of a node
 KNOWN = 65_536
-ROWS = 1 << 12  # hashed feature rows of either softmax
+LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 17  # of hashed features
 ROUNDS = 2
-STEP_TOKENS = 32_768
-RATE = 0.15
+STEP_TOKENS = 8192
+RATE = 0.25
+TASK_TOKENS, LEAST_TASK_TOKENS = 8_000_000, 1_000_000  # that a task trains on in a round
 PART_TOKENS = 400_000  # distinct tokens that a task holds before it passes its counts on
-BLOCK_ROWS = 512
+BLOCK_ROWS = 4096  # rows of the table that are merged together
+NEVER = -1e4  # logit of a branch that leads nowhere
 END = b""  # the end token: no word is empty
 
 
@@ -76,50 +82,97 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def balanced_tree(weights: list[float]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """The tree of least mean depth over leaves of such weights: (logarithms of the weights of every node's branches, the
+    way to each leaf as (node, branch) from the root on)."""
+    n = len(weights)
+    spare = WIDTH - 1 if n == 1 else -(n - 1) % (WIDTH - 1)
+    heap = [(0.0, -1 - k) for k in range(spare)] + [(w, k) for k, w in enumerate(weights)]
+    heapq.heapify(heap)
+    children: dict[int, list[tuple[float, int]]] = {}
+    while len(heap) > 1:
+        least = [heapq.heappop(heap) for _ in range(WIDTH)]
+        children[n + len(children)] = least
+        heapq.heappush(heap, (sum(w for w, _ in least), n + len(children) - 1))
+    ways: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    bias = []
+    todo: list[tuple[int, list[tuple[int, int]]]] = [(heap[0][1], [])]
+    while todo:
+        node, way = todo.pop()
+        number, row = len(bias), np.full(WIDTH, NEVER)
+        bias.append(row)
+        for branch, (w, child) in enumerate(children[node]):
+            if child >= 0:
+                row[branch] = np.log(w)
+                if child < n:
+                    ways[child] = [*way, (number, branch)]
+                else:
+                    todo.append((child, [*way, (number, branch)]))
+        row -= row.max()
+    return np.array(bias, dtype=np.float32), ways
+
+
 class Vocabulary:
-    """The most frequent words, by falling count: their ranks and counts."""
+    """The most frequent words by falling count, their ranks and counts, and their ways down the tree; the last way is that
+    of all rarer words."""
 
     def __init__(self, rows: list[tuple[bytes, int]], total: int, distinct: int):
-        self.rank = {bytes(t): k for k, (t, _) in enumerate(rows)}
+        self.rank = {t: k for k, (t, _) in enumerate(rows)}
         self.counts = np.array([*(c for _, c in rows), 0], dtype=np.int64)
         self.total, self.distinct = total, distinct
-        self.tail = total - int(self.counts[:HEAD].sum()) + max(distinct - HEAD, 0) + 1
+        self.tail = total - int(self.counts.sum()) + distinct - len(rows) + 1
+        self.bias, ways = balanced_tree([*(float(c) for _, c in rows), float(self.tail)])
+        self.depth = np.array([len(w) for w in ways], dtype=np.int64)
+        self.first = np.cumsum(self.depth) - self.depth
+        self.nodes, self.branches = np.array([step for way in ways for step in way], dtype=np.int64).reshape(-1, 2).T.copy()
+        self.rows = int(min(max(1 << max(distinct // 2, 1).bit_length(), LEAST_ROWS), MOST_ROWS))
 
     def ids(self, found: list[bytes]) -> np.ndarray:
         """Ranks; those of rarer words are -1."""
         get = self.rank.get
-        return np.fromiter((get(t, -1) for t in found), dtype=np.int32, count=len(found))
+        return np.fromiter((get(t, -1) for t in found), dtype=np.int64, count=len(found))
+
+    def start_weights(self) -> np.ndarray:
+        """A row for each node, which holds the unigram distribution, then the hashed rows."""
+        blocks = -(-(len(self.bias) + self.rows) // BLOCK_ROWS)
+        w = np.zeros((blocks * BLOCK_ROWS, WIDTH), dtype=np.float32)
+        w[: len(self.bias)] = self.bias
+        return w
 
 
 def hashed(*parts: np.ndarray | int) -> np.ndarray:
-    """Feature rows beyond those of the biases."""
     h = np.uint64(0x9E3779B97F4A7C15)
     for p in parts:
         h = (h ^ np.atleast_1d(p).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
         h = h ^ (h >> np.uint64(32))
-    return (h % np.uint64(ROWS - CLASSES)).astype(np.int64) + CLASSES
-
-
-def features(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class and place in it of every token, and its feature rows for either softmax: bias, last word, skip."""
-    word = np.where((ids >= 0) & (ids < HEAD), ids, HEAD)
-    kind, place = np.divmod(word, CLASSES)
-    kind = np.minimum(kind, CLASSES - 1)
-    # histories keep more words apart than the head has: 16 times as many by rank, all others as one
-    near = np.where((ids >= 0) & (ids < 16 * HEAD), ids, 16 * HEAD)
-    before, skip = np.empty_like(near), np.empty_like(near)
-    before[1:], before[:1] = near[:-1], -1
-    skip[2:], skip[:2] = near[:-2], -1
-    before[starts] = -1
-    skip[starts] = -1
+    return h
+
+
+def histories(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every token: its leaf, and hashes of the last word and of the word before it; beyond a text's start there is none."""
+    leaf = np.where(ids >= 0, ids, -1)
+    before, skip = np.empty_like(leaf), np.empty_like(leaf)
+    before[1:], before[:1] = leaf[:-1], -2
+    skip[2:], skip[:2] = leaf[:-2], -2
+    before[starts] = -2
+    skip[starts] = -2
     later = starts + 1
-    skip[later[later < len(skip)]] = -1
-    of_class = np.stack([np.zeros(len(ids), np.int64), hashed(1, before + 2), hashed(3, skip + 2)])
-    of_word = np.stack([kind.astype(np.int64), hashed(5, kind, before + 2), hashed(7, kind, skip + 2)])
-    return kind, place, of_class, of_word
+    skip[later[later < len(skip)]] = -2
+    return leaf, hashed(5, before + 2), hashed(7, skip + 2)
+
 
+def steps(v: Vocabulary, leaf: np.ndarray, before: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All steps down the tree to the leaves: where each leaf's begin, the branches taken, and the rows of their features."""
+    depth = v.depth[leaf]
+    begin = np.cumsum(depth) - depth
+    token = np.repeat(np.arange(len(leaf)), depth)
+    at = v.first[leaf][token] + np.arange(len(token)) - begin[token]
+    node = v.nodes[at]
+    row = lambda h: (hashed(h[token], node) % np.uint64(v.rows)).astype(np.int64) + len(v.bias)
+    return begin, v.branches[at], [node, row(before), row(skip)]
 
-def logits(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+
+def logits(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     z = table[rows[0]]
     for of_feature in rows[1:]:
         z += table[of_feature]
@@ -127,37 +180,24 @@ def logits(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z
 
 
-def log_probability(table: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+def log_probability(table: np.ndarray, rows: list[np.ndarray], branch: np.ndarray) -> np.ndarray:
     z = logits(table, rows)
-    own = z[np.arange(len(z)), target]
+    own = z[np.arange(len(z)), branch]
     np.exp(z, out=z)
     return own - np.log(z.sum(axis=1))
 
 
-def start_weights(vocabulary: Vocabulary) -> np.ndarray:
-    """2 x ROWS x CLASSES; the bias rows hold the unigram distribution."""
-    w = np.zeros((2, ROWS, CLASSES), dtype=np.float32)
-    head = np.zeros(HEAD)
-    n = min(HEAD, len(vocabulary.counts) - 1)
-    head[:n] = vocabulary.counts[:n]
-    of_class = head.reshape(-1, CLASSES)
-    w[0, 0] = np.log(np.append(of_class.sum(axis=1), vocabulary.total - head.sum()) + 1)
-    for c in range(CLASSES - 1):
-        w[1, c] = np.log(of_class[c] + 0.5)
-    return w
-
-
-def step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
+def learn(table: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], branch: np.ndarray) -> None:
     """One Adagrad step on the rows' features."""
     gradient = logits(table, rows)
     np.exp(gradient, out=gradient)
     gradient /= gradient.sum(axis=1, keepdims=True)
-    gradient[np.arange(len(target)), target] -= 1
+    gradient[np.arange(len(branch)), branch] -= 1
     for of_feature in rows:
-        order = np.argsort(of_feature.astype(np.uint16), kind="stable")
-        at = of_feature[order]
+        keys = np.sort((of_feature << 32) | np.arange(len(of_feature)))
+        order, at = keys & 0xFFFFFFFF, keys >> 32
         first = np.flatnonzero(np.diff(at, prepend=-1))
-        g = np.add.reduceat(gradient[order], first, axis=0) if len(first) > 1 else gradient.sum(axis=0, keepdims=True)
+        g = np.add.reduceat(gradient[order], first, axis=0)
         at = at[first]
         seen = squares[at] + g * g
         squares[at] = seen
@@ -182,71 +222,98 @@ def stretches(texts: Iterator[list[str | None]], vocabulary: Vocabulary, size: i
         yield np.concatenate(held), np.cumsum([0, *map(len, held)])[:-1]
 
 
-def train_round(texts: DataFrame, vocabulary, weights: np.ndarray) -> np.ndarray:
-    """The mean over tasks of the weights after their steps."""
-    sc = texts.sparkSession.sparkContext
-    start = sc.broadcast(weights)
-    group = "part int, block int, n bigint, delta binary"
+def in_parts(v: Vocabulary, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """``steps`` of at most STEP_TOKENS tokens at once, in order."""
+    leaf, before, skip = histories(ids, starts)
+    for a in range(0, len(ids), STEP_TOKENS):
+        some = slice(a, a + STEP_TOKENS)
+        yield steps(v, leaf[some], before[some], skip[some])
+
+
+CHANGES = "part int, block int, rows binary, mass binary, change binary"
+
+
+def train_round(texts: DataFrame, vocabulary, weights: np.ndarray, tasks: int) -> np.ndarray:
+    """The weights after the steps of all tasks."""
+    start = texts.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        w, squares, seen = start.value.copy(), np.full(weights_shape, 1.0, dtype=np.float32), 0
+        v, w, squares, seen = vocabulary.value, start.value.copy(), np.ones(start.value.shape, dtype=np.float32), 0
         texts_of = (b.column(0).to_pylist() for whole in batches for b in slices(whole, 256))
-        for ids, starts in stretches(texts_of, vocabulary.value, STEP_TOKENS):
-            kind, place, of_class, of_word = features(ids, starts)
-            step(w[0], squares[0], of_class, kind)
-            inner = np.flatnonzero(kind < CLASSES - 1)
-            if len(inner):
-                step(w[1], squares[1], of_word[:, inner], place[inner])
+        for ids, starts in stretches(texts_of, v, STEP_TOKENS):
+            for _, branch, rows in in_parts(v, ids, starts):
+                learn(w, squares, rows, branch)
             seen += len(ids)
-        if seen:
-            delta = (w - start.value).reshape(-1, BLOCK_ROWS, CLASSES)
-            part = TaskContext.get().partitionId() // 16
-            blocks = len(delta)
-            yield pa.RecordBatch.from_arrays([pa.array([part] * blocks, pa.int32()), pa.array(range(blocks), pa.int32()), pa.array([seen] * blocks, pa.int64()), pa.array([d.tobytes() for d in delta], pa.binary())], names=["part", "block", "n", "delta"])
-
-    weights_shape = weights.shape
-
-    def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        """Mean weighted by tokens."""
-        n = rows.n.sum()
-        mean = sum(np.frombuffer(d, np.float32) * np.float32(k / n) for d, k in zip(rows.delta, rows.n))
-        return pd.DataFrame({"part": [int(rows.part.iloc[0]) // 16], "block": [int(rows.block.iloc[0])], "n": [int(n)], "delta": [mean.astype(np.float32).tobytes()]})
-
-    deltas = texts.mapInArrow(run, group)
+        if not seen:
+            return
+        w -= start.value
+        mass = squares.sum(axis=1) - WIDTH
+        for block in range(len(w) // BLOCK_ROWS):
+            of = slice(block * BLOCK_ROWS, (block + 1) * BLOCK_ROWS)
+            changed = np.flatnonzero(mass[of] > 0)
+            if len(changed):
+                cols = [changed.astype(np.int32), mass[of][changed], w[of][changed]]
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // 16], pa.int32()), pa.array([block], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=["part", "block", "rows", "mass", "change"])
+
+    def merged(some: pd.DataFrame) -> pd.DataFrame:
+        """Means of each row's changes, weighted by their squared gradients."""
+        mass, change = np.zeros(BLOCK_ROWS, np.float64), np.zeros((BLOCK_ROWS, WIDTH), np.float64)
+        for r, m, c in zip(some["rows"], some["mass"], some["change"]):
+            at, m = np.frombuffer(r, np.int32), np.frombuffer(m, np.float32).astype(np.float64)
+            mass[at] += m
+            change[at] += m[:, None] * np.frombuffer(c, np.float32).reshape(-1, WIDTH)
+        at = np.flatnonzero(mass > 0)
+        cols = [at.astype(np.int32), mass[at].astype(np.float32), (change[at] / mass[at, None]).astype(np.float32)]
+        return pd.DataFrame({"part": [int(some["part"].iloc[0]) // 16], "block": [int(some["block"].iloc[0])], **{n: [c.tobytes()] for n, c in zip(("rows", "mass", "change"), cols)}})
+
+    changes = texts.coalesce(tasks).mapInArrow(run, CHANGES)
     # tasks by sixteens, these by sixteens again, then the rest: no group is larger than the tasks' 256th part
     for _ in range(2):
-        deltas = deltas.groupBy("part", "block").applyInPandas(merged, group)
-    last = deltas.groupBy("block").applyInPandas(merged, group)
-    out = weights.copy().reshape(-1, BLOCK_ROWS, CLASSES)
-    for row in last.select("block", "delta").toLocalIterator():  # the tables, of fixed size
-        out[row.block] += np.frombuffer(row.delta, np.float32).reshape(BLOCK_ROWS, CLASSES)
-    return out.reshape(weights.shape)
+        changes = changes.groupBy("part", "block").applyInPandas(merged, CHANGES)
+    last = changes.groupBy("block").applyInPandas(merged, CHANGES)
+    out = weights.copy()
+    for row in last.select("block", "rows", "change").toLocalIterator():  # the table, of bounded size
+        out[row.block * BLOCK_ROWS + np.frombuffer(row.rows, np.int32)] += np.frombuffer(row.change, np.float32).reshape(-1, WIDTH)
+    return out
 
 
 LOG10 = float(np.log(10))
 
 
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` without the text, with held_out, n_tokens, n_known, train_tokens, base_score and score."""
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> tuple[DataFrame, Vocabulary, np.ndarray]:
+    """The table of token counts, the vocabulary and the weights, from the rows that aren't held out."""
     spark = docs.sparkSession
     training = docs.filter(~held_out(id_col))
-    vocabulary_table = materialize(count_tokens(training.select(text_col)), "tokens")
-    total, distinct = vocabulary_table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = vocabulary_table.orderBy(F.desc("c"), "token").limit(KNOWN)  # KNOWN rows
+    counts = materialize(count_tokens(training.select(text_col)), "tokens")
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    top = counts.orderBy(F.desc("c"), "token").limit(KNOWN)  # KNOWN rows
     vocabulary = Vocabulary([(bytes(r.token), r.c) for r in top.toLocalIterator()], total, distinct)
     words = spark.sparkContext.broadcast(vocabulary)
-    weights = start_weights(vocabulary)
-    part = F.pmod(F.xxhash64(F.lit("round"), F.col(id_col)), F.lit(rounds))
+    weights = vocabulary.start_weights()
+    part = F.pmod(F.xxhash64(F.lit("round"), F.col(id_col)), F.lit(max(rounds, 1)))
+    n = total / max(rounds, 1)
+    tasks = int(max(n // TASK_TOKENS, min(spark.sparkContext.defaultParallelism, n // LEAST_TASK_TOKENS))) + 1
     for k in range(rounds if total else 0):
-        weights = train_round(training.filter(part == k).select(text_col), words, weights)
+        weights = train_round(training.filter(part == k).select(text_col), words, weights, tasks)
+    return counts, vocabulary, weights
+
+
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """``docs`` without the text, with held_out, n_tokens, n_known, train_tokens, base_score and score."""
+    spark = docs.sparkSession
+    vocabulary_table, vocabulary, weights = train(docs, id_col=id_col, text_col=text_col, rounds=rounds)
+    total, distinct = vocabulary.total, vocabulary.distinct
+    words = spark.sparkContext.broadcast(vocabulary)
     model = spark.sparkContext.broadcast(weights)
 
-    own = [c for c in docs.columns if c not in (text_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")]
-    ready = docs.select(*own, held_out(id_col).alias("held_out"), F.col(text_col).alias("__text"))
+    own = others(docs, text_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    whole_text, rares, row_id = fresh(docs, "whole_text", "rares", "row_id")
+    base_sum, model_sum, known_sum, found_sum, logs_sum = fresh(docs, "base_sum", "model_sum", "known_sum", "found_sum", "logs_sum")
+    ready = docs.select(*own, held_out(id_col).alias("held_out"), F.col(text_col).alias(whole_text))
     rare = T.ArrayType(T.StructType([T.StructField("token", T.BinaryType()), T.StructField("n", T.LongType())]))
-    more = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("model", T.DoubleType()), ("__rare", rare)]
+    more = [("n_tokens", T.LongType()), (known_sum, T.LongType()), (base_sum, T.DoubleType()), (model_sum, T.DoubleType()), (rares, rare)]
     out = T.StructType([*ready.schema.fields[:-1], *(T.StructField(n, t) for n, t in more)])
     schema = to_arrow_schema(out)
 
@@ -261,33 +328,25 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 lengths = np.array(list(map(len, found)))
                 starts = np.cumsum([0, *lengths])[:-1]
                 ids = v.ids([t for f in found for t in f])
-                kind, place, of_class, of_word = features(ids, starts)
-                p = np.zeros(len(ids))
-                for a in range(0, len(ids), STEP_TOKENS):
-                    at = slice(a, a + STEP_TOKENS)
-                    p[at] = log_probability(w[0], of_class[:, at], kind[at])
-                    inner = a + np.flatnonzero(kind[at] < CLASSES - 1)
-                    if len(inner):
-                        p[inner] += log_probability(w[1], of_word[:, inner], place[inner])
-                p /= LOG10
+                p = np.concatenate([np.add.reduceat(log_probability(w, rows, branch).astype(np.float64), begin) for begin, branch, rows in in_parts(v, ids, starts)]) / LOG10
                 base = log_count[ids]  # a rarer word's count is added by the join
-                tail = kind == CLASSES - 1
-                p[tail] += base[tail] - np.log10(v.tail)
+                p[ids < 0] -= np.log10(v.tail)
                 sums = [np.add.reduceat(x, starts) for x in (base, p, (ids >= 0).astype(np.int64))]
-                rares = []
+                unknown = []
                 for f, a, n in zip(found, starts, lengths):
                     counts: dict[bytes, int] = {}
                     for k in np.flatnonzero(ids[a : a + n] < 0):
                         counts[f[k]] = counts.get(f[k], 0) + 1
-                    rares.append([{"token": t, "n": c} for t, c in counts.items()])
-                cols = [*batch.columns[:-1], pa.array(lengths, pa.int64()), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), pa.array(rares, schema.field("__rare").type)]
+                    unknown.append([{"token": t, "n": c} for t, c in counts.items()])
+                cols = [*batch.columns[:-1], pa.array(lengths, pa.int64()), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), pa.array(unknown, schema.field(rares).type)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    scored = materialize(ready.mapInArrow(score, out).withColumn("__row", F.monotonically_increasing_id()), "scored")
-    each = scored.select("__row", F.explode("__rare").alias("r")).select("__row", F.col("r.token").alias("token"), F.col("r.n").alias("n"))
-    # no rare word is in more than a small share of the rows: KNOWN words are more frequent
-    of_row = each.join(vocabulary_table, "token").groupBy("__row").agg(F.sum("n").alias("found"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("logs"))
-    result = scored.join(of_row, "__row", "left")
-    logs, known = F.coalesce("logs", F.lit(0.0)), F.col("n_known") + F.coalesce("found", F.lit(0))
+    scored = materialize(ready.mapInArrow(score, out).withColumn(row_id, F.monotonically_increasing_id()), "scored")
+    each = scored.select(F.col(row_id).alias("row"), F.explode(rares).alias("r")).select("row", F.col("r.token").alias("token"), F.col("r.n").alias("n"))
+    # a word beyond the known ones has less than a share of 1 / KNOWN of the training tokens
+    of_row = each.join(vocabulary_table, "token").groupBy("row").agg(F.sum("n").alias("found"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("logs"))
+    of_row = of_row.select(F.col("row").alias(row_id), F.col("found").alias(found_sum), F.col("logs").alias(logs_sum))
+    result = scored.join(of_row, row_id, "left")
+    logs, known = F.coalesce(logs_sum, F.lit(0.0)), F.col(known_sum) + F.coalesce(found_sum, F.lit(0))
     denominator = float(np.log10(total + distinct + 1))
-    return result.select(*own, "held_out", "n_tokens", known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + logs - F.col("n_tokens") * denominator).alias("base_score"), (F.col("model") + logs).alias("score"))
+    return result.select(*own, "held_out", "n_tokens", known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col(base_sum) + logs - F.col("n_tokens") * denominator).alias("base_score"), (F.col(model_sum) + logs).alias("score"))

@@ -98,9 +98,17 @@ lens as (select distinct n from k),
 d as (select doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') as win from w, lens, lateral (select unnest(range(1, len(ws) - n + 2)) as i)),
 m as (select distinct doc_id, i, n, item_id from d join k using (win, n)),
 hits as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from m) group by doc_id),
-items as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as list from (select distinct doc_id, item_id from m) group by doc_id)
-select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from w left join hits using (doc_id) left join items using (doc_id)
+items as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as list from (select distinct doc_id, item_id from m) group by doc_id),
+terms as (select distinct win, n, j, string_split(win, ' ')[j] as term from k, lateral (select unnest(range(1, n + 1)) as j)),
+tok as (select doc_id, p, ws[p] as term from w, lateral (select unnest(range(1, len(ws) + 1)) as p) where ws[p] in (select term from terms)),
+freq as (select term, count(*) as c from tok group by term),
+rarest as (select win, first(term order by coalesce(c, 0), j) as term from terms left join freq using (term) group by win),
+anchors as (select distinct doc_id, p, win from tok join rarest using (term)),
+needed as (select win, count(distinct term) as n_terms from terms group by win),
+met as (select a.doc_id, a.p, a.win, count(distinct t.term) as n_met from anchors a join (select distinct win, term from terms) n on n.win = a.win join tok t on t.doc_id = a.doc_id and t.term = n.term and t.p between a.p - 15 and a.p + 15 group by all),
+near as (select doc_id, count(distinct item_id) as n_near from met join needed using (win) join k using (win) where n_met = n_terms group by doc_id)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0) as n_near
+from w left join hits using (doc_id) left join items using (doc_id) left join near using (doc_id)
 """,
     "op4_exact_dedup": r"""
 with n as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents),
