@@ -357,18 +357,23 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     return out.select(*own, "n_words", F.coalesce("hits", F.lit(b"")).alias("hits"), F.coalesce("items", none).alias("items"), F.coalesce("near", none).alias("near"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, proximity: int | None = PROXIMITY, **options) -> DataFrame:
+def carried(docs: DataFrame, benchmark: DataFrame, text_col: str, columns: list[str], **options) -> tuple[DataFrame, dict[str, str]]:
+    """The hits of ``docs`` beside its columns under names that can't clash, and these names."""
+    names = {c: f"own_{k}" for k, c in enumerate(columns)}
+    renamed = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.col(text_col).alias("searched"))
+    return find_hits(renamed, benchmark, text_col="searched", **options), names
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", proximity: int | None = PROXIMITY, **options) -> DataFrame:
     """``docs`` without the text, with n_words, n_hit, n_items, items_sha256, contaminated and n_near (items with a proximity
     match of any of their windows; exact ones count)."""
-    made = ("n_hit", "n_items", "items_sha256", "contaminated", "n_near")
-    found = find_hits(docs.select(*others(docs, *made)), benchmark, proximity=proximity, **options)
+    found, names = carried(docs, benchmark, text_col, others(docs, text_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"), proximity=proximity, **options)
     n_hit = (F.octet_length("hits") / 4).cast("long")
-    return found.select("*", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near")).drop("hits", "items", "near")
+    made = [n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near")]
+    return found.select(*(F.col(n).alias(c) for c, n in names.items()), "n_words", *made)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that no benchmark window occurs in, with their own columns."""
-    names = fresh(docs, *(f"own_{k}" for k in range(len(docs.columns))))
-    carried = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names)), F.col(text_col).alias("searched"))
-    clean = find_hits(carried, benchmark, text_col="searched", **options).filter(F.octet_length("hits") == 0)
-    return clean.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))
+    found, names = carried(docs, benchmark, text_col, docs.columns, **options)
+    return found.filter(F.octet_length("hits") == 0).select(*(F.col(n).alias(c) for c, n in names.items()))
