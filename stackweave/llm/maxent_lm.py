@@ -39,7 +39,7 @@ KNOWN = 65_536
 LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 17  # of hashed features
 ROUNDS = 2
 STEP_TOKENS = 8192
-RATE = 0.25
+RATE, SHARE = 0.25, np.float32(0.3)
 TASK_TOKENS, LEAST_TASK_TOKENS = 8_000_000, 1_000_000  # that a task trains on in a round
 PART_TOKENS = 400_000  # distinct tokens that a task holds before it passes its counts on
 BLOCK_ROWS = 4096  # rows of the table that are merged together
@@ -168,7 +168,7 @@ def steps(v: Vocabulary, leaf: np.ndarray, before: np.ndarray, skip: np.ndarray)
     token = np.repeat(np.arange(len(leaf)), depth)
     at = v.first[leaf][token] + np.arange(len(token)) - begin[token]
     node = v.nodes[at]
-    row = lambda h: (hashed(h[token], node) % np.uint64(v.rows)).astype(np.int64) + len(v.bias)
+    row = lambda h: (hashed(h[token], node) & np.uint64(v.rows - 1)).astype(np.int64) + len(v.bias)
     return begin, v.branches[at], [node, row(before), row(skip)]
 
 
@@ -188,7 +188,7 @@ def log_probability(table: np.ndarray, rows: list[np.ndarray], branch: np.ndarra
 
 
 def learn(table: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], branch: np.ndarray) -> None:
-    """One Adagrad step on the rows' features."""
+    """One Adagrad step on the rows' features, with one rate for each row: squares has 1 + ``SHARE`` times its squared gradients."""
     gradient = logits(table, rows)
     np.exp(gradient, out=gradient)
     gradient /= gradient.sum(axis=1, keepdims=True)
@@ -199,11 +199,9 @@ def learn(table: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], branch
         first = np.flatnonzero(np.diff(at, prepend=-1))
         g = np.add.reduceat(gradient[order], first, axis=0)
         at = at[first]
-        seen = squares[at] + g * g
+        seen = squares[at] + SHARE * np.einsum("ij,ij->i", g, g)
         squares[at] = seen
-        np.sqrt(seen, out=seen)
-        g *= RATE
-        g /= seen
+        g *= (RATE / np.sqrt(seen))[:, None]
         table[at] -= g
 
 
@@ -240,7 +238,7 @@ def train_round(texts: DataFrame, vocabulary, weights: np.ndarray, tasks: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        v, w, squares, seen = vocabulary.value, start.value.copy(), np.ones(start.value.shape, dtype=np.float32), 0
+        v, w, squares, seen = vocabulary.value, start.value.copy(), np.ones(len(start.value), dtype=np.float32), 0
         texts_of = (b.column(0).to_pylist() for whole in batches for b in slices(whole, 256))
         for ids, starts in stretches(texts_of, v, STEP_TOKENS):
             for _, branch, rows in in_parts(v, ids, starts):
@@ -249,7 +247,7 @@ def train_round(texts: DataFrame, vocabulary, weights: np.ndarray, tasks: int) -
         if not seen:
             return
         w -= start.value
-        mass = squares.sum(axis=1) - WIDTH
+        mass = squares - 1
         for block in range(len(w) // BLOCK_ROWS):
             of = slice(block * BLOCK_ROWS, (block + 1) * BLOCK_ROWS)
             changed = np.flatnonzero(mass[of] > 0)
