@@ -1,7 +1,12 @@
 """A corpus pipeline of the corpus operators: quality, exact and near duplicates, contamination, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns what it keeps with the columns of documents; the last returns packed
-pieces. Each stage's result is written and read again before the next."""
+pieces. Each stage's result is written and read again before the next.
+
+Defined results: a null text is an empty one, scores 0.5 and is rejected by the first stage unless a lower threshold is
+set there; of repeated rows one stays; a row without doc_id passes the near-duplicate stage as it is; columns beyond those of
+documents are carried up to the packing stage, which drops them; empty tables give no rows, without labels nothing reaches
+the threshold, and without benchmark items nothing is contaminated."""
 
 from __future__ import annotations
 
