@@ -41,7 +41,7 @@ WINDOW = 10
 PROXIMITY = 15  # words on either side of a window's rarest term
 BLOCK_WORDS, BLOCK_BYTES = 1_000_000, 64_000_000
 SHARD_CHARS = 2_000_000
-PAIRS = 1_000_000  # places and windows that are compared at once
+PAIRS = 250_000  # places and windows that are compared at once
 MADE = ("n_words", "hits", "items", "near")
 
 

@@ -52,7 +52,7 @@ _RANDOM = np.random.default_rng(20260101)
 _A = _RANDOM.integers(1, 1 << 63, size=TREES * LEVELS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, size=TREES * LEVELS, dtype=np.uint64)
 _P = _RANDOM.integers(1, 1 << 63, size=SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 
 class WordHashes(dict):
