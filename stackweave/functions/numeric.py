@@ -131,3 +131,89 @@ def complex_sqrt(a: Column) -> Column:
     re = F.sqrt((r + a["re"]) / 2)
     im = F.sqrt((r - a["re"]) / 2)
     return complex_of(re, F.when(a["im"] < 0, -im).otherwise(im))
+
+
+def shift_left(a: Column, b: Column) -> Column:
+    """a << b for whole numbers, 0 <= b below the width of a."""
+    return F.call_function("shiftleft", a, b.cast("int"))
+
+
+def shift_right(a: Column, b: Column) -> Column:
+    """a >> b, which keeps the sign."""
+    return F.call_function("shiftright", a, b.cast("int"))
+
+
+def float_at_least(a: Column, b: Column) -> Column:
+    """a >= b; false if either is NaN."""
+    return (a >= b) & ~F.isnan(a) & ~F.isnan(b)
+
+
+def float_not_equal(a: Column, b: Column) -> Column:
+    """a != b; true if either is NaN."""
+    return ~float_equal(a, b)
+
+
+def whole(x: Column, kind: str = "bigint") -> Column:
+    """The cast of a float to a whole kind: cut towards zero; 0 for NaN and infinities, which have none."""
+    return F.when(F.isnan(x) | (F.abs(x) == inf()), F.lit(0)).otherwise(x).cast(kind)
+
+
+def complex_real(a: Column) -> Column:
+    return a["re"].cast("float")
+
+
+def complex_imag(a: Column) -> Column:
+    return a["im"].cast("float")
+
+
+def complex_equal(a: Column, b: Column) -> Column:
+    return float_equal(a["re"], b["re"]) & float_equal(a["im"], b["im"])
+
+
+def complex_not_equal(a: Column, b: Column) -> Column:
+    return ~complex_equal(a, b)
+
+
+def one() -> Column:
+    return complex_of(F.lit(1.0), F.lit(0.0))
+
+
+def complex_pow(a: Column, b: Column) -> Column:
+    """a to the power b by logarithms; 0 to the power 0 is 1, and 0 to any other 0."""
+    zero, none = (a["re"] == 0) & (a["im"] == 0), (b["re"] == 0) & (b["im"] == 0)
+    return F.when(none, one()).when(zero, complex_of(F.lit(0.0), F.lit(0.0))).otherwise(complex_exp(complex_mul(b, complex_log(a))))
+
+
+def complex_expm1(a: Column) -> Column:
+    """exp(a) - 1 without loss for small a."""
+    half = F.sin(a["im"] / 2)
+    return complex_of(F.expm1(a["re"]) * F.cos(a["im"]) - 2 * half * half, F.exp(a["re"]) * F.sin(a["im"]))
+
+
+def complex_log1p(a: Column) -> Column:
+    """log(1 + a); for small a without the loss of adding 1."""
+    return complex_of(0.5 * log1p(a["re"] * (2 + a["re"]) + a["im"] * a["im"]), F.atan2(a["im"], 1 + a["re"]))
+
+
+def complex_sin(a: Column) -> Column:
+    return complex_of(F.sin(a["re"]) * F.cosh(a["im"]), F.cos(a["re"]) * F.sinh(a["im"]))
+
+
+def complex_cos(a: Column) -> Column:
+    return complex_of(F.cos(a["re"]) * F.cosh(a["im"]), -F.sin(a["re"]) * F.sinh(a["im"]))
+
+
+def complex_tan(a: Column) -> Column:
+    return complex_div(complex_sin(a), complex_cos(a))
+
+
+def complex_sinh(a: Column) -> Column:
+    return complex_of(F.sinh(a["re"]) * F.cos(a["im"]), F.cosh(a["re"]) * F.sin(a["im"]))
+
+
+def complex_cosh(a: Column) -> Column:
+    return complex_of(F.cosh(a["re"]) * F.cos(a["im"]), F.sinh(a["re"]) * F.sin(a["im"]))
+
+
+def complex_tanh(a: Column) -> Column:
+    return complex_div(complex_sinh(a), complex_cosh(a))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from . import frames as frames_of
 from .fourier import spectra
 
 #: Critical dose over spatial frequency q, V * (A * q**B + C): fixed values of the published dose weighting.
@@ -91,6 +94,64 @@ def ring_correlation(halves: DataFrame, ny: int, nx: int) -> DataFrame:
     return both.groupBy("stack_id", radius.alias("k")).agg((shared / F.nullif(F.sqrt(power(0) * power(1)), F.lit(0.0))).alias("frc"))
 
 
+def accumulated_dose(frames: DataFrame, dose: str, missing: float = 0.0) -> DataFrame:
+    """frames(stack_id, frame, dose) with the dose before and after each: the running sum, on top of what was missed before
+    the first frame."""
+    w = Window.partitionBy("stack_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    after = F.sum(dose).over(w) + missing
+    return frames.withColumns({"dose_before": after - F.col(dose), "dose_after": after})
+
+
+def pair_record(pairs: DataFrame) -> DataFrame:
+    """What is kept of each pair: mean, variance and largest value of the product of its frames, their correlation at no
+    shift, and the means and deviations of both."""
+    n = F.size("px_i").cast("double")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double"))
+    product = F.zip_with("px_i", "px_j", lambda p, q: p.cast("double") * q.cast("double"))
+    kept = pairs.select("stack_id", "i", "j", n.alias("n"), product.alias("c"), *(f(F.col(f"px_{k}")).alias(f"{m}_{k}") for k in ("i", "j") for m, f in (("s", total), ("q", lambda a: dot(a, a)))))
+    mean, square = total(F.col("c")) / F.col("n"), dot(F.col("c"), F.col("c")) / F.col("n")
+    of = lambda k: (F.col(f"s_{k}") / F.col("n"), F.sqrt(F.greatest(F.col(f"q_{k}") / F.col("n") - (F.col(f"s_{k}") / F.col("n")) ** 2, F.lit(0.0))))
+    (mean_i, sd_i), (mean_j, sd_j) = of("i"), of("j")
+    corr = total(F.col("c")) / F.nullif(F.sqrt(F.col("q_i") * F.col("q_j")), F.lit(0.0))
+    return kept.select("stack_id", "i", "j", mean.alias("mean_c"), (square - mean * mean).alias("var_c"), F.array_max("c").alias("max_c"), corr.alias("origin_c"), mean_i.alias("mean_i"), sd_i.alias("sd_i"), mean_j.alias("mean_j"), sd_j.alias("sd_j"))
+
+
+def filter_radius(cutoff: float, pixelsize: float, ny: int, nx: int) -> tuple[float, float]:
+    """Fourier radius (rows, columns) at which a filter of such a cut-off spacing falls to 1/e."""
+    return pixelsize * ny / cutoff, pixelsize * nx / cutoff
+
+
+def lattice_limit(gamma: Column, a: Column, b: Column) -> Column:
+    """The smaller squared spacing of a lattice with sides a and b and the angle gamma between them (radians)."""
+    return F.least(a * a, b * b) * F.sin(gamma) ** 2
+
+
+def tiled_ring_correlation(halves: DataFrame, box: int, step: int, ny: int, nx: int, margin: int = 0) -> DataFrame:
+    """Ring correlation of halves(stack_id, half 0/1, px) over tiles under a round window: at every frequency the mean over
+    tiles of how far the halves' phases agree, over its value at frequency 0, then its mean by radius around the centre.
+
+    Tiles are cut, windowed and transformed one by one: what meets of a stack is as long as a tile."""
+    pixels = frames_of.as_pixels(halves.select(F.struct("stack_id", "half").alias("stack_id"), F.lit(0).alias("frame"), "px"), nx)
+    cut = frames_of.tiles(pixels, box, step, ny, nx, margin)
+    weighted = cut.withColumn("v", F.col("v") * round_hann(F.col("y"), F.col("x"), box))
+    tiles = weighted.groupBy(F.col("stack_id.stack_id").alias("stack_id"), F.col("stack_id.half").alias("half"), "tile_y", "tile_x").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda s: s["v"]).alias("px"))
+    z = spectra(tiles, box, box)
+    side = lambda h: z.filter(F.col("half") == h).select("stack_id", "tile_y", "tile_x", F.col("re").alias(f"re{h}"), F.col("im").alias(f"im{h}"))
+    both = side(0).join(side(1), ["stack_id", "tile_y", "tile_x"]).select("stack_id", F.posexplode(F.arrays_zip("re0", "im0", "re1", "im1")).alias("pos", "z"))
+    f = lambda c: F.col(f"z.{c}")
+    agree = (f("re0") * f("re1") + f("im0") * f("im1")) / F.nullif(F.hypot(f("re0"), f("im0")) * F.hypot(f("re1"), f("im1")), F.lit(0.0))
+    mean = both.groupBy("stack_id", "pos").agg(F.avg(agree).alias("v"))
+    centre = mean.filter("pos = 0").select("stack_id", F.col("v").alias("dc"))
+    image = mean.join(centre, "stack_id").select("stack_id", F.lit(0).alias("frame"), F.expr(f"cast((pos div {box} + {box // 2}) % {box} as int)").alias("y"), F.expr(f"cast((pos % {box} + {box // 2}) % {box} as int)").alias("x"), (F.col("v") / F.nullif("dc", F.lit(0.0))).alias("v"))
+    return frames_of.radial_mean(image, box, box).select("stack_id", F.col("radius").alias("k"), F.col("mean").alias("frc"))
+
+
+def round_hann(y: Column, x: Column, box: int) -> Column:
+    """A cosine window from 1 at the centre to 0 at half the side and beyond."""
+    r = F.hypot((y - box // 2) / (box / 2), (x - box // 2) / (box / 2))
+    return F.when(r <= 1, 0.5 * (1 + F.cos(math.pi * r))).otherwise(0.0)
+
+
 def dose_weight(frame: Column, q: Column, dose_per_frame: float, voltage_factor: float = 1.0) -> Column:
     """Weight of a frequency q > 0 (1/Angstrom) in a frame (from 0) after the dose up to its end; 1 at q = 0."""
     critical = voltage_factor * (DOSE_A * F.pow(q, F.lit(DOSE_B)) + DOSE_C)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,24 +43,121 @@ def incoherent_magnitude(frames: DataFrame, ny: int, nx: int) -> DataFrame:
     return each.groupBy("stack_id", F.expr(f"pos div {nx}").cast("int").alias("ky"), (F.col("pos") % nx).alias("kx")).agg(F.avg("m").alias("magnitude"))
 
 
-def pair_shifts(pairs: DataFrame, ny: int, nx: int) -> DataFrame:
-    """Whole-pixel shift of frame j against frame i at the peak of their circular cross-correlation, by pair rows."""
+def pair_shifts(pairs: DataFrame, ny: int, nx: int, sub: int = 1, low_pass: float = 0.0) -> DataFrame:
+    """Shift of frame j against frame i at the peak of their circular cross-correlation, by pair rows.
+
+    ``low_pass`` is the deviation, in pixels, of a Gaussian over the correlation. With ``sub`` above 1 shifts are multiples
+    of 1 / sub pixel: the spectrum of the 16 x 16 pixels around the peak is padded with zeros to so many times its size."""
+    ky, kx = np.fft.fftfreq(ny)[:, None], np.fft.fftfreq(nx)[None, :]
+    smooth = np.exp(-2 * (np.pi * low_pass) ** 2 * (ky**2 + kx**2))
+    by, bx = min(16, ny), min(16, nx)
+
+    def finer(c: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, cols = (y[:, None] + np.arange(-(by // 2), by - by // 2)) % ny, (x[:, None] + np.arange(-(bx // 2), bx - bx // 2)) % nx
+        z = np.fft.fftshift(np.fft.fft2(c[np.arange(len(c))[:, None, None], rows[:, :, None], cols[:, None, :]]), axes=(1, 2))
+        wide = np.zeros((len(c), by * sub, bx * sub), dtype=complex)
+        top, left = by * sub // 2 - by // 2, bx * sub // 2 - bx // 2
+        wide[:, top : top + by, left : left + bx] = z
+        fine = np.fft.ifft2(np.fft.ifftshift(wide, axes=(1, 2))).real
+        # the peak lies within a pixel of the largest one, not at the rims that the cut makes
+        ry, rx = (np.arange(n * sub) for n in (by, bx))
+        near = (np.abs(ry - by // 2 * sub) <= sub)[:, None] & (np.abs(rx - bx // 2 * sub) <= sub)[None, :]
+        at = np.where(near, fine, -np.inf).reshape(len(c), -1).argmax(axis=1)
+        return at // (bx * sub) / sub - by // 2, at % (bx * sub) / sub - bx // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.array(batch.column(k).to_pylist(), dtype=np.float64).reshape(-1, ny, nx) for k in ("px_i", "px_j"))
-            a, b = (z - z.mean(axis=(1, 2), keepdims=True) for z in (a, b))
-            c = np.fft.ifft2(np.fft.fft2(a) * np.conj(np.fft.fft2(b))).real.reshape(len(a), -1)
-            at = c.argmax(axis=1)
-            dy, dx = (at // nx + ny // 2) % ny - ny // 2, (at % nx + nx // 2) % nx - nx // 2
-            significance = (c.max(axis=1) - c.mean(axis=1)) / np.maximum(c.std(axis=1), 1e-12)
-            keys = [batch.column(k) for k in ("stack_id", "i", "j")]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(dy.astype(np.int32)), pa.array(dx.astype(np.int32)), pa.array(significance)], names=["stack_id", "i", "j", "dy", "dx", "peaksig"])
-
-    kind = pairs.schema["stack_id"].dataType.simpleString()
-    return pairs.mapInArrow(run, f"stack_id {kind}, i int, j int, dy int, dx int, peaksig double")
+        for whole in batches:
+            for start in range(0, whole.num_rows, 64):
+                batch = whole.slice(start, 64)
+                a, b = (np.array(batch.column(k).to_pylist(), dtype=np.float64).reshape(-1, ny, nx) for k in ("px_i", "px_j"))
+                a, b = (z - z.mean(axis=(1, 2), keepdims=True) for z in (a, b))
+                square = np.fft.ifft2(np.fft.fft2(a) * np.conj(np.fft.fft2(b)) * smooth).real
+                c = square.reshape(len(a), -1)
+                at = c.argmax(axis=1)
+                y, x = at // nx, at % nx
+                dy, dx = (y + ny // 2) % ny - ny // 2, (x + nx // 2) % nx - nx // 2
+                if sub > 1:
+                    dy, dx = (whole_px + part for whole_px, part in zip((dy, dx), finer(square, y, x)))
+                significance = (c.max(axis=1) - c.mean(axis=1)) / np.maximum(c.std(axis=1), 1e-12)
+                keys = [batch.column(k) for k in ("stack_id", "i", "j")]
+                yield pa.RecordBatch.from_arrays([*keys, *(pa.array(d.astype(np.int32) if sub == 1 else d.astype(np.float64)) for d in (dy, dx)), pa.array(significance)], names=["stack_id", "i", "j", "dy", "dx", "peaksig"])
+
+    kind, number = pairs.schema["stack_id"].dataType.simpleString(), "int" if sub == 1 else "double"
+    return pairs.select("stack_id", "i", "j", "px_i", "px_j").mapInArrow(run, f"stack_id {kind}, i int, j int, dy {number}, dx {number}, peaksig double")
+
+
+def pad(frames: DataFrame, ny: int, nx: int, to_ny: int, to_nx: int) -> DataFrame:
+    """Frames with zeros below and to the right."""
+    return _apply(frames, ny, nx, lambda px: {"px": np.pad(px, ((0, 0), (0, to_ny - ny), (0, to_nx - nx)))}, "px array<double>")
+
+
+def fourier_crop(frames: DataFrame, ny: int, nx: int, to_ny: int, to_nx: int) -> DataFrame:
+    """Frames of fewer pixels from their low frequencies alone; sides are even, means stay."""
+
+    def cropped(px: np.ndarray) -> dict[str, np.ndarray]:
+        z = np.fft.fft2(px)
+        keep = lambda n, m: np.r_[0 : m // 2, n - m // 2 : n]
+        z = z[:, keep(ny, to_ny)][:, :, keep(nx, to_nx)]
+        return {"px": np.fft.ifft2(z).real * (to_ny * to_nx / (ny * nx))}
+
+    return _apply(frames, ny, nx, cropped, "px array<double>")
+
+
+def gaussian(frames: DataFrame, ny: int, nx: int, deviation: float) -> DataFrame:
+    """A Gaussian over each frame, cut at four deviations; edges are mirrored."""
+    half = int(4 * deviation + 0.5)
+    w = np.exp(-0.5 * (np.arange(-half, half + 1) / deviation) ** 2)
+    w /= w.sum()
+
+    def along(px: np.ndarray, axis: int) -> np.ndarray:
+        wide = np.pad(px, [(half, half) if a == axis else (0, 0) for a in range(3)], mode="symmetric")
+        return sum(w[k] * np.take(wide, np.arange(k, k + px.shape[axis]), axis=axis) for k in range(2 * half + 1))
+
+    return _apply(frames, ny, nx, lambda px: {"px": along(along(px, 1), 2)}, "px array<double>")
+
+
+#: Weights of the kernel that halves or doubles an image: fixed values.
+MAGIC = (0.25, 0.75, 0.75, 0.25)
+
+
+def magic_halved(frames: DataFrame, ny: int, nx: int) -> DataFrame:
+    """Frames of half the sides: each new pixel is the weighted mean of the 4 x 4 around its 2 x 2; edges are mirrored."""
+
+    def along(px: np.ndarray, axis: int) -> np.ndarray:
+        wide = np.pad(px, [(1, 1) if a == axis else (0, 0) for a in range(3)], mode="symmetric")
+        n = px.shape[axis] // 2
+        return sum(w / 2 * np.take(wide, np.arange(n) * 2 + k, axis=axis) for k, w in enumerate(MAGIC))
+
+    return _apply(frames, ny, nx, lambda px: {"px": along(along(px, 1), 2)}, "px array<double>")
+
+
+def magic_doubled(frames: DataFrame, ny: int, nx: int) -> DataFrame:
+    """Frames of twice the sides: a new pixel is three parts of the pixel that it lies in and one of the next; edges are mirrored."""
+
+    def along(px: np.ndarray, axis: int) -> np.ndarray:
+        wide = np.pad(px, [(1, 1) if a == axis else (0, 0) for a in range(3)], mode="symmetric")
+        n = px.shape[axis]
+        near, before, after = (np.take(wide, np.arange(n) + k, axis=axis) for k in (1, 0, 2))
+        both = np.stack([0.75 * near + 0.25 * before, 0.75 * near + 0.25 * after], axis=axis + 1)
+        return both.reshape([2 * n if a == axis else s for a, s in enumerate(px.shape)])
+
+    return _apply(frames, ny, nx, lambda px: {"px": along(along(px, 1), 2)}, "px array<double>")
+
+
+def fft_sizes(most: int) -> list[int]:
+    """Even sizes up to ``most`` without other prime factors than 2, 3, 5 and 7, sorted."""
+    found = {1}
+    for prime in (2, 3, 5, 7):
+        todo = list(found)
+        while todo:
+            todo = [n * prime for n in todo if n * prime <= most]
+            found.update(todo)
+    return sorted(n for n in found if n % 2 == 0)
+
+
+def next_fft_size(n: Column, most: int) -> Column:
+    """The smallest such size that isn't below n; null beyond the largest."""
+    return F.array_min(F.filter(F.lit(fft_sizes(most)), lambda size: size >= n))
 
 
 def _moved(frames: DataFrame, ny: int, nx: int, move) -> DataFrame:

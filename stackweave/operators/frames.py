@@ -14,9 +14,13 @@ from pyspark.sql.window import Window
 
 
 def as_frames(table: DataFrame, stack: str, order: str, px: str) -> DataFrame:
-    """Numbers the rows of each stack by ``order``; the window moves ids and pixels once."""
-    number = F.row_number().over(Window.partitionBy(stack).orderBy(order)) - 1
-    return table.select(F.col(stack).alias("stack_id"), number.alias("frame"), F.col(px).alias("px"))
+    """Numbers the rows of each stack by ``order``, whose values differ within a stack; rows without either are left out.
+
+    The window sees ids only; pixels meet their numbers by a join on stack and order, so no stack is one task."""
+    number = F.row_number().over(Window.partitionBy("stack_id").orderBy("at")) - 1
+    ids = table.select(F.col(stack).alias("stack_id"), F.col(order).alias("at")).select("stack_id", "at", number.alias("frame"))
+    rows = table.select(F.col(stack).alias("stack_id"), F.col(order).alias("at"), F.col(px).alias("px"))
+    return rows.join(ids, ["stack_id", "at"]).select("stack_id", "frame", "px")
 
 
 def as_pixels(frames: DataFrame, nx: int) -> DataFrame:
@@ -80,6 +84,62 @@ def peak(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("stack_id", "frame").agg(best.alias("b")).select("stack_id", "frame", (-F.col("b.ny")).alias("y"), (-F.col("b.nx")).alias("x"), F.col("b.v").alias("v"))
 
 
+def transpose(pixels: DataFrame) -> DataFrame:
+    return pixels.withColumns({"y": F.col("x"), "x": F.col("y")})
+
+
+def crop(pixels: DataFrame, ny: int, nx: int) -> DataFrame:
+    return pixels.filter((F.col("y") < ny) & (F.col("x") < nx))
+
+
+def crop_limits(trajectory: DataFrame) -> DataFrame:
+    """stack_id, top, left, bottom, right: how many edge rows and columns some frame of trajectory(stack_id, ty, tx) leaves empty."""
+    edge = lambda c: (F.greatest(F.ceil(F.max(c)), F.lit(0)).cast("int"), F.greatest(-F.floor(F.min(c)), F.lit(0)).cast("int"))
+    (top, bottom), (left, right) = edge("ty"), edge("tx")
+    return trajectory.groupBy("stack_id").agg(top.alias("top"), left.alias("left"), bottom.alias("bottom"), right.alias("right"))
+
+
+def crop_to_limits(pixels: DataFrame, limits: DataFrame, ny: int, nx: int) -> DataFrame:
+    """The pixels that every frame of their stack has, numbered from the crop's corner."""
+    met = pixels.join(limits, "stack_id").filter((F.col("y") >= F.col("top")) & (F.col("y") < ny - F.col("bottom")) & (F.col("x") >= F.col("left")) & (F.col("x") < nx - F.col("right")))
+    return met.withColumns({"y": F.col("y") - F.col("top"), "x": F.col("x") - F.col("left")}).drop("top", "left", "bottom", "right")
+
+
+def tiles(pixels: DataFrame, box: int, step: int, ny: int, nx: int, margin: int = 0) -> DataFrame:
+    """Pixels of every box x box tile that holds them, with tile_y, tile_x and their place in the tile. Tiles begin at the
+    margin and every ``step`` from there, while a further step would still fit."""
+    many = lambda n: (n - 2 * margin - box) // step
+
+    def holding(c: str, n: int) -> Column:
+        first = F.greatest(F.ceil((F.col(c) - margin - box + 1) / step), F.lit(0)).cast("int")
+        last = F.least(F.floor((F.col(c) - margin) / step), F.lit(many(n) - 1)).cast("int")
+        return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    each = pixels.withColumn("tile_y", F.explode(holding("y", ny))).withColumn("tile_x", F.explode(holding("x", nx)))
+    return each.withColumns({"y": F.col("y") - F.col("tile_y") * step - margin, "x": F.col("x") - F.col("tile_x") * step - margin})
+
+
+def ravel(edges: DataFrame, n: int) -> DataFrame:
+    """edges(stack_id, i, j) with their place in an n x n matrix, row by row."""
+    return edges.withColumn("pos", F.col("i").cast("bigint") * n + F.col("j"))
+
+
+def unravel(edges: DataFrame, n: int) -> DataFrame:
+    return edges.withColumns({"i": F.expr(f"cast(pos div {n} as int)"), "j": (F.col("pos") % n).cast("int")})
+
+
+def place_normalised(pixels: DataFrame) -> DataFrame:
+    """Each pixel less its place's mean over the frames of the stack, over its deviation there; null where it has none. The
+    moments are aggregated first and join back."""
+    moments = pixels.groupBy("stack_id", "y", "x").agg(F.avg("v").alias("__mean"), F.stddev_pop("v").alias("__sd"))
+    return pixels.join(moments, ["stack_id", "y", "x"]).withColumn("v", (F.col("v") - F.col("__mean")) / F.nullif("__sd", F.lit(0.0))).drop("__mean", "__sd")
+
+
+def times_row(pixels: DataFrame, row: DataFrame) -> DataFrame:
+    """Broadcasting of a lower rank: every pixel times the factor row(x, f) of its column; frames without pixels there lose none."""
+    return pixels.join(row, "x").withColumn("v", F.col("v") * F.col("f")).drop("f")
+
+
 def frame_pairs(frames: DataFrame, width: int, start: int = 0) -> DataFrame:
     """Pairs i < j of a stack with start < j - i <= start + width: each frame meets its own few partners by an equi-join."""
     left = frames.select("stack_id", F.col("frame").alias("i"), F.col("px").alias("px_i"), F.explode(F.sequence(F.col("frame") + start + 1, F.col("frame") + start + width)).alias("j"))
@@ -87,6 +147,18 @@ def frame_pairs(frames: DataFrame, width: int, start: int = 0) -> DataFrame:
     return left.join(right, ["stack_id", "j"]).select("stack_id", "i", "j", "px_i", "px_j")
 
 
+def given_pairs(frames: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (stack_id, i, j) of a table, with their frames' pixels."""
+    end = lambda c: frames.select("stack_id", F.col("frame").alias(c), F.col("px").alias(f"px_{c}"))
+    return pairs.select("stack_id", "i", "j").join(end("i"), ["stack_id", "i"]).join(end("j"), ["stack_id", "j"]).select("stack_id", "i", "j", "px_i", "px_j")
+
+
+def first_pairs(frames: DataFrame) -> DataFrame:
+    """Each later frame with the first of its stack."""
+    ids = frames.select("stack_id", F.col("frame").alias("j")).filter("j > 0")
+    return given_pairs(frames, ids.select("stack_id", F.lit(0).alias("i"), "j"))
+
+
 def correlations(pairs: DataFrame) -> DataFrame:
     """Zero-shift normalized correlation of each pair, on the arrays."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)

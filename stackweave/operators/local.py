@@ -94,6 +94,36 @@ def window_weight(kind: str, y: Column, x: Column, ny: int, nx: int, radius: flo
     raise ValueError(f"no window {kind!r}")
 
 
+def apodization(kind: str, y: Column, x: Column, ny: int, nx: int, order: int = 1) -> Column:
+    """Windows around the middle pixel of even sides, 1 there; r is 1 at half a side. Round: hann and hamming (0 beyond r = 1),
+    gauss, gauss_trunc (0 beyond r = 2), butter (of an order). Square, as products over both axes: hann_square,
+    hamming_square, butter_square."""
+    v, u = (y - ny // 2) / (ny / 2), (x - nx // 2) / (nx / 2)
+    r2 = v * v + u * u
+    cosine = lambda r, a: a + (1 - a) * F.cos(math.pi * r)
+    whole_order = lambda r: F.sqrt(1.0 / (1.0 + F.abs(r) ** order))
+    made = {
+        "hann": lambda: F.when(r2 <= 1, cosine(F.sqrt(r2), 0.5)).otherwise(0.0),
+        "hamming": lambda: F.when(r2 <= 1, cosine(F.sqrt(r2), 0.54)).otherwise(0.0),
+        "hann_square": lambda: cosine(v, 0.5) * cosine(u, 0.5),
+        "hamming_square": lambda: cosine(v, 0.54) * cosine(u, 0.54),
+        "gauss": lambda: F.exp(-r2),
+        "gauss_trunc": lambda: F.when(r2 <= 4, F.exp(-r2)).otherwise(0.0),
+        "butter": lambda: F.sqrt(1.0 / (1.0 + r2**order)),
+        "butter_square": lambda: whole_order(v) * whole_order(u),
+    }
+    if kind not in made:
+        raise ValueError(f"no window {kind!r}")
+    return made[kind]()
+
+
+def resample_nearest(frames: DataFrame, dy: float, dx: float, ny: int, nx: int) -> DataFrame:
+    """Every frame moved by a part of a pixel, by the pixel below each place."""
+    px = F.col("px")
+    moved = F.transform(F.sequence(F.lit(0), F.lit(ny * nx - 1)), lambda i: nearest(px, F.floor(i / nx) + dy, i % nx + dx, ny, nx))
+    return frames.withColumn("px", moved)
+
+
 def edge_mask(y: Column, x: Column, ny: int, nx: int, top: int, bottom: int, left: int, right: int) -> Column:
     """True inside the given edges."""
     return y.between(top, ny - 1 - bottom) & x.between(left, nx - 1 - right)

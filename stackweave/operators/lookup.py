@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, first, fallback) -> DataFrame:
-    """Joins by the key that ``first`` makes of a row, or else by ``fallback``; rows that neither finds are dropped."""
-    wanted = F.array_distinct(F.array(first, fallback))
-    each = left.withColumn("__row", F.struct(*left.columns)).select("__row", F.posexplode(wanted).alias("__order", key))
-    found = each.join(right, key)
+    """Joins by the key that ``first`` makes of a row, or, where the table has no such key, by ``fallback``; rows that neither
+    finds are dropped. Repeated rows stay repeated; no row is grouped."""
     values = [c for c in right.columns if c != key]
-    best = F.min_by(F.struct(key, *values), "__order").alias("b")
-    return found.groupBy("__row").agg(best).select("__row.*", "b.*")
+
+    def keyed(tag: str) -> DataFrame:
+        return right.select(F.col(key).alias(f"__{tag}_key"), *(F.col(c).alias(f"__{tag}_{c}") for c in values))
+
+    once = left.withColumn("__first", first).withColumn("__second", fallback)
+    once = once.join(keyed("a"), F.col("__first") == F.col("__a_key"), "left")
+    second = F.when(F.col("__a_key").isNull(), F.col("__second"))
+    both = once.join(keyed("b"), second == F.col("__b_key"), "left").filter("__a_key is not null or __b_key is not null")
+    found = F.col("__a_key").isNotNull()
+    return both.select(*left.columns, *(F.when(found, F.col(f"__a_{c}")).otherwise(F.col(f"__b_{c}")).alias(n) for c, n in (("key", key), *zip(values, values))))
+
+
+def basename(path) -> Column:
+    """The last part of a path without its last extension."""
+    return F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
+
+
+def by_basename(left: DataFrame, right: DataFrame, left_path: str, right_path: str) -> DataFrame:
+    """Pairs of rows whose paths have the same basename; rows without a partner are dropped."""
+    return left.withColumn("basename", basename(left_path)).join(right.withColumn("basename", basename(right_path)), "basename")
 
 
 def unknown(left: DataFrame, known: DataFrame, key: str, known_key: str) -> DataFrame:

@@ -23,6 +23,23 @@ def histogram(df: DataFrame, value: str, bins: int, by: list[str] | None = None)
     return out.select(*by, "bin", edge.alias("left_edge"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def step_histogram(df: DataFrame, value: str, step: float, by: list[str]) -> DataFrame:
+    """Counts between the edges lo, lo + step, ... below the largest value; the last edge is inclusive, what lies beyond it
+    isn't counted, and empty bins are rows."""
+    bounds = df.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    bounds = bounds.withColumn("bins", (F.ceil((F.col("hi") - F.col("lo")) / step) - 1).cast("int")).filter("bins > 0")
+    at = (F.col(value) - F.col("lo")) / step
+    bin_of = F.when(F.col(value) == F.col("lo") + F.col("bins") * step, F.col("bins") - 1).otherwise(F.floor(at)).cast("int")
+    counts = df.select(*by, value).join(bounds, by).groupBy(*by, bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = bounds.select(*by, "lo", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
+    return every.join(counts, [*by, "bin"], "left").select(*by, "bin", (F.col("lo") + F.col("bin") * step + step / 2).alias("centre"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def mean_curves(curves: DataFrame, x: str, y: str) -> DataFrame:
+    """The mean of many curves at each place, and how many have it."""
+    return curves.groupBy(x).agg(F.avg(y).alias("mean"), F.count(y).alias("n"))
+
+
 def cdf(hist: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Running share of a histogram's counts; a window over its bins, not over rows."""
     by = by or []

@@ -252,9 +252,12 @@ def sp15_incoherent(t):
     return fourier.incoherent_magnitude(stack(t), NY, NX).withColumn("magnitude", r(C("magnitude")))
 
 
-@query("sp05_pair_shifts")
+@query("sp05_pair_shifts", f"""with {FRAMES_SQL}, m as (select stack_id, frame, y, x, v - avg(v) over (partition by stack_id, frame) as v from p), d as (select sy, sx from (select unnest(range(-4, 4)) as sy), (select unnest(range(-4, 4)) as sx)),
+c as (select a.stack_id, a.frame as i, b.frame as j, sy, sx, sum(a.v * b.v) as c from m a join m b on a.stack_id = b.stack_id and b.frame - a.frame between 1 and 3, d where a.y = (b.y + sy + 8) % 8 and a.x = (b.x + sx + 8) % 8 group by all),
+s as (select stack_id, i, j, (max(c) - avg(c)) / stddev_pop(c) as peaksig, arg_max(sy, c) as dy, arg_max(sx, c) as dx from c group by all)
+select stack_id, i, j, cast(dy as integer) as dy, cast(dx as integer) as dx, round(peaksig, 4) as peaksig from s""")
 def sp05_pair_shifts(t):
-    return fourier.pair_shifts(frames.frame_pairs(stack(t), 3), NY, NX)
+    return fourier.pair_shifts(frames.frame_pairs(stack(t), 3), NY, NX).withColumn("peaksig", r(C("peaksig")))
 
 
 @query("st02_quiet", """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as new from events),
