@@ -44,6 +44,7 @@ TASK_TOKENS, LEAST_TASK_TOKENS = 8_000_000, 1_000_000  # that a task trains on i
 PART_TOKENS = 400_000  # distinct tokens that a task holds before it passes its counts on
 BLOCK_ROWS = 4096  # rows of the table that are merged together
 NEVER = -1e4  # logit of a branch that leads nowhere
+FURTHEST = 60.0  # from 0 that a logit counts
 END = b""  # the end token: no word is empty
 
 
@@ -173,36 +174,44 @@ def steps(v: Vocabulary, leaf: np.ndarray, before: np.ndarray, skip: np.ndarray)
 
 
 def logits(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = table[rows[0]]
+    """Sums of the features' rows, within what a float's exponential can hold; biases have 0 as their largest."""
+    z = table.take(rows[0], axis=0)
     for of_feature in rows[1:]:
-        z += table[of_feature]
-    z -= z.max(axis=1, keepdims=True)
-    return z
+        z += table.take(of_feature, axis=0)
+    return np.clip(z, -FURTHEST, FURTHEST, out=z)
+
+
+ONES = np.ones(WIDTH, dtype=np.float32)
 
 
 def log_probability(table: np.ndarray, rows: list[np.ndarray], branch: np.ndarray) -> np.ndarray:
     z = logits(table, rows)
     own = z[np.arange(len(z)), branch]
     np.exp(z, out=z)
-    return own - np.log(z.sum(axis=1))
+    return own - np.log(z @ ONES)
 
 
 def learn(table: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], branch: np.ndarray) -> None:
     """One Adagrad step on the rows' features, with one rate for each row: squares has 1 + ``SHARE`` times its squared gradients."""
     gradient = logits(table, rows)
     np.exp(gradient, out=gradient)
-    gradient /= gradient.sum(axis=1, keepdims=True)
+    gradient /= (gradient @ ONES)[:, None]
     gradient[np.arange(len(branch)), branch] -= 1
+    of_branch = np.ascontiguousarray(gradient.T, dtype=np.float64)
     for of_feature in rows:
         keys = np.sort((of_feature << 32) | np.arange(len(of_feature)))
         order, at = keys & 0xFFFFFFFF, keys >> 32
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        g = np.add.reduceat(gradient[order], first, axis=0)
-        at = at[first]
+        new = np.diff(at, prepend=-1) != 0
+        place = np.empty(len(at), dtype=np.int64)
+        place[order] = np.cumsum(new) - 1
+        at = at[new]
+        g = np.empty((len(at), WIDTH), dtype=np.float32)
+        for k in range(WIDTH):
+            g[:, k] = np.bincount(place, of_branch[k], len(at))
         seen = squares[at] + SHARE * np.einsum("ij,ij->i", g, g)
         squares[at] = seen
         g *= (RATE / np.sqrt(seen))[:, None]
-        table[at] -= g
+        table[at] = table.take(at, axis=0) - g
 
 
 def stretches(texts: Iterator[list[str | None]], vocabulary: Vocabulary, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
