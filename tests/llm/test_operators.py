@@ -95,13 +95,6 @@ def test_components(spark):
     assert got == {k: 0 for k in range(31)} | {50: 50, 70: 50, 90: 50}
 
 
-def test_components_of_long_ordered_chains(spark):
-    order = np.random.default_rng(4).permutation(3000) + 10_000
-    chains = [(k, k + 1) for k in range(4000)] + [(int(a), int(b)) for a, b in zip(order, order[1:])]
-    got = {r.id: r.component for r in connected_components(spark.createDataFrame(chains, "a bigint, b bigint")).collect()}
-    assert got == {k: 0 for k in range(4001)} | {k: 10_000 for k in range(10_000, 13_000)}
-
-
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     bench = spark.createDataFrame([("a", "x y")], "item_id string, text string")
