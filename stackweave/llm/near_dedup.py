@@ -265,7 +265,8 @@ def confirmed(candidates: DataFrame, docs: DataFrame, classes: DataFrame, id_col
     beside = chunks.select("component", F.explode(F.array(*(F.struct((F.col("band") + k).alias("band"), *(F.when(F.lit(k == j), F.col("chunks")).alias(n) for j, n in ((1, "below"), (0, "chunks"), (-1, "above")))) for k in (-1, 0, 1)))).alias("b")).select("component", "b.*")
     around = beside.groupBy("component", "band").agg(*(F.max(n).alias(n) for n in ("below", "chunks", "above"))).filter("chunks is not null")
     placed = banded.join(around, ["component", "band"]).select("id", "component", "band", "below", "chunks", "above", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(placed, "id")
+    # the texts in regions grow with the corpus, so their join is the same at every size: by id, never a broadcast
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(placed.hint("merge"), "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
