@@ -16,6 +16,8 @@ from .fourier import spectra
 
 #: Critical dose over spatial frequency q, V * (A * q**B + C): fixed values of the published dose weighting.
 DOSE_A, DOSE_B, DOSE_C = 0.24499, -1.6649, 2.8141
+#: The best dose over the critical one: a fixed value of the same.
+BEST_DOSE = 2.51284
 
 
 def stack_sums(frames: DataFrame) -> DataFrame:
@@ -131,8 +133,22 @@ def tiled_ring_correlation(halves: DataFrame, box: int, step: int, ny: int, nx:
     tiles of how far the halves' phases agree, over its value at frequency 0, then its mean by radius around the centre.
 
     Tiles are cut, windowed and transformed one by one: what meets of a stack is as long as a tile."""
-    pixels = frames_of.as_pixels(halves.select(F.struct("stack_id", "half").alias("stack_id"), F.lit(0).alias("frame"), "px"), nx)
-    cut = frames_of.tiles(pixels, box, step, ny, nx, margin)
+    return _rings(frames_of.tiles(_half_pixels(halves, nx), box, step, ny, nx, margin), box)
+
+
+def local_ring_correlation(halves: DataFrame, box: int, ny: int, nx: int) -> DataFrame:
+    """The same over the one tile at the centre of the image."""
+    top, left = ny // 2 - box // 2, nx // 2 - box // 2
+    at = _half_pixels(halves, nx).withColumns({"y": F.col("y") - top, "x": F.col("x") - left})
+    one = at.filter(F.col("y").between(0, box - 1) & F.col("x").between(0, box - 1))
+    return _rings(one.withColumns({"tile_y": F.lit(0), "tile_x": F.lit(0)}), box)
+
+
+def _half_pixels(halves: DataFrame, nx: int) -> DataFrame:
+    return frames_of.as_pixels(halves.select(F.struct("stack_id", "half").alias("stack_id"), F.lit(0).alias("frame"), "px"), nx)
+
+
+def _rings(cut: DataFrame, box: int) -> DataFrame:
     weighted = cut.withColumn("v", F.col("v") * round_hann(F.col("y"), F.col("x"), box))
     tiles = weighted.groupBy(F.col("stack_id.stack_id").alias("stack_id"), F.col("stack_id.half").alias("half"), "tile_y", "tile_x").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda s: s["v"]).alias("px"))
     z = spectra(tiles, box, box)
@@ -154,5 +170,21 @@ def round_hann(y: Column, x: Column, box: int) -> Column:
 
 def dose_weight(frame: Column, q: Column, dose_per_frame: float, voltage_factor: float = 1.0) -> Column:
     """Weight of a frequency q > 0 (1/Angstrom) in a frame (from 0) after the dose up to its end; 1 at q = 0."""
-    critical = voltage_factor * (DOSE_A * F.pow(q, F.lit(DOSE_B)) + DOSE_C)
-    return F.when(q > 0, F.exp(-0.5 * (frame + 1) * dose_per_frame / critical)).otherwise(1.0)
+    return F.when(q > 0, F.exp(-0.5 * (frame + 1) * dose_per_frame / critical_dose(q, voltage_factor))).otherwise(1.0)
+
+
+def critical_dose(q: Column, voltage_factor: float = 1.0) -> Column:
+    return voltage_factor * (DOSE_A * F.pow(q, F.lit(DOSE_B)) + DOSE_C)
+
+
+def best_dose_limit(before: Column, after: Column, step: float, n: int, voltage_factor: float = 1.0) -> Column:
+    """The highest of the frequencies step, 2 step, ... below n steps whose best dose is nearer to the dose after a frame
+    than to the dose before it, beyond which the frame adds noise only; 0 if none is."""
+    grid = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda k: k * F.lit(step))
+    useful = F.filter(grid, lambda q: BEST_DOSE * critical_dose(q, voltage_factor) > (before + after) / 2)
+    return F.coalesce(F.array_max(useful), F.lit(0.0))
+
+
+def dose_rolloff(q: Column, limit: Column, order: int = 32) -> Column:
+    """How much of frequency q passes a limit; frequency 0 passes whole."""
+    return F.when(q == 0, 1.0).when(limit == 0, 0.0).otherwise(F.exp(-F.pow(q / limit, F.lit(float(order)))))
