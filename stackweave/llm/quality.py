@@ -34,6 +34,7 @@ NEIGHBOURS = 15
 THRESHOLD = 0.7
 SHAPES = 16
 SHAPE_WEIGHT = 0.5
+FIT_ROWS = 512  # of the sample that the fit weighs at once
 
 
 def byte_classes() -> np.ndarray:
@@ -106,10 +107,14 @@ def fit(raw: np.ndarray, labels: np.ndarray) -> Model:
     idf = np.log((1 + len(raw)) / (1 + df)).astype(np.float32) + np.float32(0.1)
     shapes = raw[:, BUCKETS:]
     model = Model(idf, shapes.mean(axis=0), shapes.std(axis=0) + np.float32(1e-3), np.zeros(0), np.zeros(0), labels.astype(np.float32))
-    rows = model.rows(raw)
-    values, axes = np.linalg.eigh((rows.T @ rows).astype(np.float64))
+    blocks = [raw[k : k + FIT_ROWS] for k in range(0, len(raw), FIT_ROWS)]
+    square = np.zeros((raw.shape[1], raw.shape[1]))
+    for block in blocks:
+        rows = model.rows(block)
+        square += rows.T @ rows
+    values, axes = np.linalg.eigh(square)
     model.axes = axes[:, np.argsort(values)[::-1][:DIMS]].astype(np.float32)
-    model.vectors = model.project(raw)
+    model.vectors = np.concatenate([model.project(block) for block in blocks])
     return model
 
 
@@ -134,10 +139,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 raw = measures(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([x.tobytes() for x in raw], pa.binary())], names=["quality", "raw"])
 
-    got = sample.mapInArrow(measured, MEASURED).toPandas()
-    if not len(got):
+    got = sample.mapInArrow(measured, MEASURED).toArrow()
+    if not got.num_rows:
         return None
-    return fit(np.stack([np.frombuffer(x, np.float32) for x in got.raw]), got.quality.to_numpy())
+    raw = np.empty((got.num_rows, BUCKETS + SHAPES), dtype=np.float32)
+    for k, x in enumerate(got.column("raw")):
+        raw[k] = np.frombuffer(x.as_buffer(), np.float32)
+    quality = got.column("quality").to_numpy()
+    del got
+    return fit(raw, quality)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, **options) -> DataFrame:
