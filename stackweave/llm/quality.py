@@ -15,6 +15,7 @@ columns pass through, but for those named like a column of the result, which are
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,8 @@ THRESHOLD = 0.7
 SHAPES = 16
 SHAPE_WEIGHT = 0.5
 FIT_ROWS = 512  # of the sample that the fit weighs at once
+SPARE = 16  # axes carried beyond DIMS while the subspace settles
+ROUNDS = 16
 
 
 def byte_classes() -> np.ndarray:
@@ -88,10 +91,13 @@ class Model:
         terms /= np.maximum(np.linalg.norm(terms, axis=1, keepdims=True), 1e-9)
         return np.hstack([terms, (raw[:, BUCKETS:] - self.centre) / self.spread * SHAPE_WEIGHT / np.sqrt(SHAPES)])
 
-    def project(self, raw: np.ndarray) -> np.ndarray:
-        at = self.rows(raw) @ self.axes
+    def latent(self, rows: np.ndarray) -> np.ndarray:
+        at = rows @ self.axes
         return at / np.maximum(np.linalg.norm(at, axis=1, keepdims=True), 1e-9)
 
+    def project(self, raw: np.ndarray) -> np.ndarray:
+        return self.latent(self.rows(raw))
+
     def scores(self, raw: np.ndarray) -> np.ndarray:
         empty = ~raw.any(axis=1)
         near = self.project(raw) @ self.vectors.T
@@ -102,19 +108,27 @@ class Model:
         return np.where(empty, 0.5, voted)
 
 
+def main_axes(rows: np.ndarray) -> np.ndarray:
+    """The DIMS first right singular vectors of ``rows`` by subspace iteration, without a square of all columns."""
+    width = min(DIMS + SPARE, rows.shape[1])
+    base = np.random.default_rng(0).standard_normal((rows.shape[1], width)).astype(np.float32)
+    for _ in range(ROUNDS):
+        base = np.linalg.qr(rows.T @ (rows @ np.linalg.qr(base)[0]))[0]
+    seen = rows @ base
+    values, turn = np.linalg.eigh((seen.T @ seen).astype(np.float64))
+    return (base @ turn[:, np.argsort(values)[::-1][:DIMS]]).astype(np.float32)
+
+
 def fit(raw: np.ndarray, labels: np.ndarray) -> Model:
+    """Fits on the measures ``raw``, which it overwrites: the driver holds the sample once."""
     df = (raw[:, :BUCKETS] > 0).sum(axis=0)
     idf = np.log((1 + len(raw)) / (1 + df)).astype(np.float32) + np.float32(0.1)
     shapes = raw[:, BUCKETS:]
     model = Model(idf, shapes.mean(axis=0), shapes.std(axis=0) + np.float32(1e-3), np.zeros(0), np.zeros(0), labels.astype(np.float32))
-    blocks = [raw[k : k + FIT_ROWS] for k in range(0, len(raw), FIT_ROWS)]
-    square = np.zeros((raw.shape[1], raw.shape[1]))
-    for block in blocks:
-        rows = model.rows(block)
-        square += rows.T @ rows
-    values, axes = np.linalg.eigh(square)
-    model.axes = axes[:, np.argsort(values)[::-1][:DIMS]].astype(np.float32)
-    model.vectors = np.concatenate([model.project(block) for block in blocks])
+    for k in range(0, len(raw), FIT_ROWS):
+        raw[k : k + FIT_ROWS] = model.rows(raw[k : k + FIT_ROWS])
+    model.axes = main_axes(raw)
+    model.vectors = model.latent(raw)
     return model
 
 
@@ -137,14 +151,14 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         for whole in batches:
             for batch in slices(whole, 64):
                 raw = measures(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([x.tobytes() for x in raw], pa.binary())], names=["quality", "raw"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in raw], pa.binary())], names=["quality", "raw"])
 
     got = sample.mapInArrow(measured, MEASURED).toArrow()
     if not got.num_rows:
         return None
     raw = np.empty((got.num_rows, BUCKETS + SHAPES), dtype=np.float32)
     for k, x in enumerate(got.column("raw")):
-        raw[k] = np.frombuffer(x.as_buffer(), np.float32)
+        raw[k] = np.frombuffer(zlib.decompress(x.as_buffer()), np.float32)
     quality = got.column("quality").to_numpy()
     del got
     return fit(raw, quality)
