@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, exact_dedup, html_text, maxent_lm, near_dedup, packing, quality, secret_scan, toxicity, warc
+from . import chat_format, conversation_repair, decontamination, exact_dedup, html_text, maxent_lm, near_dedup, packing, quality, secret_scan, toxicity, warc, whitening
 from .common import table
 
 
@@ -62,6 +62,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -78,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_whitening": op11_whitening,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_toxicity": op13_toxicity,
 }
 
