@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import discard, materialize
+from .common import materialize
 
 FRAGMENT = 512
 FRAGMENT_CHARS = 1 << 22
@@ -88,7 +88,7 @@ def least(rows: list[Row], start: int, ends: tuple[int, ...]) -> Best | None:
     heaps = [[(0, 0, start)], [(0, -n, end) for end in ends]]
     heapq.heapify(heaps[1])
     final: list[dict[tuple[int, int], Best]] = [{}, {}]
-    best: int | None = None
+    best: int | None = 0 if (0, start) in sides[1] else None
     while heaps[0] and heaps[1] and (best is None or heaps[0][0][0] + heaps[1][0][0] <= best):
         side = 0 if heaps[0][0][0] <= heaps[1][0][0] else 1
         cost, place, state = heapq.heappop(heaps[side])
@@ -96,16 +96,17 @@ def least(rows: list[Row], start: int, ends: tuple[int, ...]) -> Best | None:
         if node in final[side] or sides[side][node][0] < cost:
             continue
         mine = final[side][node] = sides[side][node]
-        if node in final[1 - side]:
-            total = cost + final[1 - side][node][0]
-            best = total if best is None else min(best, total)
         edges = ahead[node[0]][state] if side == 0 else back.get(node, [])
         for i, s, step, letter in edges:
             to, audit = (i, s), mine[1] + letter if side == 0 else letter + mine[1]
             if to not in final[side] and (to not in sides[side] or (cost + step, audit) < sides[side][to]):
                 sides[side][to] = (cost + step, audit)
                 heapq.heappush(heaps[side], (cost + step, i if side == 0 else -i, s))
-    crossings = [(f[0] + final[1][node][0], f[1] + final[1][node][1]) for node, f in final[0].items() if node in final[1]]
+                if to in sides[1 - side]:
+                    total = cost + step + sides[1 - side][to][0]
+                    best = total if best is None else min(best, total)
+    # every cheapest path has a node that is final on one side and next to a final one on the other
+    crossings = [(f[0] + sides[1][node][0], f[1] + sides[1][node][1]) for node, f in sides[0].items() if node in sides[1]]
     return min(crossings) if crossings else None
 
 
@@ -138,6 +139,8 @@ def end_state(rows: list[Row], audit: str, start: int) -> int:
 
 @dataclass
 class Fragment:
+    """Rows of one conversation that lie together, and their turns."""
+
     rows: list[Row] = field(default_factory=list)
     texts: list[tuple[str, str]] = field(default_factory=list)
     chars: int = 0
@@ -293,7 +296,8 @@ def repair(conversations: DataFrame, *, id_col: str = "conv_id") -> DataFrame:
             else:
                 joined = Joined.new()
                 for f in held:
-                    joined.take(f, {(0, e): b for e in ENDS if (b := least(f.rows, 0, (e,)))})
+                    b = least(f.rows, 0, ENDS)
+                    joined.take(f, {(0, end_state(f.rows, b[1], 0)): b})
                 out.append((conv, *joined.result(), *[None] * (len(both) - last - 1)))
             held.clear()
             yield from cut(False)

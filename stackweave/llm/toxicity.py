@@ -245,7 +245,7 @@ def halves(rows: DataFrame, max_labelled: int) -> DataFrame:
 
 def find_candidates(docs: DataFrame, seeds: DataFrame, id_col: str, text_col: str) -> list[str]:
     """Terms that the sampled toxic texts have more often than the clean ones."""
-    sample = docs.join(F.broadcast(seeds), docs[id_col] == seeds["label_id"]).select(F.col("toxic"), F.col(text_col).alias("text"))
+    sample = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(seeds), F.col("doc") == F.col("label_id")).select("toxic", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, hashes = (Counter(), Counter()), WordHashes()
