@@ -92,6 +92,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_conversation_repair": r"""
+with recursive t as (select list(list_reduce([i] || range(8), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as crcs from range(256) r(i)),
+c as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, xor(list_reduce([4294967295] || list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda ch: cast(ord(ch) as bigint)), lambda s, b: xor(s >> 8, crcs[(xor(s, b) & 255) + 1])), 4294967295) % 20 as k from conversations, t),
+d as (select conv_id, turn, case when k = 4 then 'user' else role end as role, case when k = 1 then '' when k = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case when k = 3 then 2 else 1 end)) as copy from c where k <> 0),
+o as (select conv_id, turn, role, text, row_number() over w as i, lag(role[1:1]) over w as before, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as tail from d window w as (partition by conv_id order by turn nulls first, role, text)),
+f as (select *, role[1:1] as r, case when tail = '' then 'b' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'd' when tail not in ('.', '!', '?') then 't' else '' end as fault from o),
+steps as (select * from (values (0, 's', 1, null), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (2, 'a', 3, 'assistant'), (3, 'u', 2, 'user')) v(s, r, z, made)),
+e as (select f.conv_id, f.i, v.s, v.s as z, 2 as cost, 'D' as letter, cast([] as varchar[]) as line from f, (values (0), (1), (2), (3)) v(s)
+ union all select f.conv_id, f.i, m.s, m.z, case when f.r = m.r then 0 else 1 end + case when fault = 't' then 5 else 0 end, case when f.r = m.r then 'K' else 'R' end, [case when f.r = m.r then role else made end || ':' || text] from f, steps m where fault not in ('b', 'd') and (f.r = m.r or made is not null)),
+ins as (select * from (values (0, 0, 0, '', cast([] as varchar[])), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (3, 2, 5, 'I', ['user:']), (2, 3, 5, 'I', ['assistant:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:'])) v(s, z, cost, letter, line)),
+p as (select conv_id, 0 as i, z as s, {'cost': cost, 'audit': letter, 'lines': line} as b from (select distinct conv_id from c), ins where s = 0
+ union all select e.conv_id, e.i, ins.z, min({'cost': p.b.cost + e.cost + ins.cost, 'audit': p.b.audit || e.letter || ins.letter, 'lines': list_concat(list_concat(p.b.lines, e.line), ins.line)}) from p join e on e.conv_id is not distinct from p.conv_id and e.i = p.i + 1 and e.s = p.s join ins on ins.s = e.z group by e.conv_id, e.i, ins.z),
+a as (select conv_id, max(i) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(fault = 'b') as blank, count_if(fault = 'd') as duplicate, count_if(fault = 't') as truncated, count_if(before is not null and before || r not in ('su', 'ua', 'au')) as illegal from f group by conv_id),
+g as (select p.conv_id, min(b) as b from p left join a on a.conv_id is not distinct from p.conv_id where p.i = coalesce(a.n, 0) and s in (0, 3) group by p.conv_id)
+select g.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, cast(coalesce(blank, 0) as bigint) as blank, cast(coalesce(duplicate, 0) as bigint) as duplicate, cast(coalesce(truncated, 0) as bigint) as truncated, cast(coalesce(illegal, 0) as bigint) as illegal, cast(b.cost as bigint) as cost, b.audit as audit, sha256(array_to_string(b.lines, chr(10))) as repaired_sha256
+from g left join a on a.conv_id is not distinct from g.conv_id
+""",
     "op1_chat_format": r"""
 with turns as (
   select distinct conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations),

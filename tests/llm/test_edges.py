@@ -429,3 +429,32 @@ def test_votes_against_brute_force(spark, docs):
             want = sum(x * y for x, (_, y) in zip(weights, near)) / sum(weights)
         assert abs(r.score - want) < 1e-3 and r.predicted == int(r.score >= 0.7)
     assert {r.score for r in quality.score_quality(docs, labels.limit(0)).collect()} == {0.5}
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_different_texts_of_one_id_keep_all_their_links(spark, turn):
+    rng = random.Random(11)
+    a, b = ([rng.choice("abcdefghijklmnop") * 3 + str(k) for k in range(60)] for _ in range(2))
+    near = lambda words: " ".join([*words[:-2], "other", "end"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (0, " ".join(b)), (7, "alone in this table of texts")]
+    got = near_dedup.near_groups(spark.createDataFrame(rows[::turn], "doc_id long, text string").coalesce(1)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(0, 0), (1, 0), (2, 0), (3, 0), (7, 7)} and len(got) == 6
+
+
+@pytest.mark.parametrize("broken", ["<a ", '<a b="', "<a \"'>", "<!- ", "<a b='c\" d=\">", "</script ", "<script ", "<p x='>"])
+def test_broken_markup_takes_linear_time(broken):
+    import time
+
+    from stackweave.llm import html_text
+
+    began = time.time()
+    html_text.Page("<body><p>One.</p>" + broken * 100_000)
+    html_text.Page("<body><p>One.</p>" + broken * 100_000 + ">")
+    assert time.time() - began < 6
+
+
+def test_tags_end_outside_quotes():
+    from stackweave.llm import html_text
+
+    found = [(name, attributes.strip(), closes) for _, _, name, attributes, closes in html_text.tags("<P class='a>b'>x</p><!-- <i> --><br/><a href=\"c>d\" e><q f='g>h>")]
+    assert found == [("p", "class='a>b'", False), ("p", "", True), ("", "", False), ("br", "/", False), ("a", 'href="c>d" e', False), ("q", "f='g", False)]

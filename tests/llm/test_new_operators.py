@@ -227,8 +227,10 @@ def test_block_index_equals_brute_force():
 
 
 def test_toxicity_of_odd_tables(spark):
-    bad = [(k, f"you utter grumblefex {k} and more of it") for k in range(60)]
-    good = [(100 + k, f"a calm note about gardens number {k} and more of it") for k in range(200)]
+    rng = random.Random(1)
+    some = lambda: " ".join("".join(rng.choices("aeioulmnrst", k=6)) for _ in range(12))
+    bad = [(k, f"{some()} you utter grumblefex {some()}") for k in range(60)]
+    good = [(100 + k, f"{some()} a calm note about gardens {some()}") for k in range(200)]
     docs = [*bad, *good, (900, None), (901, ""), (902, "x" * 3_000_000), (903, "word " * 400_000 + "grumblefex"), (None, "no id"), (904, bad[0][1]), (904, bad[0][1])]
     shape = "doc_id long, text string, score int, Toxic string, signature int"
     df = spark.createDataFrame([(*d, 5, "x", 7) for d in docs], shape)
