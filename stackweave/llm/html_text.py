@@ -30,7 +30,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import fresh, others, slices
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+MARK = re.compile(r"[>\"']")
 UNENDED = re.compile(r"<[a-zA-Z/!?][^>]*\Z")  # a page cut off within a tag
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/>"']|$)""", re.I)
 
@@ -79,6 +80,35 @@ def mark_of(tag: str, attributes: str, in_article: bool) -> str:
     return words_of(tag, attributes, in_article) if attributes else ""
 
 
+def tags(source: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """Start, end, name, attributes of all tags, and whether one closes; comments and declarations have no name. The caller may
+    send a place to go on from.
+
+    A tag ends at the first > outside quotes. Once a quote or a tag with quotes doesn't end in the page, quotes count for nothing
+    from there on; so whatever is scanned is passed, but for one scan to the page's end."""
+    last, at, quotes = source.rfind(">"), 0, True
+    while (m := OPEN.search(source, at)) is not None:
+        start, name = m.start(), m[2]
+        if m[0] == "<!--":
+            end = source.find("-->", m.end())
+            end = len(source) if end < 0 else end + 3
+        elif start > last:
+            return
+        else:
+            end, place = 0, m.end()
+            while name and quotes and not end:
+                mark = MARK.search(source, place)
+                if mark and mark[0] == ">":
+                    end = mark.end()
+                elif mark and (closing := source.find(mark[0], mark.end())) >= 0:
+                    place = closing + 1
+                else:
+                    quotes = False
+            end = end or source.find(">", m.end()) + 1
+        sent = yield start, end, (name or "").lower(), source[m.end() : end - 1] if name else "", bool(m[1])
+        at = end if sent is None else sent
+
+
 class Page:
     """The nodes of a page in document order, each with its parent, and the pieces of text with their nodes."""
 
@@ -89,21 +119,23 @@ class Page:
         self.open, self.inside = [0], 0
         self.depths: dict[str, list[int]] = {}  # of each name, how deep its open elements lie
         self.fences, self.blocks = [0], [0]  # how deep the open fences and blocks lie
-        at = 0
-        while (m := TAG.search(source, at)) is not None:
-            self.text(source[at : m.start()])
-            at = m.end()
-            name = m[2] or m[5]
-            if not name:
-                continue
-            name = name.lower()
-            if m[1] or m[4]:
+        at, scan = 0, tags(source)
+        found = next(scan, None)
+        while found is not None:
+            start, end, name, attributes, closes = found
+            self.text(source[at:start])
+            at, on = end, None
+            if name in RAW and not closes:
+                close = re.compile(rf"</{name}\b", re.I).search(source, at)
+                on = at = source.find(">", close.end()) + 1 if close and close.end() <= source.rfind(">") else len(source)
+            elif closes:
                 self.end(name)
-            elif name in RAW:
-                close = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-                at = close.end() if close else len(source)
-            else:
-                self.start(name, m[3] or m[6] or "")
+            elif name:
+                self.start(name, attributes)
+            try:
+                found = scan.send(on)
+            except StopIteration:
+                found = None
         self.text(UNENDED.sub("", source[at:]))
         self.leave_out()
 
