@@ -94,6 +94,10 @@ def signature(shingles: np.ndarray) -> bytes:
     return (mixed(least) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
+def digest_of(shingles: bytes) -> bytes:
+    return hashlib.blake2b(shingles, digest_size=16).digest()
+
+
 def sketches(docs: DataFrame, text_col: str, digest: str = "digest", signature_name: str = "signature") -> DataFrame:
     """docs (without the text) with n_shingles, digest (of the set; null if empty) and signature."""
     ready = docs.select(*others(docs, text_col), text_col)
@@ -109,7 +113,7 @@ def sketches(docs: DataFrame, text_col: str, digest: str = "digest", signature_n
                 for text in batch.column(batch.num_columns - 1).to_pylist():
                     s = shingle_set(text, hashes)
                     n.append(len(s))
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    digests.append(digest_of(s.tobytes()) if len(s) else None)
                     signatures.append(signature(s) if len(s) else None)
                 cols = [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
@@ -254,18 +258,19 @@ def cell_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], withi
 def confirmed(candidates: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Links (a, b): enough to connect all that exact links connect, of all pairs within the candidates' regions."""
     regions = connected_components(candidates)
-    sized = regions.join(classes.select("id", "n_shingles"), "id")
+    sized = regions.join(classes.select("id", "digest", "n_shingles"), "id")
     whole = sized.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
     small = (F.col("n") <= 2 * CHUNK_DOCS) & (F.col("shingles") <= CHUNK_SHINGLES)
     per_chunk = F.least(F.greatest(F.lit(CHUNK_DOCS), F.col("n") / 32), F.lit(CHUNK_MOST))
-    banded = materialize(sized.join(whole.select("component", small.alias("small"), per_chunk.alias("per_chunk")), "component").select("id", "component", "n_shingles", "small", "per_chunk", F.when(F.col("small"), 0).otherwise(F.floor(F.log("n_shingles") / BAND)).cast("int").alias("band")), "bands")
+    banded = materialize(sized.join(whole.select("component", small.alias("small"), per_chunk.alias("per_chunk")), "component").select("id", "digest", "component", "n_shingles", "small", "per_chunk", F.when(F.col("small"), 0).otherwise(F.floor(F.log("n_shingles") / BAND)).cast("int").alias("band")), "bands")
     counts = banded.groupBy("component", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"), F.first("per_chunk").alias("per_chunk"), F.first("small").alias("small"))
     chunks = counts.select("component", "band", F.when(F.col("small"), 1).otherwise(F.greatest(F.ceil(F.col("n") / F.col("per_chunk")), F.ceil(F.col("shingles") / CHUNK_SHINGLES))).cast("int").alias("chunks"))
     # each band with the numbers of chunks of the bands beside it
     beside = chunks.select("component", F.explode(F.array(*(F.struct((F.col("band") + k).alias("band"), *(F.when(F.lit(k == j), F.col("chunks")).alias(n) for j, n in ((1, "below"), (0, "chunks"), (-1, "above")))) for k in (-1, 0, 1)))).alias("b")).select("component", "b.*")
     around = beside.groupBy("component", "band").agg(*(F.max(n).alias(n) for n in ("below", "chunks", "above"))).filter("chunks is not null")
-    placed = banded.join(around, ["component", "band"]).select("id", "component", "band", "below", "chunks", "above", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
-    # the texts in regions grow with the corpus, so their join is the same at every size: by id, never a broadcast
+    placed = banded.join(around, ["component", "band"]).select("id", "digest", "component", "band", "below", "chunks", "above", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int").alias("chunk"))
+    # the texts in regions grow with the corpus, so their join is the same at every size: by id, never a broadcast. Of several
+    # texts of an id the one of the class is taken, by its digest
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(placed.hint("merge"), "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,19 +278,23 @@ def confirmed(candidates: DataFrame, docs: DataFrame, classes: DataFrame, id_col
         for everything in batches:
             for batch in slices(everything, 512):
                 found = [shingle_set(t, hashes).tobytes() for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(found, pa.binary())], names=["id", "component", "band", "below", "chunks", "above", "chunk", "shingles"])
+                own = pa.array([digest_of(s) == d for s, d in zip(found, batch.column(2).to_pylist())], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(found, pa.binary())], names=["id", "digest", "component", "band", "below", "chunks", "above", "chunk", "shingles"]).filter(own)
 
-    held = texts.select("id", "text", "component", "band", "below", "chunks", "above", "chunk").mapInArrow(sets, "id bigint, component bigint, band int, below int, chunks int, above int, chunk int, shingles binary")
+    held = texts.select("id", "text", "digest", "component", "band", "below", "chunks", "above", "chunk").mapInArrow(sets, "id bigint, digest binary, component bigint, band int, below int, chunks int, above int, chunk int, shingles binary")
     numbered = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
     # the cells of a set: with every chunk of its own band, of the band below (of which it is side 1) and above
     own = F.transform(numbered("chunks"), lambda k: F.struct(F.col("band").alias("band"), F.least("chunk", k).alias("low"), F.greatest("chunk", k).alias("high"), (F.col("chunk") > k).cast("int").alias("side"), F.lit(False).alias("across")))
     lower = F.transform(numbered("below"), lambda k: F.struct((F.col("band") - 1).alias("band"), k.alias("low"), F.col("chunk").alias("high"), F.lit(1).alias("side"), F.lit(True).alias("across")))
     upper = F.transform(numbered("above"), lambda k: F.struct(F.col("band").alias("band"), F.col("chunk").alias("low"), k.alias("high"), F.lit(0).alias("side"), F.lit(True).alias("across")))
-    cells = held.select("id", "component", "shingles", F.explode(F.concat(own, lower, upper)).alias("c")).select("id", "component", "shingles", "c.*")
+    cells = held.select("id", "digest", "component", "shingles", F.explode(F.concat(own, lower, upper)).alias("c")).select("id", "digest", "component", "shingles", "c.*")
 
     def compare(cell: pa.Table) -> pa.Table:
         ids = cell.column("id").to_numpy()
-        _, once = np.unique(ids, return_index=True)  # a repeated row is there once
+        seen: dict[bytes, int] = {}
+        for k, d in enumerate(cell.column("digest").to_pylist()):
+            seen.setdefault(d, k)  # a repeated row is there once
+        once = np.array([seen[d] for d in sorted(seen)])
         sets_of = [np.frombuffer(cell.column("shingles")[int(k)].as_py(), dtype=np.uint64) for k in once]
         within = cell.column("low")[0] == cell.column("high")[0] and not cell.column("across")[0].as_py()
         found = cell_links(ids[once], cell.column("side").to_numpy()[once], sets_of, bool(within))
@@ -294,6 +303,15 @@ def confirmed(candidates: DataFrame, docs: DataFrame, classes: DataFrame, id_col
     return materialize(cells.groupBy("component", "band", "across", "low", "high").applyInArrow(compare, "a bigint, b bigint"), "links")
 
 
+def shared_ids(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links of ids that stand on several different texts with the classes of all of them."""
+    several = materialize(keyed.groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).filter("least != most").select("id"), "several-texts")
+    if several.isEmpty():
+        return several.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    met = keyed.join(several, "id").select(F.col("id").alias("a"), "digest").distinct()
+    return met.join(classes.select("digest", F.col("id").alias("b")), "digest").select("a", "b")
+
+
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with n_shingles, component_id and kept."""
     own = others(docs, text_col, "n_shingles", "component_id", "kept")
@@ -304,7 +322,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     keyed = usable.select(F.col(digest).alias("digest"), F.col(id_col).cast("long").alias("id"), F.col("n_shingles"), F.col(signed).alias("signature"), F.col(salt).alias("salt"))
     merged = keyed.groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask"))
     classes = materialize(merged, "classes")
-    links = confirmed(swept(tree_rows(classes)), docs, classes, id_col, text_col)
+    links = confirmed(swept(tree_rows(classes)), docs, classes, id_col, text_col).union(shared_ids(keyed, classes))
     joined = connected_components(links)
     held = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.call_function("getbit", F.col("mask"), s) == 1)
     # of every class its component, once for each salt that has members
