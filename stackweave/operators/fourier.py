@@ -86,6 +86,98 @@ def pair_shifts(pairs: DataFrame, ny: int, nx: int, sub: int = 1, low_pass: floa
     return pairs.select("stack_id", "i", "j", "px_i", "px_j").mapInArrow(run, f"stack_id {kind}, i int, j int, dy {number}, dx {number}, peaksig double")
 
 
+SHARPEST = (np.sqrt(5) - 1) / 2  # the golden section
+
+
+def _contrast(spectrum: np.ndarray, sigma: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Correlations under a Gaussian of each one's own deviation, and (largest - mean) / deviation of their pixels."""
+    c = np.fft.ifft2(spectrum * np.exp(-2 * (np.pi * sigma[:, None, None]) ** 2 * k2)).real
+    flat = c.reshape(len(c), -1)
+    return c, (flat.max(axis=1) - flat.mean(axis=1)) / np.maximum(flat.std(axis=1), 1e-300)
+
+
+def best_low_pass(spectrum: np.ndarray, k2: np.ndarray, most: float, tolerance: float, start: int) -> np.ndarray:
+    """For each correlation the deviation from 0 to ``most`` with the largest contrast, all of a batch at once.
+
+    A coarse row of deviations brackets the largest, which golden sections narrow down."""
+    grid = np.linspace(0.0, most, start)
+    at = np.argmax([_contrast(spectrum, np.full(len(spectrum), g), k2)[1] for g in grid], axis=0)
+    low, high = grid[np.maximum(at - 1, 0)], grid[np.minimum(at + 1, start - 1)]
+    a, b = high - SHARPEST * (high - low), low + SHARPEST * (high - low)
+    fa, fb = _contrast(spectrum, a, k2)[1], _contrast(spectrum, b, k2)[1]
+    while (high - low).max() > tolerance:
+        left = fa >= fb  # the largest is below b
+        low, high = np.where(left, low, a), np.where(left, b, high)
+        new = np.where(left, high - SHARPEST * (high - low), low + SHARPEST * (high - low))
+        f_new = _contrast(spectrum, new, k2)[1]
+        a, b, fa, fb = np.where(left, new, b), np.where(left, a, new), np.where(left, f_new, fb), np.where(left, fa, f_new)
+    return (low + high) / 2
+
+
+def sharpest_shifts(pairs: DataFrame, ny: int, nx: int, most: float = 7.0, tolerance: float = 0.01, start: int = 15) -> DataFrame:
+    """Whole-pixel shifts of pairs, each under the Gaussian low-pass that makes its own peak stand out most: dy, dx, the
+    deviation ``sigma`` of that Gaussian in pixels (within ``tolerance``, at most ``most``) and the peak's significance."""
+    k2 = np.fft.fftfreq(ny)[:, None] ** 2 + np.fft.fftfreq(nx)[None, :] ** 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 64):
+                batch = whole.slice(first, 64)
+                a, b = (np.array(batch.column(k).to_pylist(), dtype=np.float64).reshape(-1, ny, nx) for k in ("px_i", "px_j"))
+                a, b = (z - z.mean(axis=(1, 2), keepdims=True) for z in (a, b))
+                spectrum = np.fft.fft2(a) * np.conj(np.fft.fft2(b))
+                sigma = best_low_pass(spectrum, k2, most, tolerance, start)
+                c, significance = _contrast(spectrum, sigma, k2)
+                at = c.reshape(len(c), -1).argmax(axis=1)
+                dy, dx = (at // nx + ny // 2) % ny - ny // 2, (at % nx + nx // 2) % nx - nx // 2
+                cols = [pa.array(dy.astype(np.int32)), pa.array(dx.astype(np.int32)), pa.array(sigma), pa.array(significance)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("stack_id", "i", "j")), *cols], names=["stack_id", "i", "j", "dy", "dx", "sigma", "peaksig"])
+
+    kind = pairs.schema["stack_id"].dataType.simpleString()
+    return pairs.select("stack_id", "i", "j", "px_i", "px_j").mapInArrow(run, f"stack_id {kind}, i int, j int, dy int, dx int, sigma double, peaksig double")
+
+
+def followed_shifts(pairs: DataFrame, ny: int, nx: int, furthest: float) -> DataFrame:
+    """Whole-pixel shifts of pairs, searched around the last one: of the pairs of a frame i, upwards in j, the first looks
+    within ``furthest`` pixels of no shift, every next one within as much of the shift found before it. The centre moves
+    around the edges as correlations do.
+
+    The correlations of all pairs are made first, each in any task. Those of one i then pass one task in order, one at a
+    time; a row there is one correlation."""
+    ry, rx = np.fft.fftfreq(ny, 1 / ny).round()[:, None], np.fft.fftfreq(nx, 1 / nx).round()[None, :]
+    disk = np.hypot(ry, rx) <= furthest
+
+    def correlate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 64):
+                batch = whole.slice(first, 64)
+                a, b = (np.array(batch.column(k).to_pylist(), dtype=np.float64).reshape(-1, ny, nx) for k in ("px_i", "px_j"))
+                a, b = (z - z.mean(axis=(1, 2), keepdims=True) for z in (a, b))
+                c = np.fft.ifft2(np.fft.fft2(a) * np.conj(np.fft.fft2(b))).real.reshape(len(a), -1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("stack_id", "i", "j")), pa.array(list(c), pa.list_(pa.float64()))], names=["stack_id", "i", "j", "c"])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, centre = None, (0, 0)
+        for batch in batches:
+            found = []
+            for k in range(batch.num_rows):
+                key = (batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
+                if key != of:
+                    of, centre = key, (0, 0)
+                c = np.asarray(batch.column(3)[k].values).reshape(ny, nx)
+                seen = np.roll(disk, centre, axis=(0, 1))
+                y, x = np.unravel_index(np.argmax(np.where(seen, c, -np.inf)), c.shape)
+                centre = int((y + ny // 2) % ny - ny // 2), int((x + nx // 2) % nx - nx // 2)
+                found.append((*centre, float((c[y, x] - c[seen].mean()) / max(c[seen].std(), 1e-12))))
+            cols = [pa.array([v[m] for v in found], kind) for m, kind in enumerate((pa.int32(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], names=["stack_id", "i", "j", "dy", "dx", "peaksig"])
+
+    kind = pairs.schema["stack_id"].dataType.simpleString()
+    maps = pairs.select("stack_id", "i", "j", "px_i", "px_j").mapInArrow(correlate, f"stack_id {kind}, i int, j int, c array<double>")
+    dealt = maps.repartition("stack_id", "i").sortWithinPartitions("stack_id", "i", "j")
+    return dealt.mapInArrow(follow, f"stack_id {kind}, i int, j int, dy int, dx int, peaksig double")
+
+
 def pad(frames: DataFrame, ny: int, nx: int, to_ny: int, to_nx: int) -> DataFrame:
     """Frames with zeros below and to the right."""
     return _apply(frames, ny, nx, lambda px: {"px": np.pad(px, ((0, 0), (0, to_ny - ny), (0, to_nx - nx)))}, "px array<double>")

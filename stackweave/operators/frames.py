@@ -14,13 +14,16 @@ from pyspark.sql.window import Window
 
 
 def as_frames(table: DataFrame, stack: str, order: str, px: str) -> DataFrame:
-    """Numbers the rows of each stack by ``order``, whose values differ within a stack; rows without either are left out.
+    """Numbers the rows of each stack by ``order``; rows that tie in it follow each other by a hash of their pixels, and rows
+    without either are left out.
 
-    The window sees ids only; pixels meet their numbers by a join on stack and order, so no stack is one task."""
-    number = F.row_number().over(Window.partitionBy("stack_id").orderBy("at")) - 1
-    ids = table.select(F.col(stack).alias("stack_id"), F.col(order).alias("at")).select("stack_id", "at", number.alias("frame"))
-    rows = table.select(F.col(stack).alias("stack_id"), F.col(order).alias("at"), F.col(px).alias("px"))
-    return rows.join(ids, ["stack_id", "at"]).select("stack_id", "frame", "px")
+    Pixels are dealt once, by stack and order, where ties are numbered; what meets by stack is a count for each value of
+    ``order``, so no stack is one task."""
+    rows = table.select(F.col(stack).alias("stack_id"), F.col(order).alias("at"), F.col(px).alias("px")).filter("stack_id is not null and at is not null")
+    tie = F.row_number().over(Window.partitionBy("stack_id", "at").orderBy(F.xxhash64("px")))
+    before = F.sum("n").over(Window.partitionBy("stack_id").orderBy("at")) - F.col("n")
+    counts = rows.groupBy("stack_id", "at").agg(F.count("*").alias("n")).select("stack_id", "at", before.alias("before"))
+    return rows.withColumn("tie", tie).join(counts, ["stack_id", "at"]).select("stack_id", (F.col("before") + F.col("tie") - 1).cast("int").alias("frame"), "px")
 
 
 def as_pixels(frames: DataFrame, nx: int) -> DataFrame:
@@ -107,8 +110,8 @@ def crop_to_limits(pixels: DataFrame, limits: DataFrame, ny: int, nx: int) -> Da
 
 def tiles(pixels: DataFrame, box: int, step: int, ny: int, nx: int, margin: int = 0) -> DataFrame:
     """Pixels of every box x box tile that holds them, with tile_y, tile_x and their place in the tile. Tiles begin at the
-    margin and every ``step`` from there, while a further step would still fit."""
-    many = lambda n: (n - 2 * margin - box) // step
+    margin and every ``step`` from there, as long as they fit."""
+    many = lambda n: (n - 2 * margin - box) // step + 1
 
     def holding(c: str, n: int) -> Column:
         first = F.greatest(F.ceil((F.col(c) - margin - box + 1) / step), F.lit(0)).cast("int")

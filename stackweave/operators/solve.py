@@ -1,79 +1,227 @@
-"""From the shifts of frame pairs to one shift a frame, and the errors of the pairs."""
+"""From the shifts of frame pairs to one shift a frame, and the errors of the pairs.
+
+The weighted sum of |t[j] - t[i] - shift| is made small by rounds of reweighted least squares. The normal equations of a
+stack are banded, as wide as its widest pair. Their frames are cut into segments; the first ``width`` frames of a segment
+separate it from the one before. A segment's task eliminates the frames between its separators and hands on a small system
+of the separators; those of a stack form a block-tridiagonal system, which is halved level by level (cyclic reduction); the
+way back gives the frames between. This is elimination in another order, so segments don't change the answer.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..scratch import materialize
+from ..scratch import discard, materialize
 
 SEGMENT = 256
-OVERLAP = 2  # widths of the widest pair that a segment sees beyond its ends
+ROUNDS = 40
+LEAST = 1e-4  # residuals below this weigh alike
+TIE = 1e-7  # of the mean weight: what holds frames together that are spanned by pairs but not joined by them
+
+
+def normal(n: int, i: np.ndarray, j: np.ndarray, shift: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Normal matrix and right side of pairs over n frames."""
+    a, b = np.zeros((n, n)), np.zeros(n)
+    np.add.at(a, (i, i), w)
+    np.add.at(a, (j, j), w)
+    np.add.at(a, (i, j), -w)
+    np.add.at(a, (j, i), -w)
+    np.add.at(b, j, w * shift)
+    np.add.at(b, i, -w * shift)
+    return a, b
+
+
+def tied(n: int, tie: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weak pairs of neighbours without a shift."""
+    k = np.arange(n - 1)
+    return k, k + 1, np.zeros(n - 1), np.full(n - 1, tie)
+
+
+def reweighted(weight: np.ndarray, t: np.ndarray, i: np.ndarray, j: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    return weight / np.maximum(np.abs(t[j] - t[i] - shift), LEAST)
+
+
+def whole(n: int, i: np.ndarray, j: np.ndarray, shift: np.ndarray, weight: np.ndarray, rounds: int) -> np.ndarray:
+    """All rounds of a stack that is one segment."""
+    mean = weight.mean()
+    loose = np.flatnonzero(np.cumsum(np.bincount(i, minlength=n) - np.bincount(j, minlength=n))[: n - 1] == 0)  # steps that no pair spans: 0
+    i, j, shift, weight = (np.concatenate(p) for p in ((i, loose), (j, loose + 1), (shift, np.zeros(len(loose))), (weight, np.full(len(loose), mean))))
+    w = weight
+    for _ in range(rounds):
+        a, b = (p + q for p, q in zip(normal(n, i, j, shift, w), normal(n, *tied(n, TIE * mean))))
+        a[0, 0] += mean  # the first frame stays
+        t = np.linalg.solve(a, b)
+        t -= t[0]
+        w = reweighted(weight, t, i, j, shift)
+    return t
+
+
+def eliminate(a: np.ndarray, b: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is left for the kept unknowns (a mask) when the others are solved for."""
+    inner = ~keep
+    if not inner.any():
+        return a, b
+    gone = np.linalg.solve(a[np.ix_(inner, inner)], np.column_stack([a[np.ix_(inner, keep)], b[inner]]))
+    cross = a[np.ix_(keep, inner)]
+    return a[np.ix_(keep, keep)] - cross @ gone[:, :-1], b[keep] - cross @ gone[:, -1]
 
 
-def least_absolute(first: int, last: int, i: np.ndarray, j: np.ndarray, shift: np.ndarray, weight: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Steps between the neighbouring frames from ``first`` to ``last`` that make the weighted sum of |t[j] - t[i] - shift| small.
+def separators(diagonal: list[np.ndarray], beside: list[np.ndarray], right: list[np.ndarray]) -> list[np.ndarray]:
+    """Solves a block-tridiagonal symmetric system by cyclic reduction: every other block goes, until one is left.
+    ``beside``[k] couples block k with block k + 1."""
+    m = len(diagonal)
+    if m == 1:
+        return [np.linalg.solve(diagonal[0], right[0])]
+    even = range(0, m, 2)
+    d, r, e = {k: diagonal[k].copy() for k in even}, {k: right[k].copy() for k in even}, []
+    gone = {}
+    for k in range(1, m, 2):
+        left, has = beside[k - 1], k + 1 < m  # left couples k - 1 with k
+        sides = [left.T, *([beside[k]] if has else []), right[k][:, None]]
+        x = np.linalg.solve(diagonal[k], np.hstack(sides))
+        gone[k] = x
+        p, w = left.shape[0], left.shape[0] + (beside[k].shape[1] if has else 0)
+        d[k - 1] -= left @ x[:, :p]
+        r[k - 1] -= left @ x[:, -1]
+        if has:
+            d[k + 1] -= beside[k].T @ x[:, p:w]
+            r[k + 1] -= beside[k].T @ x[:, -1]
+            e.append(-left @ x[:, p:w])
+    kept = separators([d[k] for k in even], e, [r[k] for k in even])
+    out: list[np.ndarray] = [None] * m
+    for k, v in zip(even, kept):
+        out[k] = v
+    for k, x in gone.items():
+        near = np.concatenate([out[k - 1], *([out[k + 1]] if k + 1 < m else [])])
+        out[k] = x[:, -1] - x[:, :-1] @ near
+    return out
+
+
+def solve_long(good: DataFrame, stacks: DataFrame, segment: int, rounds: int, kind: str) -> DataFrame:
+    """The rounds of stacks of several segments. What moves between tasks in a round is the systems of the separators and
+    their solution; ``state`` holds the pairs and the present shifts of a segment in one row."""
+    shape = f"stack_id {kind}, part bigint, parts bigint, width int, n int, mean double, i array<int>, j array<int>, shift array<double>, weight array<double>, t array<double>, axis int"
+
+    def deal(key: tuple, pairs: pd.DataFrame) -> pd.DataFrame:
+        part = int(key[1])
+        width, last, mean = int(pairs["width"].iloc[0]), int(pairs["last"].iloc[0]), float(pairs["mean"].iloc[0])
+        long_ = max(segment, 2 * width)
+        parts = max(1, (last + 1) // long_)  # the last one takes what is left over
+        begin, end = part * long_, last + 1 if part == parts - 1 else (part + 1) * long_
+        p = pairs[pairs["i"].notna()].sort_values(["i", "j", "dy", "dx", "w"])
+        base = {"stack_id": key[0], "part": part, "parts": parts, "width": width, "n": end - begin, "mean": mean, "i": (p["i"] - begin).astype(int).tolist(), "j": (p["j"] - begin).astype(int).tolist(), "weight": p["w"].tolist(), "t": None}
+        return pd.DataFrame([{**base, "shift": p[c].tolist(), "axis": k} for k, c in enumerate(("dy", "dx"))])
+
+    long_ = F.greatest(F.lit(segment), 2 * F.col("width"))
+    parts = F.greatest(F.lit(1), F.expr(f"(last + 1) div greatest({segment}, 2 * width)"))
+    dealt = good.join(stacks, "stack_id").withColumn("part", F.least(F.floor(F.col("i") / long_), parts - 1))
+    every = stacks.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), (parts - 1).cast("bigint"))).alias("part"))
+    dealt = dealt.unionByName(every, allowMissingColumns=True)
+    state = materialize(dealt.groupBy("stack_id", "part").applyInPandas(deal, shape), "segments")
+
+    def system(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A segment's matrix and right side over its own frames and the separator of the next, and which are separators."""
+        more = r.width if r.part < r.parts - 1 else 0
+        n = r.n + more
+        i, j, shift, weight = np.array(r.i, int), np.array(r.j, int), np.array(r.shift, float), np.array(r.weight, float)
+        w = weight if r.t is None else reweighted(weight, np.array(r.t), i, j, shift)
+        a, b = normal(n, i, j, shift, w)
+        # ties of a segment reach the first frame of the next
+        tie_a, tie_b = normal(min(n, r.n + 1), *tied(min(n, r.n + 1), TIE * r.mean))
+        a[: len(tie_b), : len(tie_b)] += tie_a
+        if r.part == 0:
+            a[0, 0] += r.mean
+        keep = np.zeros(n, bool)
+        keep[: r.width] = keep[r.n :] = True
+        return a, b, keep
+
+    def condense(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples():
+                a, b = eliminate(*system(r))
+                rows.append((r.stack_id, r.axis, r.part, r.parts, r.width, a.ravel().tolist(), b.tolist()))
+            yield pd.DataFrame(rows, columns=["stack_id", "axis", "part", "parts", "width", "a", "b"])
+
+    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """One row a segment: width * width numbers each."""
+        rows = rows.sort_values("part")
+        width, m = int(rows["width"].iloc[0]), len(rows)
+        d, e, right = [np.zeros((width, width)) for _ in range(m)], [], [np.zeros(width) for _ in range(m)]
+        for k, r in enumerate(rows.itertuples()):
+            a, b = np.array(r.a).reshape(len(r.b), -1), np.array(r.b)
+            d[k] += a[:width, :width]
+            right[k] += b[:width]
+            if k + 1 < m:
+                e.append(a[:width, width:])
+                d[k + 1] += a[width:, width:]
+                right[k + 1] += b[width:]
+        x = separators(d, e, right)
+        first = x[0][0]
+        return pd.DataFrame({"stack_id": [key[0]] * m, "axis": key[1], "part": rows["part"].to_numpy(), "own": [(v - first).tolist() for v in x], "following": [(v - first).tolist() for v in x[1:]] + [[]], "first": first})
+
+    def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            t = []
+            for r in frame.itertuples():
+                a, b, keep = system(r)
+                known = np.concatenate([np.array(r.own), np.array(r.following)]) + r.first
+                x = np.zeros(len(b))
+                x[keep] = known
+                if not keep.all():
+                    x[~keep] = np.linalg.solve(a[np.ix_(~keep, ~keep)], b[~keep] - a[np.ix_(~keep, keep)] @ known)
+                t.append((x - r.first).tolist())
+            frame["t"] = t
+            yield frame[[c.split()[0] for c in shape.split(", ")]]
 
-    Reweighted least squares; a step that no pair spans is 0."""
-    n = last - first
-    i, j = i - first, j - first
-    w, step = weight, np.zeros(n)
     for _ in range(rounds):
-        # entry (s, u), s <= u, of the normal matrix is the weight of the pairs with i <= s and j > u
-        pairs = np.zeros((n, n))
-        np.add.at(pairs, (i, j - 1), w)
-        upper = np.triu(np.cumsum(np.cumsum(pairs, axis=0)[:, ::-1], axis=1)[:, ::-1])
-        normal = upper + np.triu(upper, 1).T
-        change = np.bincount(i, w * shift, n + 1) - np.bincount(j, w * shift, n + 1)
-        step = np.linalg.solve(normal + np.eye(n) * (1e-12 * np.trace(normal) + 1e-300), np.cumsum(change)[:n])
-        t = np.concatenate([[0.0], np.cumsum(step)])
-        w = weight / np.maximum(np.abs(t[j] - t[i] - shift), 1e-4)
-    spanned = np.cumsum(np.bincount(i, minlength=n + 1) - np.bincount(j, minlength=n + 1))[:n] > 0
-    return np.where(spanned, step, 0.0)
-
-
-def solve_shifts(edges: DataFrame, weight: str | None = None, segment: int = SEGMENT) -> DataFrame:
+        small = state.mapInPandas(condense, f"stack_id {kind}, axis int, part bigint, parts bigint, width int, a array<double>, b array<double>")
+        found = small.groupBy("stack_id", "axis").applyInPandas(join, f"stack_id {kind}, axis int, part bigint, own array<double>, following array<double>, first double")
+        new = materialize(state.join(found, ["stack_id", "axis", "part"]).mapInPandas(expand, shape), "segments")
+        discard(state)
+        state = new
+    begin = F.col("part") * F.greatest(F.lit(segment), 2 * F.col("width"))
+    each = state.select("stack_id", "axis", begin.alias("begin"), F.posexplode(F.slice("t", F.lit(1), F.col("n"))).alias("k", "v"))
+    at = each.groupBy("stack_id", (F.col("begin") + F.col("k")).cast("int").alias("frame"))
+    return at.agg(F.max(F.when(F.col("axis") == 0, F.col("v"))).alias("ty"), F.max(F.when(F.col("axis") == 1, F.col("v"))).alias("tx"))
+
+
+def solve_shifts(edges: DataFrame, weight: str | None = None, segment: int = SEGMENT, rounds: int = ROUNDS) -> DataFrame:
     """edges(stack_id, i, j, dy, dx), i < j -> stack_id, frame, ty, tx: what moves a frame onto the first of its stack.
 
-    The steps between the frames of one stack are cut into segments of so many, so a long stack never meets in one task.
-    A segment is solved from all pairs that touch it or the steps within ``OVERLAP`` widths of the widest pair on both of
-    its sides, of which only its own steps are kept, and stands on the sum of the steps before it. Stacks of up to
-    ``segment`` frames are solved as a whole. Pairs with a null or without positive weight are dropped. There is a row for
-    every frame up to the last that a pair has; where no pair leads from one frame to the next, the step is 0."""
+    Stacks of fewer than two segments go through all rounds in one task, longer ones by a few jobs a round; both give the same
+    shifts. Pairs with a null or without positive weight are dropped. There is a row for every frame up to the last that a
+    pair has; where no pair leads from one frame to the next, the step is 0. A pair as wide as its stack makes one segment."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     used = edges.select("stack_id", "i", "j", F.col("dy").cast("double").alias("dy"), F.col("dx").cast("double").alias("dx"), w.alias("w"))
-    good = materialize(used.filter("i < j and w > 0 and dy is not null and dx is not null"), "pairs")  # read twice below
+    good = used.filter("i >= 0 and i < j and w > 0 and dy is not null and dx is not null")
     kind = edges.schema["stack_id"].dataType.simpleString()
-    stacks = good.groupBy("stack_id").agg(F.max("j").alias("last"), (F.max(F.col("j") - F.col("i")) * OVERLAP).alias("margin"))
-    from_part = F.greatest(F.expr(f"(i - margin) div {segment}"), F.lit(0))
-    to_part = F.least(F.expr(f"(j - 1 + margin) div {segment}"), F.expr(f"(last - 1) div {segment}"))
-    dealt = good.join(stacks, "stack_id").select("stack_id", "last", F.explode(F.sequence(from_part, to_part)).alias("part"), "i", "j", "dy", "dx", "w")
-    parts = stacks.select("stack_id", "last", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(last - 1) div {segment}"))).alias("part"))
-    none = F.lit(None)
-    dealt = dealt.unionByName(parts.select("stack_id", "last", "part", none.cast("int").alias("i"), none.cast("int").alias("j"), *(none.cast("double").alias(c) for c in ("dy", "dx", "w"))))
+    stacks = good.groupBy("stack_id").agg(F.max("j").alias("last"), F.max(F.col("j") - F.col("i")).cast("int").alias("width"), F.avg("w").alias("mean"))
+    good, stacks = materialize(good, "pairs"), materialize(stacks, "stacks")  # both are read several times
+    is_long = F.expr(f"last + 1 >= 2 * greatest({segment}, 2 * width)")
 
     def run(key: tuple, pairs: pd.DataFrame) -> pd.DataFrame:
-        part, last = int(key[1]), int(pairs["last"].iloc[0])
-        begin, end = part * segment, min((part + 1) * segment, last)
-        pairs = pairs[pairs["w"].notna()]
-        ty = tx = np.zeros(end - begin)
-        if len(pairs):
-            i, j = (pairs[c].to_numpy().astype(np.int64) for c in ("i", "j"))
-            order = np.lexsort((j, i))
-            first, final = min(begin, int(i.min())), max(end, int(j.max()))
-            ty, tx = (least_absolute(first, final, i[order], j[order], pairs[c].to_numpy()[order], pairs["w"].to_numpy()[order])[begin - first : end - first] for c in ("dy", "dx"))
-        own = np.arange(begin + (part > 0), end + 1)  # the first frame of a segment is the last of the one before
-        ty, tx = (np.append(0.0, np.cumsum(t))[part > 0 :] for t in (ty, tx))
-        return pd.DataFrame({"stack_id": [key[0]] * len(own), "part": part, "frame": own, "ty": ty, "tx": tx})
-
-    each = dealt.groupBy("stack_id", "part").applyInPandas(run, f"stack_id {kind}, part bigint, frame int, ty double, tx double")
-    handed = each.groupBy("stack_id", "part").agg(F.max(F.struct("frame", "ty", "tx")).alias("end"))
-    before = Window.partitionBy("stack_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = handed.select("stack_id", "part", *(F.coalesce(F.sum(f"end.{c}").over(before), F.lit(0.0)).alias(f"base_{c}") for c in ("ty", "tx")))
-    return each.join(bases, ["stack_id", "part"]).select("stack_id", "frame", (F.col("ty") + F.col("base_ty")).alias("ty"), (F.col("tx") + F.col("base_tx")).alias("tx"))
+        p = pairs.sort_values(["i", "j", "dy", "dx", "w"])
+        i, j = (p[c].to_numpy().astype(np.int64) for c in ("i", "j"))
+        n = int(j.max()) + 1
+        ty, tx = (whole(n, i, j, p[c].to_numpy(), p["w"].to_numpy(), rounds) for c in ("dy", "dx"))
+        return pd.DataFrame({"stack_id": [key[0]] * n, "frame": np.arange(n), "ty": ty, "tx": tx})
+
+    short = good.join(stacks.filter(~is_long).select("stack_id"), "stack_id").groupBy("stack_id").applyInPandas(run, f"stack_id {kind}, frame int, ty double, tx double")
+    longer = stacks.filter(is_long)
+    if not longer.limit(1).count():
+        return short
+    of_long = good.join(longer.select("stack_id"), "stack_id", "left_semi")
+    # a step that no pair spans gets a pair of its own, without a shift
+    spanned = of_long.select("stack_id", F.explode(F.sequence(F.col("i").cast("bigint"), F.col("j").cast("bigint") - 1)).alias("i")).distinct()
+    steps = longer.select("stack_id", "mean", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last").cast("bigint") - 1)).alias("i"))
+    loose = steps.join(spanned, ["stack_id", "i"], "left_anti").select("stack_id", "i", (F.col("i") + 1).alias("j"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx"), F.col("mean").alias("w"))
+    return short.unionByName(solve_long(of_long.unionByName(loose), longer, segment, rounds, kind))
 
 
 def pair_errors(edges: DataFrame, shifts: DataFrame) -> DataFrame:
@@ -82,3 +230,17 @@ def pair_errors(edges: DataFrame, shifts: DataFrame) -> DataFrame:
     both = edges.join(at("i"), ["stack_id", "i"]).join(at("j"), ["stack_id", "j"])
     error = F.hypot(F.col("ty_j") - F.col("ty_i") - F.col("dy"), F.col("tx_j") - F.col("tx_i") - F.col("dx"))
     return both.select(*edges.columns, error.alias("error"))
+
+
+def solve_rejecting(edges: DataFrame, weight: str | None = None, times: int = 2, factor: float = 3.0, floor: float = 0.5, **options) -> tuple[DataFrame, DataFrame]:
+    """Shifts, and the pairs kept with their errors: after each solve a stack's pairs whose error is beyond ``factor`` times the
+    root mean square of its errors, and beyond ``floor``, go, but for pairs of neighbours, without which a step might be left
+    with none."""
+    kept = edges
+    for left in range(times, -1, -1):
+        shifts = materialize(solve_shifts(kept, weight, **options), "shifts")
+        errors = pair_errors(kept, shifts)
+        if not left:
+            return shifts, errors
+        limits = errors.groupBy("stack_id").agg(F.greatest(F.sqrt(F.avg(F.col("error") ** 2)) * factor, F.lit(floor)).alias("__limit"))
+        kept = materialize(errors.join(limits, "stack_id").filter((F.col("error") <= F.col("__limit")) | (F.col("j") - F.col("i") == 1)).select(*edges.columns), "kept-pairs")

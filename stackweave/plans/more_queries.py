@@ -209,7 +209,7 @@ def ar17_transpose(t):
     return frames.transpose(pixels(t)).withColumn("v", r(C("v"), 5))
 
 
-TILES_SQL = FRAMES_SQL + """, o as (select ty, tx from (select unnest(range(2)) as ty), (select unnest(range(2)) as tx)),
+TILES_SQL = FRAMES_SQL + """, o as (select ty, tx from (select unnest(range(3)) as ty), (select unnest(range(3)) as tx)),
 q as (select stack_id, frame, cast(ty as integer) as tile_y, cast(tx as integer) as tile_x, cast(y - 2 * ty as integer) as y, cast(x - 2 * tx as integer) as x, v from p, o where y between 2 * ty and 2 * ty + 3 and x between 2 * tx and 2 * tx + 3)"""
 
 

@@ -122,8 +122,8 @@ def test_tiles_and_windows_match_numpy(spark):
     r = np.hypot(y, x)
     w = np.where(r <= 1, 0.5 * (1 + np.cos(np.pi * r)), 0)
     mean = np.zeros((8, 8))
-    for ty in range(2):
-        for tx in range(2):
+    for ty in range(3):
+        for tx in range(3):
             e, o = (np.fft.fft2(z[4 * ty : 4 * ty + 8, 4 * tx : 4 * tx + 8] * w) for z in images)
             mean += (e * o.conj()).real / (np.abs(e) * np.abs(o))
     mean = np.fft.fftshift(mean / mean[0, 0])
@@ -136,3 +136,21 @@ def test_tiles_and_windows_match_numpy(spark):
     for k, value in got.items():
         assert value == pytest.approx(v[k] / n[k], abs=1e-9)
     assert stats.step_histogram(spark.createDataFrame([("a", 1.0)], "g string, v double"), "v", 1.0, ["g"]).count() == 0
+
+
+def test_frames_are_numbered_whatever_ties(spark):
+    from stackweave.operators import frames
+
+    rows = [("a", 1, [1.0]), ("a", 1, [2.0]), ("a", 1, [2.0]), ("a", 2, [3.0]), ("b", 5, [4.0]), ("b", None, [5.0]), (None, 1, [6.0])]
+    got = frames.as_frames(spark.createDataFrame(rows, "s string, o int, px array<double>"), "s", "o", "px").collect()
+    assert sorted((r.stack_id, r.frame) for r in got) == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0)]
+    assert sorted(r.px[0] for r in got) == [1.0, 2.0, 2.0, 3.0, 4.0] and next(r.px for r in got if r.frame == 3) == [3.0]
+
+
+def test_tiles_reach_the_last_rows(spark):
+    from stackweave.operators import frames
+
+    pixels = spark.createDataFrame([("s", 0, y, x, float(y * 8 + x)) for y in range(8) for x in range(8)], "stack_id string, frame int, y int, x int, v double")
+    cut = frames.tiles(pixels, 4, 2, 8, 8).collect()
+    assert {(r.tile_y, r.tile_x) for r in cut} == {(a, b) for a in range(3) for b in range(3)} and len(cut) == 9 * 16
+    assert {r.v for r in cut} == {float(k) for k in range(64)}
