@@ -1,4 +1,4 @@
-"""Image stacks as a Spark data source: MRC, TIFF, DM3 and DM4 files by their extension, one row for each frame.
+"""Image stacks as a Spark data source: MRC, TIFF, DM3, DM4 and HDF5 files by their extension, one row for each frame.
 
 ``read_stacks`` gives the frames of all files under a path. The driver lists files; it reads the headers of
 those alone that are longer than ``rangeBytes``, and cuts these into ranges of frames. Shorter files share partitions.
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from . import hdf5
 from .mrc import HEADER, parse_header
 
 RANGE_BYTES = 64_000_000
@@ -256,7 +257,13 @@ def open_dm(f, length: int) -> Stack:
     return Stack(ny, nx, nz, ny * nx * dtype.itemsize, read, meta)
 
 
-FORMATS = {"mrc": open_mrc, "mrcs": open_mrc, "tif": open_tiff, "tiff": open_tiff, "dm3": open_dm, "dm4": open_dm}
+def open_hdf5(f, length: int) -> Stack:
+    images, meta = hdf5.open_images(f)
+    count, ny, nx = images.shape
+    return Stack(ny, nx, count, ny * nx * images.dtype.itemsize, images.frame, meta)
+
+
+FORMATS = {"h5": open_hdf5, "hdf5": open_hdf5, "mrc": open_mrc, "mrcs": open_mrc, "tif": open_tiff, "tiff": open_tiff, "dm3": open_dm, "dm4": open_dm}
 
 
 # --- the data source -----------------------------------------------------------------------------------------------

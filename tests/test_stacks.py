@@ -171,3 +171,94 @@ def test_a_sequence_counts_by_number(spark, tmp_path):
     got = stacks.as_sequence(stacks.read_stacks(spark, str(tmp_path))).collect()
     assert {r.stack_id.rsplit("/", 1)[-1] for r in got} == {"run.dm3"}
     assert {r.frame: r.px[0] for r in got} == {0: 1.0, 1: 2.0, 2: 10.0, 3: 33.0}
+
+
+def h5(nodes, chunk=None, packed=False, big=False):
+    """A file with the arrays of ``nodes`` under its root; 3-D ones in chunks if ``chunk`` is given, others contiguous."""
+    out = bytearray(96)
+
+    def put_at_end(raw):
+        out.extend(bytes(-len(out) % 8))
+        out.extend(raw)
+        return len(out) - len(raw)
+
+    def message(kind, body):
+        body += bytes(-len(body) % 8)
+        return struct.pack("<HHB3x", kind, len(body), 0) + body
+
+    def header(*found, cut=0):
+        """``cut`` messages lie in the header, the rest in a continued block."""
+        rest = b"".join(found[cut:]) if cut else b""
+        own = list(found[:cut] if cut else found)
+        if rest:
+            own.append(message(0x10, struct.pack("<QQ", put_at_end(rest), len(rest))))
+        body = b"".join(own)
+        return put_at_end(struct.pack("<BxHII4x", 1, len(found), 1, len(body)) + body)
+
+    def dataset(a):
+        order = ">" if big else "<"
+        raw = a.astype(a.dtype.newbyteorder(order))
+        code = {"f": 0x11, "i": 0x10, "u": 0x10}[a.dtype.kind]
+        kind = struct.pack("<BBBBI", code, big | (8 if a.dtype.kind == "i" else 0), 0, 0, a.dtype.itemsize) + bytes(12)
+        space = struct.pack(f"<BBB5x{a.ndim}Q", 1, a.ndim, 0, *a.shape)
+        found = [message(0x01, space), message(0x03, kind)]
+        if chunk and a.ndim == 3:
+            keys = []
+            for corner in np.ndindex(*(-(-s // c) for s, c in zip(a.shape, chunk))):
+                corner = [k * c for k, c in zip(corner, chunk)]
+                block = raw[tuple(slice(k, k + c) for k, c in zip(corner, chunk))]
+                block = np.pad(block, [(0, c - s) for c, s in zip(chunk, block.shape)]).astype(raw.dtype)
+                data = block.tobytes()
+                if packed:
+                    data = zlib.compress(np.frombuffer(data, np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes())
+                keys.append((struct.pack("<II4Q", len(data), 0, *corner, 0), put_at_end(data)))
+            end = struct.pack("<II4Q", 0, 0, *a.shape, 0)
+            node = lambda level, some: b"TREE" + struct.pack("<BBHQQ", 1, level, len(some), 2**64 - 1, 2**64 - 1) + b"".join(k + struct.pack("<Q", v) for k, v in some) + end
+            leaves = [keys[k : k + 3] for k in range(0, len(keys), 3)]  # several leaves below one root
+            root = put_at_end(node(1, [(some[0][0], put_at_end(node(0, some))) for some in leaves]))
+            found.append(message(0x08, struct.pack("<BBBQ4I", 3, 2, 4, root, *chunk, a.dtype.itemsize)))
+            if packed:
+                found.append(message(0x0B, struct.pack("<BB6x", 1, 2) + struct.pack("<HHHH8sII", 2, 8, 0, 1, b"shuffle", a.dtype.itemsize, 0) + struct.pack("<HHHH8sII", 1, 8, 0, 1, b"deflate", 6, 0)))
+        elif a.size < 4:
+            found.append(message(0x08, struct.pack("<BBH", 3, 0, raw.nbytes) + raw.tobytes()))
+        else:
+            found.append(message(0x08, struct.pack("<BBQQ", 3, 1, put_at_end(raw.tobytes()), raw.nbytes)))
+        return header(*found, cut=2)
+
+    names = bytearray(8)
+    entries = []
+    for name, a in sorted(nodes.items()):
+        entries.append(struct.pack("<QQII16x", len(names), dataset(np.asarray(a)), 0, 0))
+        names += name.encode() + bytes(8 - len(name) % 8)
+    heap = put_at_end(b"HEAP" + struct.pack("<B3xQQQ", 0, len(names), 2**64 - 1, put_at_end(bytes(names))))
+    leaf = put_at_end(b"SNOD" + struct.pack("<BBH", 1, 0, len(entries)) + b"".join(entries))
+    root = put_at_end(b"TREE" + struct.pack("<BBHQQ", 0, 0, 1, 2**64 - 1, 2**64 - 1) + struct.pack("<QQQ", 0, leaf, 8))
+    group = header(message(0x11, struct.pack("<QQ", root, heap)))
+    out[:96] = b"\x89HDF\r\n\x1a\n" + bytes([0, 0, 0, 0, 0, 8, 8, 0]) + struct.pack("<HHI4Q", 4, 16, 0, 0, 2**64 - 1, len(out), 2**64 - 1) + struct.pack("<QQII16x", 0, group, 0, 0)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("dtype", ["u1", "i2", "i4", "f4", "f8"])
+@pytest.mark.parametrize("big", [False, True])
+@pytest.mark.parametrize("chunk,packed", [(None, False), ((2, 3, 4), False), ((3, 5, 4), True), ((1, 7, 10), True)])
+def test_hdf5_arrays(dtype, big, chunk, packed, tmp_path):
+    want = np.random.default_rng(5).integers(0, 120, (5, 7, 10)).astype(dtype)
+    put(tmp_path / "a.h5", h5({"images": want, "pixelsize": np.array([0.25]), "C3": np.array([2.7], "f4"), "voltage": np.array(300.0)}, chunk, packed, big))
+    with open(tmp_path / "a.h5", "rb") as f:
+        s = stacks.open_hdf5(f, 0)
+        assert (s.ny, s.nx, s.count) == (7, 10, 5)
+        assert s.meta["pixelsize"] == 0.25 and abs(s.meta["c3"] - 2.7) < 1e-6 and s.meta["voltage"] == 300.0 and s.meta["detector_pixel"] is None
+        for k in (4, 0, 3, 1, 2):
+            assert (s.read(f, k).reshape(7, 10) == want[k]).all()
+
+
+def test_hdf5_of_other_contents(tmp_path):
+    flat = np.arange(70.0).reshape(7, 10)
+    put(tmp_path / "a.h5", h5({"images": flat}))
+    with open(tmp_path / "a.h5", "rb") as f:
+        s = stacks.open_hdf5(f, 0)
+        assert s.count == 1 and (s.read(f, 0) == flat.ravel()).all()
+    for raw, said in ((h5({"other": flat}), "no node /images"), (h5({"images": np.arange(9.0)}), "1 axes"), (b"\x89HDF" + bytes(60), "superblock")):
+        put(tmp_path / "b.h5", raw)
+        with open(tmp_path / "b.h5", "rb") as f, pytest.raises(ValueError, match=said):
+            stacks.open_hdf5(f, 0)
