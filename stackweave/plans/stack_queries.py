@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stackweave.operators import detector, fourier, frames, smooth, solve
+from stackweave.operators import detector, fourier, frames, global_fits, smooth, solve
 from stackweave.scratch import materialize, scratch_path
 from stackweave.sources import stacks
 from stackweave.streaming import stable
@@ -79,3 +79,17 @@ def st02_stable_runs(t):
     size = (F.floor(C("value") / 60) * 1000000).cast("long")
     seen = t("events").select(C("user_id").cast("string").alias("path"), F.date_trunc("hour", "ts").alias("mtime"), size.alias("size"), C("ts").alias("seen"))
     return stable.stable_runs(seen, 1200.0)
+
+
+@query("sp11_autologistic_weights")
+def sp11_autologistic_weights(t):
+    pairs = materialize(fourier.pair_shifts(frames.frame_pairs(stack(t), 5), NY, NX), "pair-shifts")
+    out = global_fits.weighted_pairs(pairs, "autologistic")
+    return out.select("stack_id", "i", "j", r(C("weight"), 3).alias("weight"))
+
+
+@query("sp10_norm_weights", f"""with {FRAMES_SQL}, e as (select a.stack_id, a.frame as i, b.frame as j, sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)) as corr from p a join p b on a.stack_id = b.stack_id and a.y = b.y and a.x = b.x and b.frame between a.frame + 1 and a.frame + 5 group by all)
+select stack_id, cast(i as integer) as i, cast(j as integer) as j, round((corr - min(corr) over w) / (max(corr) over w - min(corr) over w), 5) + 0.0 as weight from e window w as (partition by stack_id)""")
+def sp10_norm_weights(t):
+    pairs = frames.correlations(frames.frame_pairs(stack(t), 5))
+    return global_fits.weighted_pairs(pairs, "norm", "corr").select("stack_id", "i", "j", r(C("weight"), 5).alias("weight"))
