@@ -22,7 +22,7 @@ def io01_stack_files(t):
     for form in ("mrc", "tif"):
         stacks.write_stacks(own, f"{folder}/{form}", NY, NX, form).write.format("noop").mode("overwrite").save()
     got = stacks.read_stacks(spark, folder).filter("frame between 3 and 17")
-    each = got.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "frame", F.explode("px").cast("double").alias("v"))
+    each = got.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "frame", F.explode(C("px").cast("array<double>")).alias("v"))
     return each.groupBy("file", "frame").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), r(F.sum("v")).alias("total"))
 
 
