@@ -28,6 +28,7 @@ from . import hdf5
 from .mrc import HEADER, parse_header
 
 RANGE_BYTES = 64_000_000
+BATCH_PIXELS = 1 << 20  # that go on together, or one frame
 META = "path string, frame int, ny int, nx int, pixelsize double, voltage double, c3 double, detector_pixel double"
 PIXELS = "px array<float>"
 
@@ -359,16 +360,29 @@ class StackReader(DataSourceReader):
         schema = pa.schema([(n, t) for n, t in zip(META.replace(",", "").split()[::2], [pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.float64()] * 4])])
         if self.pixels:
             schema = schema.append(pa.field("px", pa.list_(pa.float32())))
+        rows: list[list] = []
+        pixels: list[np.ndarray] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types[:8])]
+            if self.pixels:
+                ends = np.cumsum([0, *map(len, pixels)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pixels))))
+            rows.clear()
+            pixels.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
         for path, length, first, end in partition.files:
             f, s = self.open(path, length)
             with f:
                 for k in self.wanted(first, s.count if end is None else end):
-                    row = [[path], [k], [s.ny], [s.nx], *([s.meta.get(n)] for n in ("pixelsize", "voltage", "c3", "detector_pixel"))]
-                    columns = [pa.array(v, t) for v, t in zip(row, schema.types)]
+                    rows.append([path, k, s.ny, s.nx, *(s.meta.get(n) for n in ("pixelsize", "voltage", "c3", "detector_pixel"))])
                     if self.pixels:
-                        px = s.read(f, k).astype(np.float32)
-                        columns.append(pa.ListArray.from_arrays(pa.array([0, len(px)], pa.int32()), pa.array(px)))
-                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                        pixels.append(s.read(f, k).astype(np.float32))
+                    if len(rows) * s.ny * s.nx * self.pixels >= BATCH_PIXELS or len(rows) >= 1024:
+                        yield batch()
+        if rows:
+            yield batch()
 
 
 class StackSource(DataSource):
