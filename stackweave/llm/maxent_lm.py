@@ -9,10 +9,11 @@ node with last word (an n-gram feature) and node with the word before the last (
 Counts cover every training text. The tree, the vocabulary and the table of hashed rows grow with the distinct tokens of
 the corpus, up to ``KNOWN`` words and ``MOST_ROWS`` rows, so what is broadcast stays bounded (8 MB of weights). Weights come
 from rounds of distributed gradient updates: a round's texts are one of ``ROUNDS`` disjoint parts of the training fold, so
-that all of it is used once; every task runs Adagrad steps from the round's weights over its texts, in sparse numpy
-batches, and passes on the rows that it changed; changes of a row are averaged in three levels, each task weighing as much
-as its squared gradients of that row. Small inputs go to few tasks, for which texts need no shuffle. Scoring broadcasts the
-weights and the known words; rarer words are looked up by a join.
+that all of it is used once; a round's texts are dealt to shards, as many as their tokens ask for, by a hash of id and text,
+and lie there in the order of that hash, so files, partitions and cores don't change what is learnt. Every shard
+runs Adagrad steps from the round's weights over its texts, in sparse numpy batches, and passes on the rows that it changed;
+changes of a row are averaged in three levels, each shard weighing as much as its squared gradients of that row. Scoring
+broadcasts the weights and the known words; rarer words are looked up by a join.
 
 Defined results: a null text is empty and has the end token alone; rows with a null doc_id train (their id text is empty);
 repeated rows come back once each; without training texts N = V = 0 and every token has the probability 1; an empty table
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +42,7 @@ LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 17  # of hashed features
 ROUNDS = 2
 STEP_TOKENS = 8192
 RATE, SHARE = 0.25, np.float32(0.3)
-TASK_TOKENS, LEAST_TASK_TOKENS = 8_000_000, 1_000_000  # that a task trains on in a round
+SHARD_TOKENS, LEAST_SHARD_TOKENS, FEW = 8_000_000, 1_000_000, 8  # that a shard trains on in a round; up to FEW shards are smaller
 PART_TOKENS = 400_000  # distinct tokens that a task holds before it passes its counts on
 BLOCK_ROWS = 4096  # rows of the table that are merged together
 NEVER = -1e4  # logit of a branch that leads nowhere
@@ -240,34 +242,32 @@ def in_parts(v: Vocabulary, ids: np.ndarray, starts: np.ndarray) -> Iterator[tup
 CHANGES = "part int, block int, rows binary, mass binary, change binary"
 
 
-def train_round(texts: DataFrame, vocabulary, weights: np.ndarray, tasks: int) -> np.ndarray:
-    """The weights after the steps of all tasks."""
+def train_round(texts: DataFrame, vocabulary, weights: np.ndarray) -> np.ndarray:
+    """The weights after the steps of all shards of texts(shard, place, text)."""
     start = texts.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        v, w, squares, seen = vocabulary.value, start.value.copy(), np.ones(len(start.value), dtype=np.float32), 0
-        texts_of = (b.column(0).to_pylist() for whole in batches for b in slices(whole, 256))
+    def run(shard: pa.Table) -> pa.Table:
+        v, w, squares = vocabulary.value, start.value.copy(), np.ones(len(start.value), dtype=np.float32)
+        ordered = shard.take(pc.sort_indices(shard, [("place", "ascending"), ("text", "ascending")])).column("text")
+        texts_of = (ordered.slice(k, 256).to_pylist() for k in range(0, len(ordered), 256))
         for ids, starts in stretches(texts_of, v, STEP_TOKENS):
             for _, branch, rows in in_parts(v, ids, starts):
                 learn(w, squares, rows, branch)
-            seen += len(ids)
-        if not seen:
-            return
         w -= start.value
-        mass = squares - 1
+        mass, part = squares - 1, shard.column("shard")[0].as_py() // 16
+        found = {n: [] for n in ("part", "block", "rows", "mass", "change")}
         for block in range(len(w) // BLOCK_ROWS):
             of = slice(block * BLOCK_ROWS, (block + 1) * BLOCK_ROWS)
             changed = np.flatnonzero(mass[of] > 0)
             if len(changed):
-                cols = [changed.astype(np.int32), mass[of][changed], w[of][changed]]
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // 16], pa.int32()), pa.array([block], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=["part", "block", "rows", "mass", "change"])
+                for n, value in zip(found, (part, block, changed.astype(np.int32).tobytes(), mass[of][changed].tobytes(), w[of][changed].tobytes())):
+                    found[n].append(value)
+        return pa.table([pa.array(c, t) for c, t in zip(found.values(), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=list(found))
 
     def merged(some: pd.DataFrame) -> pd.DataFrame:
         """Means of each row's changes, weighted by their squared gradients."""
         mass, change = np.zeros(BLOCK_ROWS, np.float64), np.zeros((BLOCK_ROWS, WIDTH), np.float64)
-        for r, m, c in zip(some["rows"], some["mass"], some["change"]):
+        for r, m, c in sorted(zip(some["rows"], some["mass"], some["change"]), key=lambda x: bytes(x[1])):
             at, m = np.frombuffer(r, np.int32), np.frombuffer(m, np.float32).astype(np.float64)
             mass[at] += m
             change[at] += m[:, None] * np.frombuffer(c, np.float32).reshape(-1, WIDTH)
@@ -275,8 +275,8 @@ def train_round(texts: DataFrame, vocabulary, weights: np.ndarray, tasks: int) -
         cols = [at.astype(np.int32), mass[at].astype(np.float32), (change[at] / mass[at, None]).astype(np.float32)]
         return pd.DataFrame({"part": [int(some["part"].iloc[0]) // 16], "block": [int(some["block"].iloc[0])], **{n: [c.tobytes()] for n, c in zip(("rows", "mass", "change"), cols)}})
 
-    changes = texts.coalesce(tasks).mapInArrow(run, CHANGES)
-    # tasks by sixteens, these by sixteens again, then the rest: no group is larger than the tasks' 256th part
+    changes = texts.groupBy("shard").applyInArrow(run, CHANGES)
+    # shards by sixteens, these by sixteens again, then the rest: no group is larger than the shards' 256th part
     for _ in range(2):
         changes = changes.groupBy("part", "block").applyInPandas(merged, CHANGES)
     last = changes.groupBy("block").applyInPandas(merged, CHANGES)
@@ -301,9 +301,11 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ro
     weights = vocabulary.start_weights()
     part = F.pmod(F.xxhash64(F.lit("round"), F.col(id_col)), F.lit(max(rounds, 1)))
     n = total / max(rounds, 1)
-    tasks = int(max(n // TASK_TOKENS, min(spark.sparkContext.defaultParallelism, n // LEAST_TASK_TOKENS))) + 1
+    shards = int(max(n // SHARD_TOKENS, min(FEW, n // LEAST_SHARD_TOKENS))) + 1
+    place = F.xxhash64(F.col(id_col), F.col(text_col))
+    dealt = training.select(F.pmod(F.xxhash64(place), F.lit(shards)).cast("int").alias("shard"), place.alias("place"), F.col(text_col).alias("text"), part.alias("round"))
     for k in range(rounds if total else 0):
-        weights = train_round(training.filter(part == k).select(text_col), words, weights, tasks)
+        weights = train_round(dealt.filter(F.col("round") == k).drop("round"), words, weights)
     return counts, vocabulary, weights
 
 

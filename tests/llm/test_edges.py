@@ -458,3 +458,9 @@ def test_tags_end_outside_quotes():
 
     found = [(name, attributes.strip(), closes) for _, _, name, attributes, closes in html_text.tags("<P class='a>b'>x</p><!-- <i> --><br/><a href=\"c>d\" e><q f='g>h>")]
     assert found == [("p", "class='a>b'", False), ("p", "", True), ("", "", False), ("br", "/", False), ("a", 'href="c>d" e', False), ("q", "f='g", False)]
+
+
+def test_scores_of_the_language_model_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    one, many = ({r.doc_id: (r.base_score, r.score) for r in maxent_lm.score_texts(d).collect()} for d in (docs.coalesce(1), docs.orderBy("text").repartition(8)))
+    assert one.keys() == many.keys() and all(np.allclose(one[k], many[k], rtol=1e-6) for k in one)
