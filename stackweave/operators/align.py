@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import frames as frames_of
-from .fourier import spectra
+from .blocks import ring_correlation, stack_sums, tiled_ring_correlation  # noqa: F401  (ring correlation and sums belong to alignment)
 
 #: Critical dose over spatial frequency q, V * (A * q**B + C): fixed values of the published dose weighting.
 DOSE_A, DOSE_B, DOSE_C = 0.24499, -1.6649, 2.8141
@@ -20,15 +19,6 @@ DOSE_A, DOSE_B, DOSE_C = 0.24499, -1.6649, 2.8141
 BEST_DOSE = 2.51284
 
 
-def stack_sums(frames: DataFrame) -> DataFrame:
-    """stack_id, total: the sum of a stack's frames, one array of a frame's size.
-
-    Pixels are summed by place before they meet, so what is gathered for a stack is as long as a frame."""
-    each = frames.select("stack_id", F.posexplode("px").alias("pos", "v"))
-    sums = each.groupBy("stack_id", "pos").agg(F.sum(F.col("v").cast("double")).alias("v"))
-    return sums.groupBy("stack_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("total"))
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -84,18 +74,6 @@ def masked_shifts(pairs: DataFrame, mask: np.ndarray, furthest: int) -> DataFram
     return pairs.select("stack_id", "i", "j", "px_i", "px_j").mapInArrow(run, f"stack_id {kind}, i int, j int, dy int, dx int, corr double")
 
 
-def ring_correlation(halves: DataFrame, ny: int, nx: int) -> DataFrame:
-    """Fourier ring correlation of halves(stack_id, half 0/1, px): a ring's sums over its frequencies, by rounded radius."""
-    z = spectra(halves.select("stack_id", "half", "px"), ny, nx)
-    bins = z.select("stack_id", "half", F.posexplode(F.arrays_zip("re", "im")).alias("pos", "z"))
-    both = bins.groupBy("stack_id", "pos").agg(*(F.max(F.when(F.col("half") == h, F.col(f"z.{p}"))).alias(f"{p}{h}") for h in (0, 1) for p in ("re", "im")))
-    folded = lambda k, n: F.least(k, n - k)
-    radius = F.round(F.hypot(folded(F.floor(F.col("pos") / nx), ny), folded(F.col("pos") % nx, nx))).cast("int")
-    power = lambda h: F.sum(F.col(f"re{h}") ** 2 + F.col(f"im{h}") ** 2)
-    shared = F.sum(F.col("re0") * F.col("re1") + F.col("im0") * F.col("im1"))
-    return both.groupBy("stack_id", radius.alias("k")).agg((shared / F.nullif(F.sqrt(power(0) * power(1)), F.lit(0.0))).alias("frc"))
-
-
 def accumulated_dose(frames: DataFrame, dose: str, missing: float = 0.0) -> DataFrame:
     """frames(stack_id, frame, dose) with the dose before and after each: the running sum, on top of what was missed before
     the first frame."""
@@ -128,44 +106,9 @@ def lattice_limit(gamma: Column, a: Column, b: Column) -> Column:
     return F.least(a * a, b * b) * F.sin(gamma) ** 2
 
 
-def tiled_ring_correlation(halves: DataFrame, box: int, step: int, ny: int, nx: int, margin: int = 0) -> DataFrame:
-    """Ring correlation of halves(stack_id, half 0/1, px) over tiles under a round window: at every frequency the mean over
-    tiles of how far the halves' phases agree, over its value at frequency 0, then its mean by radius around the centre.
-
-    Tiles are cut, windowed and transformed one by one: what meets of a stack is as long as a tile."""
-    return _rings(frames_of.tiles(_half_pixels(halves, nx), box, step, ny, nx, margin), box)
-
-
 def local_ring_correlation(halves: DataFrame, box: int, ny: int, nx: int) -> DataFrame:
-    """The same over the one tile at the centre of the image."""
-    top, left = ny // 2 - box // 2, nx // 2 - box // 2
-    at = _half_pixels(halves, nx).withColumns({"y": F.col("y") - top, "x": F.col("x") - left})
-    one = at.filter(F.col("y").between(0, box - 1) & F.col("x").between(0, box - 1))
-    return _rings(one.withColumns({"tile_y": F.lit(0), "tile_x": F.lit(0)}), box)
-
-
-def _half_pixels(halves: DataFrame, nx: int) -> DataFrame:
-    return frames_of.as_pixels(halves.select(F.struct("stack_id", "half").alias("stack_id"), F.lit(0).alias("frame"), "px"), nx)
-
-
-def _rings(cut: DataFrame, box: int) -> DataFrame:
-    weighted = cut.withColumn("v", F.col("v") * round_hann(F.col("y"), F.col("x"), box))
-    tiles = weighted.groupBy(F.col("stack_id.stack_id").alias("stack_id"), F.col("stack_id.half").alias("half"), "tile_y", "tile_x").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda s: s["v"]).alias("px"))
-    z = spectra(tiles, box, box)
-    side = lambda h: z.filter(F.col("half") == h).select("stack_id", "tile_y", "tile_x", F.col("re").alias(f"re{h}"), F.col("im").alias(f"im{h}"))
-    both = side(0).join(side(1), ["stack_id", "tile_y", "tile_x"]).select("stack_id", F.posexplode(F.arrays_zip("re0", "im0", "re1", "im1")).alias("pos", "z"))
-    f = lambda c: F.col(f"z.{c}")
-    agree = (f("re0") * f("re1") + f("im0") * f("im1")) / F.nullif(F.hypot(f("re0"), f("im0")) * F.hypot(f("re1"), f("im1")), F.lit(0.0))
-    mean = both.groupBy("stack_id", "pos").agg(F.avg(agree).alias("v"))
-    centre = mean.filter("pos = 0").select("stack_id", F.col("v").alias("dc"))
-    image = mean.join(centre, "stack_id").select("stack_id", F.lit(0).alias("frame"), F.expr(f"cast((pos div {box} + {box // 2}) % {box} as int)").alias("y"), F.expr(f"cast((pos % {box} + {box // 2}) % {box} as int)").alias("x"), (F.col("v") / F.nullif("dc", F.lit(0.0))).alias("v"))
-    return frames_of.radial_mean(image, box, box).select("stack_id", F.col("radius").alias("k"), F.col("mean").alias("frc"))
-
-
-def round_hann(y: Column, x: Column, box: int) -> Column:
-    """A cosine window from 1 at the centre to 0 at half the side and beyond."""
-    r = F.hypot((y - box // 2) / (box / 2), (x - box // 2) / (box / 2))
-    return F.when(r <= 1, 0.5 * (1 + F.cos(math.pi * r))).otherwise(0.0)
+    """``tiled_ring_correlation`` over the one tile at the centre of the image."""
+    return tiled_ring_correlation(halves, box, box, ny, nx, corner=(ny // 2 - box // 2, nx // 2 - box // 2))
 
 
 def dose_weight(frame: Column, q: Column, dose_per_frame: float, voltage_factor: float = 1.0) -> Column:

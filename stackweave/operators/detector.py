@@ -10,17 +10,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import stack_sums
 
-def outlier_weights(pixels: DataFrame, deviations: float, steepness: float) -> DataFrame:
-    """stack_id, bad: for each place a weight from 0 to 1, by a logistic curve on either side of the stack's mean.
 
-    Pixels are summed over frames first; what is gathered for a stack is as long as a frame."""
-    sums = pixels.groupBy("stack_id", "y", "x").agg(F.sum("v").alias("v"))
-    spread = sums.groupBy("stack_id").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
-    z = (F.col("v") - F.col("mean")) / F.nullif(F.col("sd"), F.lit(0.0))
-    bad = F.coalesce(1.0 / (1.0 + F.exp(-steepness * (F.abs(z) - deviations))), F.lit(0.0))
-    each = sums.join(spread, "stack_id").select("stack_id", F.struct("y", "x", bad.alias("bad")).alias("s"))
-    return each.groupBy("stack_id").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["bad"]).alias("bad"))
+def outlier_weights(frames: DataFrame, deviations: float, steepness: float) -> DataFrame:
+    """stack_id, bad: for each place a weight from 0 to 1, by a logistic curve on either side of the mean of the stack's sum;
+    0 everywhere where all places are alike. What a task holds of a stack is as long as a frame."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = []
+            for total in batch.column("total"):
+                v = total.values.to_numpy(zero_copy_only=False)
+                spread = v.std()
+                z = np.abs(v - v.mean()) / (spread if spread > 0 else 1.0)
+                bad.append(1.0 / (1.0 + np.exp(np.minimum(-steepness * (z - deviations), 700.0))) if spread > 0 else np.zeros(len(v)))
+            yield pa.RecordBatch.from_arrays([batch.column("stack_id"), pa.array(bad, pa.list_(pa.float64()))], names=["stack_id", "bad"])
+
+    return stack_sums(frames).mapInArrow(run, f"stack_id {frames.schema['stack_id'].dataType.simpleString()}, bad array<double>")
 
 
 def hot_pixels(frames: DataFrame, weights: DataFrame, ny: int, nx: int) -> DataFrame:

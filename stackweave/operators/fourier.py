@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import projections
+
 
 def _apply(frames: DataFrame, ny: int, nx: int, function, columns: str) -> DataFrame:
     """``function`` takes frames (n, ny, nx) and returns arrays (n, anything) by name."""
@@ -37,10 +39,9 @@ def spectra(frames: DataFrame, ny: int, nx: int) -> DataFrame:
 
 
 def incoherent_magnitude(frames: DataFrame, ny: int, nx: int) -> DataFrame:
-    """Mean magnitude over the frames of a stack, by frequency; the mean is a grouped aggregate of the JVM."""
-    modulus = F.zip_with("re", "im", lambda a, b: F.hypot(a, b))
-    each = spectra(frames, ny, nx).select("stack_id", F.posexplode(modulus).alias("pos", "m"))
-    return each.groupBy("stack_id", F.expr(f"pos div {nx}").cast("int").alias("ky"), (F.col("pos") % nx).alias("kx")).agg(F.avg("m").alias("magnitude"))
+    """Mean magnitude over the frames of a stack, by frequency; magnitudes are summed as arrays."""
+    each = _apply(frames, ny, nx, lambda px: {"m": np.abs(np.fft.fft2(px))}, "m array<double>").withColumnRenamed("m", "px")
+    return projections(each, nx).select("stack_id", F.col("y").alias("ky"), F.col("x").alias("kx"), F.col("mean").alias("magnitude"))
 
 
 def pair_shifts(pairs: DataFrame, ny: int, nx: int, sub: int = 1, low_pass: float = 0.0) -> DataFrame:

@@ -48,7 +48,7 @@ b as (select stack_id, y, x, 1 / (1 + exp(-8.0 * (abs((v - a) / d) - 2.0))) as b
 n as (select a.stack_id, a.frame, a.y, a.x, a.v, a.bad, sum(c.v * (1 - c.bad)) / sum(1 - c.bad) as near from q a join q c on a.stack_id = c.stack_id and a.frame = c.frame and abs(a.y - c.y) <= 1 and abs(a.x - c.x) <= 1 and (a.y <> c.y or a.x <> c.x) group by all)
 select stack_id, frame, y, x, round(v * (1 - bad) + bad * near, 5) + 0.0 as v from n""")
 def sp21_hot_pixels(t):
-    return long(detector.hot_pixels(stack(t), detector.outlier_weights(pixels(t), 2.0, 8.0), NY, NX))
+    return long(detector.hot_pixels(stack(t), detector.outlier_weights(stack(t), 2.0, 8.0), NY, NX))
 
 
 @query("sp27_gain_orientation", f"""with {FRAMES_SQL}, s as (select stack_id, y, x, sum(v) as v from p group by all), g as (select y, x, 1 + avg(abs(v)) as g from p group by all),

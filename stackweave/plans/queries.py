@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackweave.functions import numeric as num
-from stackweave.operators import fourier, frames, lookup, stats, trajectory
+from stackweave.operators import blocks, fourier, frames, lookup, stats, trajectory
 from stackweave.streaming import quiet
 
 NY = NX = 8
@@ -109,7 +109,7 @@ def ag02_prod_axis(t):
 @query("ag03_project_frames", f"""with {FRAMES_SQL} select stack_id, y, x, round(sum(v), 4) + 0.0 as total, round(max(v), 4) + 0.0 as most, round(var_pop(v), 4) + 0.0 as variance,
  round(sum(case when frame % 2 = 0 then v else 0 end), 4) + 0.0 as even, round(sum(case when frame % 2 = 1 then v else 0 end), 4) + 0.0 as odd from p group by all""")
 def ag03_project_frames(t):
-    return frames.project(pixels(t)).select("stack_id", "y", "x", *(r(C(c)).alias(c) for c in ("total", "most", "variance", "even", "odd")))
+    return blocks.projections(stack(t), NX).select("stack_id", "y", "x", *(r(C(c)).alias(c) for c in ("total", "most", "variance", "even", "odd")))
 
 
 @query("ag07_weighted", "select l_suppkey, round(sum(w * e) / sum(w), 4) as w_mean, round(sqrt(greatest(sum(w * e * e) / sum(w) - (sum(w * e) / sum(w)) ** 2, 0)), 4) as w_std from (select l_suppkey, l_quantity as e, greatest(l_discount, 1e-6) as w from lineitem) group by all")
@@ -155,7 +155,7 @@ def ag13_sigma(t):
 s as (select stack_id, frame, v, cast(floor(r) as bigint) as radius, 1 - (r - floor(r)) as w from q union all select stack_id, frame, v, cast(floor(r) as bigint) + 1, r - floor(r) from q)
 select stack_id, frame, radius, round(sum(v * w) / sum(w), 4) + 0.0 as mean from s where w > 0 group by all""")
 def ag14_radial(t):
-    return frames.radial_mean(pixels(t), NY, NX).withColumn("mean", r(C("mean")))
+    return blocks.radial_means(stack(t), NY, NX).withColumn("mean", r(C("mean")))
 
 
 @query("ag18_centroid", "select event_id, round(value - avg(value) over (partition by user_id), 7) + 0.0 as centred from events")

@@ -54,7 +54,7 @@ def test_hot_pixel_goes(spark):
     images[:, 3, 5] += 500
     frames = frames_of(spark, images)
     pixels = frames.select("stack_id", "frame", F.posexplode("px").alias("pos", "v")).select("stack_id", "frame", F.expr("pos div 8").alias("y"), (F.col("pos") % 8).alias("x"), "v")
-    out = np.array([r.px for r in detector.hot_pixels(frames, detector.outlier_weights(pixels, 4.0, 20.0), 8, 8).orderBy("frame").collect()]).reshape(4, 8, 8)
+    out = np.array([r.px for r in detector.hot_pixels(frames, detector.outlier_weights(frames, 4.0, 20.0), 8, 8).orderBy("frame").collect()]).reshape(4, 8, 8)
     assert out[:, 3, 5].max() < 25 and np.allclose(np.delete(out.reshape(4, -1), 29, 1), np.delete(images.reshape(4, -1), 29, 1))
 
 
