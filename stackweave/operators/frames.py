@@ -127,7 +127,12 @@ def ravel(edges: DataFrame, n: int) -> DataFrame:
     return edges.withColumn("pos", F.col("i").cast("bigint") * n + F.col("j"))
 
 
-def unravel(edges: DataFrame, n: int) -> DataFrame:
+def unravel(edges: DataFrame, n: int, ahead: bool = False) -> DataFrame:
+    """Back from ``pos`` to i and j below n. With ``ahead``, to pairs i < j that are at most n + 1 apart: those keep places
+    of their own in any number of frames, also beyond n."""
+    if ahead:
+        i, step = F.expr(f"(pos - 1) div {n + 1}"), F.expr(f"(pos - 1) % {n + 1} + 1")
+        return edges.withColumns({"i": i.cast("int"), "j": (i + step).cast("int")})
     return edges.withColumns({"i": F.expr(f"cast(pos div {n} as int)"), "j": (F.col("pos") % n).cast("int")})
 
 

@@ -172,7 +172,7 @@ def ar06_crop_limits(t):
 @query("ar09_ravel", f"with {PAIRS_SQL} select stack_id, cast(i as bigint) * 512 + j as pos, i, j from c")
 def ar09_ravel(t):
     edges = frames.ravel(frames.frame_pairs(stack(t), 5).select("stack_id", "i", "j"), 512)
-    return frames.unravel(edges.select("stack_id", "pos"), 512)
+    return frames.unravel(edges.select("stack_id", "pos"), 512, ahead=True)
 
 
 @query("ar12_nearest", f"""with {FRAMES_SQL}, g as (select *, cast(floor(least(greatest(y + 0.6, 0), 7)) as integer) as v_, cast(floor(least(greatest(x - 1.3, 0), 7)) as integer) as u_ from p)
