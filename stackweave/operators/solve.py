@@ -1,10 +1,11 @@
 """From the shifts of frame pairs to one shift a frame, and the errors of the pairs.
 
 The weighted sum of |t[j] - t[i] - shift| is made small by rounds of reweighted least squares. The normal equations of a
-stack are banded, as wide as its widest pair. Their frames are cut into segments; the first ``width`` frames of a segment
-separate it from the one before. A segment's task eliminates the frames between its separators and hands on a small system
-of the separators; those of a stack form a block-tridiagonal system, which is halved level by level (cyclic reduction); the
-way back gives the frames between. This is elimination in another order, so segments don't change the answer.
+stack are banded, as wide as its widest pair: blocks of ``width`` frames form a block-tridiagonal system, which is halved
+level by level (cyclic reduction), so a solve takes time linear in the frames. Frames of long stacks are cut into segments;
+the first block of a segment separates it from the one before. A segment's task eliminates the blocks between its separators
+and hands on a small system of the separators, which are solved alike; the way back gives the frames between. This is
+elimination in another order, so segments don't change the answer.
 """
 
 from __future__ import annotations
@@ -13,27 +14,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import discard, materialize
 
-SEGMENT = 256
+SEGMENT_PAIRS = 327_680  # frames times width of a segment
 ROUNDS = 40
 LEAST = 1e-4  # residuals below this weigh alike
 TIE = 1e-7  # of the mean weight: what holds frames together that are spanned by pairs but not joined by them
 
 
-def normal(n: int, i: np.ndarray, j: np.ndarray, shift: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Normal matrix and right side of pairs over n frames."""
-    a, b = np.zeros((n, n)), np.zeros(n)
-    np.add.at(a, (i, i), w)
-    np.add.at(a, (j, j), w)
-    np.add.at(a, (i, j), -w)
-    np.add.at(a, (j, i), -w)
-    np.add.at(b, j, w * shift)
-    np.add.at(b, i, -w * shift)
-    return a, b
+def normal(n: int, width: int, i: np.ndarray, j: np.ndarray, shift: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Normal equations of pairs at most ``width`` apart over n frames, by blocks of so many frames: the blocks on the
+    diagonal, those beside it, and the right side. What a last block has beyond n stays out of the sums."""
+    m = -(-n // width)
+    total = lambda at, v, size: np.bincount(at, v, size).astype(float)  # noqa: E731  (counts of nothing are integers)
+    block, own = np.divmod(i, width)
+    other = j - block * width  # from the begin of i's block: width and more lies in the next one
+    near = other < width
+    cell = (block * width + own) * width + other
+    upper = total(cell[near], -w[near], m * width * width).reshape(m, width, width)
+    d = upper + upper.transpose(0, 2, 1)
+    k = np.arange(width)
+    d[:, k, k] = total(np.concatenate([i, j]), np.concatenate([w, w]), m * width).reshape(m, width)
+    beside = total(cell[~near] - width, -w[~near], m * width * width).reshape(m, width, width)[: m - 1]
+    right = total(np.concatenate([j, i]), np.concatenate([w * shift, -w * shift]), m * width)
+    return d, beside, right.reshape(m, width)
 
 
 def tied(n: int, tie: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -46,164 +53,194 @@ def reweighted(weight: np.ndarray, t: np.ndarray, i: np.ndarray, j: np.ndarray,
     return weight / np.maximum(np.abs(t[j] - t[i] - shift), LEAST)
 
 
+def system(n: int, width: int, pairs: tuple[np.ndarray, ...], ties: int, mean: float, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Normal equations of pairs (i, j, shift, w) and of the ties of the first ``ties`` frames. The first frame of a stack
+    stays, and so does what a last block has beyond n."""
+    d, beside, right = (p + q for p, q in zip(normal(n, width, *pairs), normal(n, width, *tied(ties, TIE * mean))))
+    if first:
+        d[0, 0, 0] += mean
+    beyond = np.arange(n - (len(d) - 1) * width, width)
+    d[-1, beyond, beyond] = mean
+    return d, beside, right
+
+
 def whole(n: int, i: np.ndarray, j: np.ndarray, shift: np.ndarray, weight: np.ndarray, rounds: int) -> np.ndarray:
     """All rounds of a stack that is one segment."""
     mean = weight.mean()
     loose = np.flatnonzero(np.cumsum(np.bincount(i, minlength=n) - np.bincount(j, minlength=n))[: n - 1] == 0)  # steps that no pair spans: 0
     i, j, shift, weight = (np.concatenate(p) for p in ((i, loose), (j, loose + 1), (shift, np.zeros(len(loose))), (weight, np.full(len(loose), mean))))
+    width = int((j - i).max())
     w = weight
     for _ in range(rounds):
-        a, b = (p + q for p, q in zip(normal(n, i, j, shift, w), normal(n, *tied(n, TIE * mean))))
-        a[0, 0] += mean  # the first frame stays
-        t = np.linalg.solve(a, b)
+        t = separators(*system(n, width, (i, j, shift, w), n, mean, True)).ravel()[:n]
         t -= t[0]
         w = reweighted(weight, t, i, j, shift)
     return t
 
 
-def eliminate(a: np.ndarray, b: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What is left for the kept unknowns (a mask) when the others are solved for."""
-    inner = ~keep
-    if not inner.any():
+def separators(diagonal: np.ndarray, beside: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solves a block-tridiagonal symmetric system of m blocks by cyclic reduction: every other block goes, until one is left.
+    ``beside``[k] couples block k with block k + 1; ``right`` has a row or a matrix a block."""
+    d, right = np.asarray(diagonal, float), np.asarray(right, float)
+    if right.ndim == 2:
+        return separators(d, beside, right[:, :, None])[:, :, 0]
+    m, p = d.shape[:2]
+    if m == 1:
+        return np.linalg.solve(d, right)
+    e = np.asarray(beside, float).reshape(m - 1, p, p)
+    left = e[0::2]  # couples the block before with one that goes
+    onward = e[1::2]  # couples one that goes with the block after
+    has = len(onward)
+    sides = np.zeros((len(left), p, 2 * p + right.shape[2]))
+    sides[:, :, :p], sides[:has, :, p : 2 * p], sides[:, :, 2 * p :] = left.transpose(0, 2, 1), onward, right[1::2]
+    x = np.linalg.solve(d[1::2], sides)
+    even, r = d[0::2].copy(), right[0::2].copy()
+    before = left @ x
+    even[: len(left)] -= before[:, :, :p]
+    r[: len(left)] -= before[:, :, 2 * p :]
+    after = onward.transpose(0, 2, 1) @ x[:has, :, p:]
+    even[1:] -= after[:, :, :p]
+    r[1:] -= after[:, :, p:]
+    out = np.empty_like(right)
+    out[0::2] = kept = separators(even, -before[:has, :, p : 2 * p], r)
+    out[1::2] = x[:, :, 2 * p :] - x[:, :, :p] @ kept[: len(left)]
+    out[1::2][:has] -= x[:has, :, p : 2 * p] @ kept[1:]
+    return out
+
+
+def eliminate(d: np.ndarray, e: np.ndarray, right: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What is left for the first block and, but for the last segment, the last one when the blocks between are solved for."""
+    p, end = d.shape[1], len(d) if last else len(d) - 1
+    size = p if last else 2 * p
+    a, b = np.zeros((size, size)), np.zeros(size)
+    a[:p, :p], b[:p] = d[0], right[0]
+    if not last:
+        a[p:, p:], b[p:] = d[-1], right[-1]
+    if end == 1:  # nothing between
+        if not last:
+            a[:p, p:], a[p:, :p] = e[0], e[0].T
         return a, b
-    gone = np.linalg.solve(a[np.ix_(inner, inner)], np.column_stack([a[np.ix_(inner, keep)], b[inner]]))
-    cross = a[np.ix_(keep, inner)]
-    return a[np.ix_(keep, keep)] - cross @ gone[:, :-1], b[keep] - cross @ gone[:, -1]
+    sides = np.zeros((end - 1, p, size + 1))
+    sides[0, :, :p], sides[:, :, -1] = e[0].T, right[1:end]
+    if not last:
+        sides[-1, :, p:size] = e[-1]
+    gone = separators(d[1:end], e[1 : end - 1], sides)
+    a[:p] -= e[0] @ gone[0, :, :-1]
+    b[:p] -= e[0] @ gone[0, :, -1]
+    if not last:
+        a[p:] -= e[-1].T @ gone[-1, :, :-1]
+        b[p:] -= e[-1].T @ gone[-1, :, -1]
+    return a, b
 
 
-def separators(diagonal: list[np.ndarray], beside: list[np.ndarray], right: list[np.ndarray]) -> list[np.ndarray]:
-    """Solves a block-tridiagonal symmetric system by cyclic reduction: every other block goes, until one is left.
-    ``beside``[k] couples block k with block k + 1."""
-    m = len(diagonal)
-    if m == 1:
-        return [np.linalg.solve(diagonal[0], right[0])]
-    even = range(0, m, 2)
-    d, r, e = {k: diagonal[k].copy() for k in even}, {k: right[k].copy() for k in even}, []
-    gone = {}
-    for k in range(1, m, 2):
-        left, has = beside[k - 1], k + 1 < m  # left couples k - 1 with k
-        sides = [left.T, *([beside[k]] if has else []), right[k][:, None]]
-        x = np.linalg.solve(diagonal[k], np.hstack(sides))
-        gone[k] = x
-        p, w = left.shape[0], left.shape[0] + (beside[k].shape[1] if has else 0)
-        d[k - 1] -= left @ x[:, :p]
-        r[k - 1] -= left @ x[:, -1]
-        if has:
-            d[k + 1] -= beside[k].T @ x[:, p:w]
-            r[k + 1] -= beside[k].T @ x[:, -1]
-            e.append(-left @ x[:, p:w])
-    kept = separators([d[k] for k in even], e, [r[k] for k in even])
-    out: list[np.ndarray] = [None] * m
-    for k, v in zip(even, kept):
-        out[k] = v
-    for k, x in gone.items():
-        near = np.concatenate([out[k - 1], *([out[k + 1]] if k + 1 < m else [])])
-        out[k] = x[:, -1] - x[:, :-1] @ near
-    return out
+def segment_length(segment: int | None) -> Column:
+    """Frames of a segment: whole blocks of the column ``width``, two at least."""
+    usual = F.lit(segment) if segment else F.floor(F.lit(SEGMENT_PAIRS) / F.col("width"))
+    blocks = F.greatest(F.ceil(usual / F.col("width")), F.lit(2))
+    return (blocks * F.col("width")).cast("bigint")
 
 
-def solve_long(good: DataFrame, stacks: DataFrame, segment: int, rounds: int, kind: str) -> DataFrame:
+def solve_long(good: DataFrame, stacks: DataFrame, segment: int | None, rounds: int, kind: str) -> DataFrame:
     """The rounds of stacks of several segments. What moves between tasks in a round is the systems of the separators and
     their solution; ``state`` holds the pairs and the present shifts of a segment in one row."""
-    shape = f"stack_id {kind}, part bigint, parts bigint, width int, n int, mean double, i array<int>, j array<int>, shift array<double>, weight array<double>, t array<double>, axis int"
+    shape = f"stack_id {kind}, part bigint, parts bigint, begin bigint, width int, n int, mean double, i array<int>, j array<int>, shift array<double>, weight array<double>, t array<double>, axis int"
 
     def deal(key: tuple, pairs: pd.DataFrame) -> pd.DataFrame:
         part = int(key[1])
-        width, last, mean = int(pairs["width"].iloc[0]), int(pairs["last"].iloc[0]), float(pairs["mean"].iloc[0])
-        long_ = max(segment, 2 * width)
-        parts = max(1, (last + 1) // long_)  # the last one takes what is left over
-        begin, end = part * long_, last + 1 if part == parts - 1 else (part + 1) * long_
+        width, last, mean, long_, parts = (pairs[c].iloc[0] for c in ("width", "last", "mean", "long", "parts"))
+        begin = part * long_
+        end = last + 1 if part == parts - 1 else begin + long_
         p = pairs[pairs["i"].notna()].sort_values(["i", "j", "dy", "dx", "w"])
-        base = {"stack_id": key[0], "part": part, "parts": parts, "width": width, "n": end - begin, "mean": mean, "i": (p["i"] - begin).astype(int).tolist(), "j": (p["j"] - begin).astype(int).tolist(), "weight": p["w"].tolist(), "t": None}
-        return pd.DataFrame([{**base, "shift": p[c].tolist(), "axis": k} for k, c in enumerate(("dy", "dx"))])
+        ends = {c: (p[c] - begin).to_numpy(dtype=np.int32) for c in ("i", "j")}
+        base = {"stack_id": key[0], "part": part, "parts": parts, "begin": begin, "width": width, "n": end - begin, "mean": mean, **ends, "weight": p["w"].to_numpy(), "t": None}
+        return pd.DataFrame([{**base, "shift": p[c].to_numpy(), "axis": k} for k, c in enumerate(("dy", "dx"))])
 
-    long_ = F.greatest(F.lit(segment), 2 * F.col("width"))
-    parts = F.greatest(F.lit(1), F.expr(f"(last + 1) div greatest({segment}, 2 * width)"))
-    dealt = good.join(stacks, "stack_id").withColumn("part", F.least(F.floor(F.col("i") / long_), parts - 1))
-    every = stacks.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), (parts - 1).cast("bigint"))).alias("part"))
+    cut = stacks.withColumn("long", segment_length(segment)).withColumn("parts", F.greatest(F.lit(1), F.expr("(last + 1) div long")))  # the last one takes what is left over
+    dealt = good.join(cut, "stack_id").withColumn("part", F.least(F.floor(F.col("i") / F.col("long")), F.col("parts") - 1))
+    every = cut.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
     dealt = dealt.unionByName(every, allowMissingColumns=True)
     state = materialize(dealt.groupBy("stack_id", "part").applyInPandas(deal, shape), "segments")
 
-    def system(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A segment's matrix and right side over its own frames and the separator of the next, and which are separators."""
-        more = r.width if r.part < r.parts - 1 else 0
-        n = r.n + more
-        i, j, shift, weight = np.array(r.i, int), np.array(r.j, int), np.array(r.shift, float), np.array(r.weight, float)
-        w = weight if r.t is None else reweighted(weight, np.array(r.t), i, j, shift)
-        a, b = normal(n, i, j, shift, w)
+    def of_segment(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A segment's equations over its own frames and the separator of the next."""
+        n = int(r.n) + (int(r.width) if r.part < r.parts - 1 else 0)
+        i, j, shift, weight = np.asarray(r.i, int), np.asarray(r.j, int), np.asarray(r.shift, float), np.asarray(r.weight, float)
+        w = weight if r.t is None else reweighted(weight, np.asarray(r.t, float), i, j, shift)
         # ties of a segment reach the first frame of the next
-        tie_a, tie_b = normal(min(n, r.n + 1), *tied(min(n, r.n + 1), TIE * r.mean))
-        a[: len(tie_b), : len(tie_b)] += tie_a
-        if r.part == 0:
-            a[0, 0] += r.mean
-        keep = np.zeros(n, bool)
-        keep[: r.width] = keep[r.n :] = True
-        return a, b, keep
+        return system(n, int(r.width), (i, j, shift, w), min(n, int(r.n) + 1), r.mean, r.part == 0)
 
     def condense(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for r in frame.itertuples():
-                a, b = eliminate(*system(r))
-                rows.append((r.stack_id, r.axis, r.part, r.parts, r.width, a.ravel().tolist(), b.tolist()))
+                a, b = eliminate(*of_segment(r), r.part == r.parts - 1)
+                rows.append((r.stack_id, r.axis, r.part, r.parts, r.width, a.ravel(), b))
             yield pd.DataFrame(rows, columns=["stack_id", "axis", "part", "parts", "width", "a", "b"])
 
     def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """One row a segment: width * width numbers each."""
         rows = rows.sort_values("part")
         width, m = int(rows["width"].iloc[0]), len(rows)
-        d, e, right = [np.zeros((width, width)) for _ in range(m)], [], [np.zeros(width) for _ in range(m)]
+        d, e, right = np.zeros((m, width, width)), np.zeros((m - 1, width, width)), np.zeros((m, width))
         for k, r in enumerate(rows.itertuples()):
             a, b = np.array(r.a).reshape(len(r.b), -1), np.array(r.b)
             d[k] += a[:width, :width]
             right[k] += b[:width]
             if k + 1 < m:
-                e.append(a[:width, width:])
+                e[k] = a[:width, width:]
                 d[k + 1] += a[width:, width:]
                 right[k + 1] += b[width:]
         x = separators(d, e, right)
-        first = x[0][0]
-        return pd.DataFrame({"stack_id": [key[0]] * m, "axis": key[1], "part": rows["part"].to_numpy(), "own": [(v - first).tolist() for v in x], "following": [(v - first).tolist() for v in x[1:]] + [[]], "first": first})
+        first = x[0, 0]
+        return pd.DataFrame({"stack_id": [key[0]] * m, "axis": key[1], "part": rows["part"].to_numpy(), "own": list(x - first), "following": [*(x[1:] - first), np.zeros(0)], "first": first})
 
     def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            t = []
+            found = []
             for r in frame.itertuples():
-                a, b, keep = system(r)
-                known = np.concatenate([np.array(r.own), np.array(r.following)]) + r.first
-                x = np.zeros(len(b))
-                x[keep] = known
-                if not keep.all():
-                    x[~keep] = np.linalg.solve(a[np.ix_(~keep, ~keep)], b[~keep] - a[np.ix_(~keep, keep)] @ known)
-                t.append((x - r.first).tolist())
-            frame["t"] = t
+                d, e, right = of_segment(r)
+                last = r.part == r.parts - 1
+                end = len(d) if last else len(d) - 1
+                x = np.empty(right.shape)
+                x[0] = np.asarray(r.own) + r.first
+                if not last:
+                    x[-1] = np.asarray(r.following) + r.first
+                if end > 1:
+                    inner = right[1:end].copy()
+                    inner[0] -= e[0].T @ x[0]
+                    if not last:
+                        inner[-1] -= e[-1] @ x[-1]
+                    x[1:end] = separators(d[1:end], e[1 : end - 1], inner)
+                found.append(x.ravel()[: int(r.n) + (0 if last else int(r.width))] - r.first)
+            frame["t"] = pd.Series(found, dtype=object, index=frame.index)
             yield frame[[c.split()[0] for c in shape.split(", ")]]
 
     for _ in range(rounds):
         small = state.mapInPandas(condense, f"stack_id {kind}, axis int, part bigint, parts bigint, width int, a array<double>, b array<double>")
         found = small.groupBy("stack_id", "axis").applyInPandas(join, f"stack_id {kind}, axis int, part bigint, own array<double>, following array<double>, first double")
-        new = materialize(state.join(found, ["stack_id", "axis", "part"]).mapInPandas(expand, shape), "segments")
+        # merged, as segments and systems of all stacks would pass through the driver in every round when broadcast
+        new = materialize(state.hint("merge").join(found, ["stack_id", "axis", "part"]).mapInPandas(expand, shape), "segments")
         discard(state)
         state = new
-    begin = F.col("part") * F.greatest(F.lit(segment), 2 * F.col("width"))
-    each = state.select("stack_id", "axis", begin.alias("begin"), F.posexplode(F.slice("t", F.lit(1), F.col("n"))).alias("k", "v"))
+    each = state.select("stack_id", "axis", "begin", F.posexplode(F.slice("t", F.lit(1), F.col("n"))).alias("k", "v"))
     at = each.groupBy("stack_id", (F.col("begin") + F.col("k")).cast("int").alias("frame"))
     return at.agg(F.max(F.when(F.col("axis") == 0, F.col("v"))).alias("ty"), F.max(F.when(F.col("axis") == 1, F.col("v"))).alias("tx"))
 
 
-def solve_shifts(edges: DataFrame, weight: str | None = None, segment: int = SEGMENT, rounds: int = ROUNDS) -> DataFrame:
+def solve_shifts(edges: DataFrame, weight: str | None = None, segment: int | None = None, rounds: int = ROUNDS) -> DataFrame:
     """edges(stack_id, i, j, dy, dx), i < j -> stack_id, frame, ty, tx: what moves a frame onto the first of its stack.
 
-    Stacks of fewer than two segments go through all rounds in one task, longer ones by a few jobs a round; both give the same
-    shifts. Pairs with a null or without positive weight are dropped. There is a row for every frame up to the last that a
-    pair has; where no pair leads from one frame to the next, the step is 0. A pair as wide as its stack makes one segment."""
+    Stacks of fewer than two segments (with pairs up to 5 apart, 65,536 frames each) go through all rounds in one task, longer
+    ones by a few jobs a round; both give the same shifts. Pairs with a null or without positive weight are dropped. There is
+    a row for every frame up to the last that a pair has; where no pair leads from one frame to the next, the step is 0. A pair
+    as wide as its stack makes one segment."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     used = edges.select("stack_id", "i", "j", F.col("dy").cast("double").alias("dy"), F.col("dx").cast("double").alias("dx"), w.alias("w"))
-    good = used.filter("i >= 0 and i < j and w > 0 and dy is not null and dx is not null")
+    good = used.filter("stack_id is not null and i >= 0 and i < j and w > 0 and dy is not null and dx is not null")
     kind = edges.schema["stack_id"].dataType.simpleString()
-    stacks = good.groupBy("stack_id").agg(F.max("j").alias("last"), F.max(F.col("j") - F.col("i")).cast("int").alias("width"), F.avg("w").alias("mean"))
-    good, stacks = materialize(good, "pairs"), materialize(stacks, "stacks")  # both are read several times
-    is_long = F.expr(f"last + 1 >= 2 * greatest({segment}, 2 * width)")
+    good = materialize(good, "pairs")  # read several times
+    stacks = materialize(good.groupBy("stack_id").agg(F.max("j").alias("last"), F.max(F.col("j") - F.col("i")).cast("int").alias("width"), F.avg("w").alias("mean")), "stacks")
+    is_long = F.col("last") + 1 >= 2 * segment_length(segment)
 
     def run(key: tuple, pairs: pd.DataFrame) -> pd.DataFrame:
         p = pairs.sort_values(["i", "j", "dy", "dx", "w"])
@@ -212,9 +249,11 @@ def solve_shifts(edges: DataFrame, weight: str | None = None, segment: int = SEG
         ty, tx = (whole(n, i, j, p[c].to_numpy(), p["w"].to_numpy(), rounds) for c in ("dy", "dx"))
         return pd.DataFrame({"stack_id": [key[0]] * n, "frame": np.arange(n), "ty": ty, "tx": tx})
 
-    short = good.join(stacks.filter(~is_long).select("stack_id"), "stack_id").groupBy("stack_id").applyInPandas(run, f"stack_id {kind}, frame int, ty double, tx double")
     longer = stacks.filter(is_long)
-    if not longer.limit(1).count():
+    some_long = bool(longer.limit(1).count())
+    of_short = good.join(longer.select("stack_id"), "stack_id", "left_anti") if some_long else good
+    short = of_short.groupBy("stack_id").applyInPandas(run, f"stack_id {kind}, frame int, ty double, tx double")
+    if not some_long:
         return short
     of_long = good.join(longer.select("stack_id"), "stack_id", "left_semi")
     # a step that no pair spans gets a pair of its own, without a shift

@@ -1,6 +1,8 @@
 """Long stacks: places of pairs beyond the columns, solves, splines and curves of many frames."""
 
-from stackweave.operators import frames
+import numpy as np
+
+from stackweave.operators import frames, solve
 
 
 def test_pairs_of_stacks_longer_than_the_columns_come_back(spark):
@@ -12,3 +14,50 @@ def test_pairs_of_stacks_longer_than_the_columns_come_back(spark):
     assert all(r.pos == r.i * n + r.j for r in got)
     few = edges.filter(f"j < {n}")
     assert sorted(map(tuple, frames.unravel(frames.ravel(few, n), n).collect())) == sorted(map(tuple, frames.ravel(few, n).collect()))
+
+
+def dense_rounds(n, i, j, shift, weight, rounds):
+    """The solver's rounds on full matrices; every step is spanned by a pair."""
+    w, mean = weight, weight.mean()
+    for _ in range(rounds):
+        a, b = np.zeros((n, n)), np.zeros(n)
+        for p, q, s, v in (*zip(i, j, shift, w), *((k, k + 1, 0.0, solve.TIE * mean) for k in range(n - 1))):
+            a[[p, q], [p, q]] += v
+            a[[p, q], [q, p]] -= v
+            b[[q, p]] += [v * s, -v * s]
+        a[0, 0] += mean
+        t = np.linalg.solve(a, b)
+        t -= t[0]
+        w = solve.reweighted(weight, t, i, j, shift)
+    return t
+
+
+def test_blocks_of_frames_give_the_dense_solution():
+    rng = np.random.default_rng(1)
+    for n, width in ((2, 1), (5, 4), (47, 5), (120, 7)):
+        ends = np.array([(i, j) for i in range(n) for j in range(i + 1, min(i + width + 1, n)) if j == i + 1 or rng.random() < 0.8])
+        i, j = np.repeat(ends, 2, axis=0).T  # a pair may come twice
+        shift, weight = rng.normal(0, 5, len(i)), rng.uniform(0.5, 2, len(i))
+        assert np.allclose(solve.whole(n, i, j, shift, weight, 5), dense_rounds(n, i, j, shift, weight, 5), atol=1e-7)
+
+
+def test_a_long_stack_is_solved_in_linear_time_without_jobs_a_round(spark):
+    n, width = 20_000, 5
+    rng = np.random.default_rng(2)
+    t = np.cumsum(rng.integers(-3, 4, (n, 2)), axis=0)
+    t -= t[0]
+    i = np.repeat(np.arange(n), width)
+    j = i + np.tile(np.arange(1, width + 1), n)
+    i, j = i[j < n], j[j < n]
+    d = (t[j] - t[i]).astype(float)
+    wrong = (rng.random(len(i)) < 0.05) & (j - i > 1)
+    d[wrong] += 30
+    edges = spark.createDataFrame(list(zip(["s"] * len(i), i.tolist(), j.tolist(), d[:, 0].tolist(), d[:, 1].tolist())), "stack_id string, i int, j int, dy double, dx double")
+    spark.sparkContext.setJobGroup("long-stack", "")
+    got = solve.solve_shifts(edges).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("long-stack"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    found = np.zeros((n, 2))
+    for r in got:
+        found[r.frame] = r.ty, r.tx
+    assert len(got) == n and np.abs(found - t).max() < 0.05 and 0 < jobs < 20
