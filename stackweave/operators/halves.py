@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 from . import align, fourier, frames, solve
 
 
 def aligned_sum(part: DataFrame, ny: int, nx: int, width: int, sub: int = 1) -> DataFrame:
-    """stack_id, px: the sum of the frames of a stack, each moved onto its first by the shifts that its pairs agree on."""
+    """stack_id, px: the sum of the frames of a stack, each moved onto its first by the shifts that its pairs agree on. It is
+    written, a row a stack, as it is read more than once."""
     shifts = solve.solve_shifts(fourier.pair_shifts(frames.frame_pairs(part, width), ny, nx, sub), "peaksig")
     moved = fourier.phase_shift(part.join(shifts, ["stack_id", "frame"], "left"), ny, nx)
-    return align.stack_sums(moved).select("stack_id", F.col("total").alias("px"))
+    return materialize(align.stack_sums(moved).select("stack_id", F.col("total").alias("px")), "aligned-sums")
 
 
 def independent_halves(stacks: DataFrame, ny: int, nx: int, width: int, sub: int = 1) -> DataFrame:

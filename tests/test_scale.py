@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from stackweave.operators import frames, solve
+from stackweave.operators import frames, halves, solve
 
 
 def test_pairs_of_stacks_longer_than_the_columns_come_back(spark):
@@ -61,3 +61,16 @@ def test_a_long_stack_is_solved_in_linear_time_without_jobs_a_round(spark):
     for r in got:
         found[r.frame] = r.ty, r.tx
     assert len(got) == n and np.abs(found - t).max() < 0.05 and 0 < jobs < 20
+
+
+def test_halves_of_a_long_stack_take_few_jobs(spark):
+    rng = np.random.default_rng(3)
+    still = rng.normal(size=(8, 8))
+    rows = [("s", k, np.roll(still, (k // 2 % 3, 0), axis=(0, 1)).ravel().tolist()) for k in range(1100)]
+    df = spark.createDataFrame(rows, "stack_id string, frame int, px array<double>")
+    spark.sparkContext.setJobGroup("long-halves", "")
+    got = {r.half: np.array(r.px) for r in halves.independent_halves(df, 8, 8, 2).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("long-halves"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert set(got) == {0, 1} and np.allclose(got[0], got[1], atol=1e-6) and np.allclose(got[0], 550 * still.ravel(), atol=1)
+    assert 0 < jobs < 60
