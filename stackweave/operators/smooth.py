@@ -2,8 +2,8 @@
 
 The curve is the natural quintic spline that makes the sum of squared residuals plus a weight times the integral of its
 squared third derivative least. Its third derivative is a combination of quadratic B-splines on the places; that leaves
-normal equations with seven diagonals, which are factorised in time linear in the places. The weight is found by bisection,
-as the residual sum grows with it.
+normal equations with seven diagonals. They are solved as a block-tridiagonal system by cyclic reduction, on whole arrays in
+time linear in the places. The weight is found by bisection, as the residual sum grows with it.
 """
 
 from __future__ import annotations
@@ -12,62 +12,68 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .solve import separators
+
 #: Points and weights that integrate products of two quadratics exactly.
 GAUSS = np.polynomial.legendre.leggauss(3)
 SPAN = (-40.0, 60.0)  # of the logarithm of the weight
 HALVINGS = 80
 
 
-def quadratic_splines(x: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
-    """Values at points of the interval k of the quadratic B-splines of integral 1 that begin at x[k - 2], x[k - 1], x[k];
-    0 for those that don't lie within the places."""
+def quadratic_splines(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Values (3 x intervals x points) at points of each interval k, ``at``[k], of the quadratic B-splines of integral 1 that
+    begin at x[k - 2], x[k - 1], x[k]; 0 for those that don't lie within the places."""
     n = len(x)
-    out = np.zeros((3, len(at)))
-    for row, j in enumerate(range(k - 2, k + 1)):
-        if j < 0 or j + 3 >= n:
+    out = np.zeros((3, *at.shape))
+    for row in range(3):
+        begin = np.arange(n - 1) + row - 2
+        k = np.flatnonzero((begin >= 0) & (begin + 3 < n))
+        if not len(k):
             continue
-        basis = [np.where(np.full(len(at), m == k), 1.0 / (x[m + 1] - x[m]), 0.0) for m in range(j, j + 3)]
+        p = [x[begin[k] + m][:, None] for m in range(4)]
+        u = at[k]
+        basis = [np.where(2 - row == m, 1.0 / (p[m + 1] - p[m]), 0.0) for m in range(3)]
         for order in (2, 3):
-            basis = [order / (order - 1) * ((at - x[j + m]) * basis[m] + (x[j + m + order] - at) * basis[m + 1]) / (x[j + m + order] - x[j + m]) for m in range(4 - order)]
-        out[row] = basis[0]
+            basis = [order / (order - 1) * ((u - p[m]) * basis[m] + (p[m + order] - u) * basis[m + 1]) / (p[m + order] - p[m]) for m in range(4 - order)]
+        out[row, k] = basis[0]
     return out
 
 
 def diagonals(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The B-splines' products as upper diagonals (3 x m), those of the third divided differences (4 x m), and the
+    """The B-splines' products as upper diagonals (4 x m), those of the third divided differences (4 x m), and the
     differences' own factors (m x 4)."""
     n, m = len(x), len(x) - 3
-    gram = np.zeros((4, m))
-    for k in range(n - 1):
-        half = (x[k + 1] - x[k]) / 2
-        values = quadratic_splines(x, k, (x[k] + x[k + 1]) / 2 + half * GAUSS[0])
-        for a in range(3):
-            for b in range(a, 3):
-                i, j = k - 2 + a, k - 2 + b
-                if 0 <= i and j < m:
-                    gram[j - i, i] += half * (GAUSS[1] * values[a] * values[b]).sum()
-    factors = np.array([[1 / np.prod([x[j + a] - x[j + b] for b in range(4) if b != a]) for a in range(4)] for j in range(m)])
-    square = np.zeros((4, m))
-    for d in range(4):
-        for j in range(m - d):
-            square[d, j] = factors[j, d:] @ factors[j + d, : 4 - d]
+    half = np.diff(x)[:, None] / 2
+    values = quadratic_splines(x, (x[:-1] + x[1:])[:, None] / 2 + half * GAUSS[0])
+    gram, square = np.zeros((4, m)), np.zeros((4, m))
+    for a in range(3):
+        for b in range(a, 3):
+            part = (half * GAUSS[1] * values[a] * values[b]).sum(axis=1)
+            i = np.arange(n - 1) - 2 + a
+            held = (i >= 0) & (i + b - a < m)
+            gram[b - a, i[held]] += part[held]  # an interval each
+    factors = np.stack([1 / np.prod([x[a : a + m] - x[b : b + m] for b in range(4) if b != a], axis=0) for a in range(4)], axis=1)
+    for d in range(min(4, m)):
+        square[d, : m - d] = (factors[: m - d, d:] * factors[d:, : 4 - d]).sum(axis=1)
     return gram, square, factors
 
 
 def solve_banded(bands: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Solves a symmetric positive system of upper diagonals (4 x m) by its triangular factors."""
+    """Solves a symmetric positive system of upper diagonals (4 x m) by blocks of three."""
     m = bands.shape[1]
-    lower, d, x = np.zeros((m, 3)), np.zeros(m), right.astype(float).copy()
-    for j in range(m):
-        d[j] = bands[0, j] - sum(lower[j, k - 1] ** 2 * d[j - k] for k in range(1, min(3, j) + 1))
-        for i in range(1, min(3, m - 1 - j) + 1):
-            cross = sum(lower[j + i, i + k - 1] * lower[j, k - 1] * d[j - k] for k in range(1, min(3, j) + 1) if i + k <= 3)
-            lower[j + i, i - 1] = (bands[i, j] - cross) / d[j]
-        x[j] -= sum(lower[j, k - 1] * x[j - k] for k in range(1, min(3, j) + 1))
-    x /= d
-    for j in range(m - 1, -1, -1):
-        x[j] -= sum(lower[j + k, k - 1] * x[j + k] for k in range(1, min(3, m - 1 - j) + 1))
-    return x
+    blocks = -(-m // 3)
+    wide = np.zeros((4, 3 * blocks))
+    wide[0], wide[:, :m] = 1.0, bands  # unknowns beyond the last one stand apart
+    of = wide.reshape(4, blocks, 3)
+    d, e = np.zeros((blocks, 3, 3)), np.zeros((blocks, 3, 3))
+    for a in range(3):
+        for b in range(3):
+            d[:, a, b] = of[abs(b - a), :, min(a, b)]
+            if b <= a:
+                e[:, a, b] = of[3 + b - a, :, a]
+    padded = np.zeros(3 * blocks)
+    padded[:m] = right
+    return separators(d, e[:-1], padded.reshape(blocks, 3)).ravel()[:m]
 
 
 def smoothed(x: np.ndarray, y: np.ndarray, residual: float) -> np.ndarray:

@@ -1,8 +1,10 @@
 """Long stacks: places of pairs beyond the columns, solves, splines and curves of many frames."""
 
+import time
+
 import numpy as np
 
-from stackweave.operators import frames, halves, solve
+from stackweave.operators import frames, halves, smooth, solve
 
 
 def test_pairs_of_stacks_longer_than_the_columns_come_back(spark):
@@ -74,3 +76,18 @@ def test_halves_of_a_long_stack_take_few_jobs(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert set(got) == {0, 1} and np.allclose(got[0], got[1], atol=1e-6) and np.allclose(got[0], 550 * still.ravel(), atol=1)
     assert 0 < jobs < 60
+
+
+def test_banded_systems_equal_dense_ones_and_long_trajectories_take_seconds():
+    rng = np.random.default_rng(4)
+    for m in (1, 2, 3, 4, 7, 50):
+        low = np.tril(np.triu(rng.normal(size=(m, m)), -3)) + 4 * np.eye(m)
+        full, right = low @ low.T, rng.normal(size=m)
+        bands = np.array([np.pad(np.diag(full, d), (0, m - max(m - d, 0))) if d < m else np.zeros(m) for d in range(4)])
+        assert np.allclose(smooth.solve_banded(bands, right), np.linalg.solve(full, right))
+    x = np.arange(30_000.0)
+    y = np.sin(x / 300) + rng.normal(0, 0.1, len(x))
+    began = time.time()
+    got = smooth.smoothed(x, y, 250.0)
+    assert time.time() - began < 30 and np.isclose(((y - got) ** 2).sum(), 250.0, rtol=1e-6)
+    assert np.abs(got - np.sin(x / 300))[100:-100].mean() < np.abs(y - np.sin(x / 300)).mean() / 2
