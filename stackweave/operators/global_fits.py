@@ -1,8 +1,8 @@
 """Bounded fits of short curves by absolute errors from many starts, and what rests on them: weights of pairs from the
 distribution of their significance, cut-offs of hot and dead pixels from the distribution of a stack's sum.
 
-Curves are histograms' running shares, so they are as long as a histogram. Every start of every group is a group of one job;
-the best of a group's starts is kept.
+Curves are histograms' running shares, so they are as long as a histogram. The starts of every group are dealt to a few
+tasks, each of which holds one curve at a time, as two arrays; the best of a group's starts is kept.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +21,7 @@ from pyspark.sql.window import Window
 Curve = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 STEPS = 200
+HANDS = 16  # tasks that a curve's starts are dealt to, each with a copy of the curve
 erf = np.vectorize(math.erf, otypes=[float])
 
 
@@ -38,7 +40,8 @@ def descend(curve: Curve, x: np.ndarray, y: np.ndarray, start: np.ndarray, low:
     their inverse size, with slopes by differences."""
     width = np.where(high > low, high - low, 1.0)
     p = np.clip(start, low, high)
-    error = y - curve(x, p)
+    value = curve(x, p)
+    error = y - value
     cost, damping = np.abs(error).sum(), 1e-2
     for _ in range(STEPS):
         slopes = np.empty((len(x), len(p)))
@@ -46,15 +49,16 @@ def descend(curve: Curve, x: np.ndarray, y: np.ndarray, start: np.ndarray, low:
             h = 1e-6 * width[k] * (1 if p[k] + 1e-6 * width[k] <= high[k] else -1)
             moved = p.copy()
             moved[k] += h
-            slopes[:, k] = (curve(x, moved) - curve(x, p)) / h * width[k]
+            slopes[:, k] = (curve(x, moved) - value) / h * width[k]
         w = 1.0 / np.maximum(np.abs(error), 1e-6)
         normal = slopes.T @ (slopes * w[:, None])
         step = np.linalg.lstsq(normal + damping * np.diag(np.diag(normal) + 1e-12), slopes.T @ (w * error), rcond=None)[0]
         tried = np.clip(p + step * width, low, high)
-        new = y - curve(x, tried)
+        there = curve(x, tried)
+        new = y - there
         if np.abs(new).sum() < cost * (1 - 1e-12):
             gain = cost - np.abs(new).sum()
-            p, error, cost, damping = tried, new, np.abs(new).sum(), max(damping / 5, 1e-9)
+            p, value, error, cost, damping = tried, there, new, np.abs(new).sum(), max(damping / 5, 1e-9)
             if gain < 1e-10 * max(cost, 1e-12):
                 break
         else:
@@ -71,20 +75,23 @@ def multi_start(curves: DataFrame, curve: Curve, bounds: DataFrame, starts: int)
     points = curves.groupBy("stack_id").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("points"))  # a histogram's length
     ready = points.join(bounds, "stack_id")
     sizes = F.expr(f"cast(pow({starts}, size(low)) as int)")
-    each = ready.select("*", F.explode(F.sequence(F.lit(0), sizes - 1)).alias("start")).repartition("stack_id", "start")
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for stack, points_, low, high, start in zip(*(batch[c] for c in ("stack_id", "points", "low", "high", "start"))):
-                x, y = (np.array([q[c] for q in points_], dtype=float) for c in ("x", "y"))
-                low, high = np.array(low, dtype=float), np.array(high, dtype=float)
-                place = np.array([start // starts**k % starts for k in range(len(low))])
-                p, cost = descend(curve, x, y, low + (high - low) * (place + 0.5) / starts, low, high)
-                rows.append((stack, start, p.tolist(), cost))
-            yield pd.DataFrame(rows, columns=["stack_id", "start", "p", "cost"])
-
-    fits = each.mapInPandas(run, f"stack_id {kind}, start int, p array<double>, cost double")
+    hand = F.explode(F.sequence(F.lit(0), F.least(sizes, F.lit(HANDS)) - 1))
+    each = ready.select("stack_id", F.col("points.x").alias("x"), F.col("points.y").alias("y"), "low", "high", sizes.alias("sizes"), hand.alias("hand"))
+
+    def run(table: pa.Table) -> pa.Table:
+        """The starts of a hand on one curve."""
+        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+        x, y, low, high = (flat(c) for c in ("x", "y", "low", "high"))
+        found = []
+        for start in range(table.column("hand")[0].as_py(), table.column("sizes")[0].as_py(), HANDS):
+            place = np.array([start // starts**k % starts for k in range(len(low))])
+            found.append((start, *descend(curve, x, y, low + (high - low) * (place + 0.5) / starts, low, high)))
+        key = table.column("stack_id").take(pa.array([0] * len(found)))
+        return pa.table({"stack_id": key, "start": pa.array([f[0] for f in found], pa.int32()), "p": pa.array([f[1].tolist() for f in found], pa.list_(pa.float64())), "cost": pa.array([f[2] for f in found], pa.float64())})
+
+    # a number of partitions that is given isn't lowered: the curves are small, the fits take long
+    dealt = each.repartition(int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions")), "stack_id", "hand")
+    fits = dealt.groupBy("stack_id", "hand").applyInArrow(run, f"stack_id {kind}, start int, p array<double>, cost double")
     best = fits.groupBy("stack_id").agg(F.min(F.struct("cost", "start", "p")).alias("b"), F.count("*").cast("int").alias("starts"))
     return best.select("stack_id", F.col("b.p").alias("p"), F.col("b.cost").alias("cost"), "starts")
 

@@ -4,7 +4,7 @@ import time
 
 import numpy as np
 
-from stackweave.operators import frames, halves, smooth, solve
+from stackweave.operators import frames, global_fits, halves, smooth, solve
 
 
 def test_pairs_of_stacks_longer_than_the_columns_come_back(spark):
@@ -91,3 +91,18 @@ def test_banded_systems_equal_dense_ones_and_long_trajectories_take_seconds():
     got = smooth.smoothed(x, y, 250.0)
     assert time.time() - began < 30 and np.isclose(((y - got) ** 2).sum(), 250.0, rtol=1e-6)
     assert np.abs(got - np.sin(x / 300))[100:-100].mean() < np.abs(y - np.sin(x / 300)).mean() / 2
+
+
+def lean_line(x, p):
+    with open("/proc/self/statm") as f:
+        held = int(f.read().split()[1]) * 4096
+    if held > 500e6:
+        raise MemoryError(f"{held} bytes for one line")
+    return p[0] + p[1] * x
+
+
+def test_long_curves_are_held_one_at_a_time_as_arrays(spark):
+    curves = spark.range(600_000).selectExpr("'s' as stack_id", "id / 6e5 as x", "1 + 2 * (id / 6e5) as y")
+    bounds = spark.createDataFrame([("s", [0.0, 0.0], [3.0, 3.0])], "stack_id string, low array<double>, high array<double>")
+    got = global_fits.multi_start(curves, lean_line, bounds, 3).collect()
+    assert [r.starts for r in got] == [9] and np.allclose(got[0].p, [1, 2], atol=1e-3)
