@@ -106,3 +106,14 @@ def test_long_curves_are_held_one_at_a_time_as_arrays(spark):
     bounds = spark.createDataFrame([("s", [0.0, 0.0], [3.0, 3.0])], "stack_id string, low array<double>, high array<double>")
     got = global_fits.multi_start(curves, lean_line, bounds, 3).collect()
     assert [r.starts for r in got] == [9] and np.allclose(got[0].p, [1, 2], atol=1e-3)
+
+
+def test_rejection_in_a_long_stack_takes_few_jobs(spark):
+    n, wrong = 1300, {(100, 103), (700, 704), (1200, 1202)}
+    rows = [("s", i, j, float(j - i) + 30 * ((i, j) in wrong), 0.0) for i in range(n) for j in range(i + 1, min(i + 6, n))]
+    edges = spark.createDataFrame(rows, "stack_id string, i int, j int, dy double, dx double")
+    spark.sparkContext.setJobGroup("long-rejection", "")
+    kept = solve.solve_rejecting(edges, times=1, factor=1.5)[1].collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("long-rejection"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {(r.i, r.j) for r in kept} == {r[1:3] for r in rows} - wrong and 0 < jobs < 60
