@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .blocks import ring_correlation, stack_sums, tiled_ring_correlation  # noqa: F401  (ring correlation and sums belong to alignment)
+from .blocks import images, ring_correlation, stack_sums, tiled_ring_correlation  # noqa: F401  (ring correlation and sums belong to alignment)
 
 #: Critical dose over spatial frequency q, V * (A * q**B + C): fixed values of the published dose weighting.
 DOSE_A, DOSE_B, DOSE_C = 0.24499, -1.6649, 2.8141
@@ -58,7 +58,7 @@ def masked_shifts(pairs: DataFrame, mask: np.ndarray, furthest: int) -> DataFram
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                a, b = (np.array(batch.column(c).to_pylist(), dtype=np.float64).reshape(-1, ny, nx) * mask for c in ("px_i", "px_j"))
+                a, b = (images(batch.column(c), ny, nx) * mask for c in ("px_i", "px_j"))
                 fa, fb, fa2, fb2 = (np.fft.rfft2(z, size) for z in (a, b, a * a, b * b))
                 sa, sb = back(fa * np.conj(m)), back(m * np.conj(fb))
                 va = back(fa2 * np.conj(m)) - sa * sa / overlap

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import stack_sums
+from .blocks import images, stack_sums
 
 
 def outlier_weights(frames: DataFrame, deviations: float, steepness: float) -> DataFrame:
@@ -43,7 +43,7 @@ def hot_pixels(frames: DataFrame, weights: DataFrame, ny: int, nx: int) -> DataF
         for batch in batches:
             if not batch.num_rows:
                 continue
-            px, bad = (np.array(batch.column(c).to_pylist(), dtype=np.float64).reshape(-1, ny, nx) for c in ("px", "bad"))
+            px, bad = (images(batch.column(c), ny, nx) for c in ("px", "bad"))
             light, among = around(px * (1.0 - bad)), around(1.0 - bad)
             mended = px * (1.0 - bad) + bad * np.where(among > 0, light / np.where(among > 0, among, 1.0), px)
             yield pa.RecordBatch.from_arrays([batch.column("stack_id"), batch.column("frame"), pa.array(list(mended.reshape(len(px), -1)), pa.list_(pa.float64()))], names=["stack_id", "frame", "px"])

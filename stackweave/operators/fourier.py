@@ -9,7 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import projections
+from .blocks import images, projections
+
+
+def slices(batch: pa.RecordBatch, ny: int, nx: int) -> Iterator[pa.RecordBatch]:
+    """What is transformed at once: 64 rows, or more of small frames."""
+    step = max(64, 16_384 // (ny * nx))
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
 
 
 def _apply(frames: DataFrame, ny: int, nx: int, function, columns: str) -> DataFrame:
@@ -19,7 +26,7 @@ def _apply(frames: DataFrame, ny: int, nx: int, function, columns: str) -> DataF
         for batch in batches:
             if not batch.num_rows:
                 continue
-            px = np.array(batch.column(batch.num_columns - 1).to_pylist(), dtype=np.float64).reshape(-1, ny, nx)
+            px = images(batch.column(batch.num_columns - 1), ny, nx)
             made = function(px)
             cols = [pa.array(list(v.reshape(len(px), -1)), pa.list_(pa.float64())) for v in made.values()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*batch.schema.names[:-1], *made])
@@ -68,9 +75,8 @@ def pair_shifts(pairs: DataFrame, ny: int, nx: int, sub: int = 1, low_pass: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 64):
-                batch = whole.slice(start, 64)
-                a, b = (np.array(batch.column(k).to_pylist(), dtype=np.float64).reshape(-1, ny, nx) for k in ("px_i", "px_j"))
+            for batch in slices(whole, ny, nx):
+                a, b = (images(batch.column(k), ny, nx) for k in ("px_i", "px_j"))
                 a, b = (z - z.mean(axis=(1, 2), keepdims=True) for z in (a, b))
                 square = np.fft.ifft2(np.fft.fft2(a) * np.conj(np.fft.fft2(b)) * smooth).real
                 c = square.reshape(len(a), -1)
@@ -122,9 +128,8 @@ def sharpest_shifts(pairs: DataFrame, ny: int, nx: int, most: float = 7.0, toler
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, 64):
-                batch = whole.slice(first, 64)
-                a, b = (np.array(batch.column(k).to_pylist(), dtype=np.float64).reshape(-1, ny, nx) for k in ("px_i", "px_j"))
+            for batch in slices(whole, ny, nx):
+                a, b = (images(batch.column(k), ny, nx) for k in ("px_i", "px_j"))
                 a, b = (z - z.mean(axis=(1, 2), keepdims=True) for z in (a, b))
                 spectrum = np.fft.fft2(a) * np.conj(np.fft.fft2(b))
                 sigma = best_low_pass(spectrum, k2, most, tolerance, start)
@@ -150,9 +155,8 @@ def followed_shifts(pairs: DataFrame, ny: int, nx: int, furthest: float) -> Data
 
     def correlate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, 64):
-                batch = whole.slice(first, 64)
-                a, b = (np.array(batch.column(k).to_pylist(), dtype=np.float64).reshape(-1, ny, nx) for k in ("px_i", "px_j"))
+            for batch in slices(whole, ny, nx):
+                a, b = (images(batch.column(k), ny, nx) for k in ("px_i", "px_j"))
                 a, b = (z - z.mean(axis=(1, 2), keepdims=True) for z in (a, b))
                 c = np.fft.ifft2(np.fft.fft2(a) * np.conj(np.fft.fft2(b))).real.reshape(len(a), -1)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("stack_id", "i", "j")), pa.array(list(c), pa.list_(pa.float64()))], names=["stack_id", "i", "j", "c"])
@@ -260,7 +264,7 @@ def _moved(frames: DataFrame, ny: int, nx: int, move) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            px = np.array(batch.column("px").to_pylist(), dtype=np.float64).reshape(-1, ny, nx)
+            px = images(batch.column("px"), ny, nx)
             ty, tx = (batch.column(c).to_numpy(zero_copy_only=False)[:, None, None] for c in ("ty", "tx"))
             made = pa.array(list(move(px, ty, tx).reshape(len(px), -1)), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("stack_id"), batch.column("frame"), made], names=["stack_id", "frame", "px"])

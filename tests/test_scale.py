@@ -3,8 +3,10 @@
 import time
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from stackweave.operators import frames, global_fits, halves, smooth, solve
+from stackweave.operators import blocks, fourier, frames, global_fits, halves, smooth, solve
 
 
 def test_pairs_of_stacks_longer_than_the_columns_come_back(spark):
@@ -117,3 +119,35 @@ def test_rejection_in_a_long_stack_takes_few_jobs(spark):
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("long-rejection"))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert {(r.i, r.j) for r in kept} == {r[1:3] for r in rows} - wrong and 0 < jobs < 60
+
+
+def test_shifts_of_many_small_pairs_take_little_more_than_their_transforms(spark):
+    n = 200_000
+    px = lambda end, salt: f"transform(sequence(0, 63), k -> cast(hash(id, k, {salt}) % 1000 as float)) as px_{end}"
+    pairs = spark.range(0, n, 1, 8).selectExpr("'s' as stack_id", "cast(id as int) as i", "cast(id as int) + 1 as j", px("i", 1), px("j", 2)).cache()
+    fourier.pair_shifts(pairs, 8, 8).write.format("noop").mode("overwrite").save()  # fills the cache, starts the workers
+    few = pairs.limit(1000).collect()
+    a, b = (np.array([r[c] for r in few]).reshape(-1, 8, 8) for c in ("px_i", "px_j"))
+    a, b = (z - z.mean(axis=(1, 2), keepdims=True) for z in (a, b))
+    began = time.time()
+    for _ in range(n // 1000):
+        c = np.fft.ifft2(np.fft.fft2(a) * np.conj(np.fft.fft2(b))).real.reshape(1000, -1)
+    plain, began = time.time() - began, time.time()
+    found = fourier.pair_shifts(pairs, 8, 8)
+    found.write.format("noop").mode("overwrite").save()
+    took = time.time() - began
+    got = {r.i: (r.dy, r.dx) for r in found.filter(f"i in ({', '.join(str(r.i) for r in few)})").collect()}
+    pairs.unpersist()
+    best = c.argmax(axis=1)
+    want = np.column_stack([(best // 8 + 4) % 8 - 4, (best % 8 + 4) % 8 - 4])
+    assert [got[r.i] for r in few] == [tuple(w) for w in want.tolist()]
+    assert took < 3 * plain, (took, plain)
+
+
+def test_images_keep_null_pixels_and_refuse_other_lengths():
+    lists = pa.array([[9.0] * 4, [1.0, None, 3.0, 4.0], [5.0, 6.0, 7.0, 8.0], [9.0] * 4], pa.list_(pa.float32())).slice(1, 2)
+    got = blocks.images(lists, 2, 2)
+    assert got.dtype == np.float64 and np.array_equal(got, [[[1, np.nan], [3, 4]], [[5, 6], [7, 8]]], equal_nan=True)
+    for odd in ([[1.0] * 4, None], [[1.0] * 3, [1.0] * 5]):
+        with pytest.raises(ValueError):
+            blocks.images(pa.array(odd, pa.list_(pa.float64())), 2, 2)
