@@ -141,41 +141,35 @@ def segment_length(segment: int | None) -> Column:
 
 
 def solve_long(good: DataFrame, stacks: DataFrame, segment: int | None, rounds: int, kind: str) -> DataFrame:
-    """The rounds of stacks of several segments. What moves between tasks in a round is the systems of the separators and
-    their solution; ``state`` holds the pairs and the present shifts of a segment in one row."""
-    shape = f"stack_id {kind}, part bigint, parts bigint, begin bigint, width int, n int, mean double, i array<int>, j array<int>, shift array<double>, weight array<double>, t array<double>, axis int"
+    """The rounds of stacks of several segments. ``state`` has a row a segment and axis: its pairs and present shifts, packed,
+    and what is left of its equations for its separators. A round reads and writes each segment once, where it lies; what moves
+    is the systems of the separators and, broadcast, their solution: 2 * width + 1 numbers a segment."""
+    shape = f"stack_id {kind}, axis int, part bigint, parts bigint, begin bigint, width int, n int, mean double, i binary, j binary, shift binary, weight binary, t binary, a array<double>, b array<double>"
+    columns = [c.split()[0] for c in shape.split(", ")]
+
+    def of_segment(r: dict, t: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A segment's equations, by its shifts t, over its own frames and the separator of the next."""
+        n = r["n"] + (r["width"] if r["part"] < r["parts"] - 1 else 0)
+        i, j = (np.frombuffer(r[c], "<i4").astype(np.int64) for c in ("i", "j"))
+        shift, weight = (np.frombuffer(r[c], "<f8") for c in ("shift", "weight"))
+        w = weight if t is None else reweighted(weight, t, i, j, shift)
+        # ties of a segment reach the first frame of the next
+        return system(n, r["width"], (i, j, shift, w), min(n, r["n"] + 1), r["mean"], r["part"] == 0)
+
+    def row(r: dict, t: np.ndarray | None, more: bool) -> pd.DataFrame:
+        a, b = eliminate(*of_segment(r, t), r["part"] == r["parts"] - 1) if more else (np.zeros(0), np.zeros(0))
+        held = {**r, "t": None if t is None else t.astype("<f8").tobytes(), "a": a.ravel(), "b": b}
+        return pd.DataFrame({c: [held[c]] for c in columns})
 
     def deal(key: tuple, pairs: pd.DataFrame) -> pd.DataFrame:
         part = int(key[1])
-        width, last, mean, long_, parts = (pairs[c].iloc[0] for c in ("width", "last", "mean", "long", "parts"))
+        width, last, mean, long_, parts = (pairs[c].iloc[0].item() for c in ("width", "last", "mean", "long", "parts"))
         begin = part * long_
         end = last + 1 if part == parts - 1 else begin + long_
         p = pairs[pairs["i"].notna()].sort_values(["i", "j", "dy", "dx", "w"])
-        ends = {c: (p[c] - begin).to_numpy(dtype=np.int32) for c in ("i", "j")}
-        base = {"stack_id": key[0], "part": part, "parts": parts, "begin": begin, "width": width, "n": end - begin, "mean": mean, **ends, "weight": p["w"].to_numpy(), "t": None}
-        return pd.DataFrame([{**base, "shift": p[c].to_numpy(), "axis": k} for k, c in enumerate(("dy", "dx"))])
-
-    cut = stacks.withColumn("long", segment_length(segment)).withColumn("parts", F.greatest(F.lit(1), F.expr("(last + 1) div long")))  # the last one takes what is left over
-    dealt = good.join(cut, "stack_id").withColumn("part", F.least(F.floor(F.col("i") / F.col("long")), F.col("parts") - 1))
-    every = cut.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
-    dealt = dealt.unionByName(every, allowMissingColumns=True)
-    state = materialize(dealt.groupBy("stack_id", "part").applyInPandas(deal, shape), "segments")
-
-    def of_segment(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A segment's equations over its own frames and the separator of the next."""
-        n = int(r.n) + (int(r.width) if r.part < r.parts - 1 else 0)
-        i, j, shift, weight = np.asarray(r.i, int), np.asarray(r.j, int), np.asarray(r.shift, float), np.asarray(r.weight, float)
-        w = weight if r.t is None else reweighted(weight, np.asarray(r.t, float), i, j, shift)
-        # ties of a segment reach the first frame of the next
-        return system(n, int(r.width), (i, j, shift, w), min(n, int(r.n) + 1), r.mean, r.part == 0)
-
-    def condense(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples():
-                a, b = eliminate(*of_segment(r), r.part == r.parts - 1)
-                rows.append((r.stack_id, r.axis, r.part, r.parts, r.width, a.ravel(), b))
-            yield pd.DataFrame(rows, columns=["stack_id", "axis", "part", "parts", "width", "a", "b"])
+        packed = {c: (p[c] - begin).to_numpy(dtype="<i4").tobytes() for c in ("i", "j")} | {"weight": p["w"].to_numpy(dtype="<f8").tobytes()}
+        base = {"stack_id": key[0], "part": part, "parts": parts, "begin": begin, "width": width, "n": end - begin, "mean": mean, **packed}
+        return pd.concat([row({**base, "shift": p[c].to_numpy(dtype="<f8").tobytes(), "axis": k}, None, True) for k, c in enumerate(("dy", "dx"))])
 
     def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """One row a segment: width * width numbers each."""
@@ -194,37 +188,47 @@ def solve_long(good: DataFrame, stacks: DataFrame, segment: int | None, rounds:
         first = x[0, 0]
         return pd.DataFrame({"stack_id": [key[0]] * m, "axis": key[1], "part": rows["part"].to_numpy(), "own": list(x - first), "following": [*(x[1:] - first), np.zeros(0)], "first": first})
 
-    def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def advance(more: bool):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for r in frame.to_dict("records"):
+                    d, e, right = of_segment(r, None if r["t"] is None else np.frombuffer(r["t"], "<f8"))
+                    last = r["part"] == r["parts"] - 1
+                    end = len(d) if last else len(d) - 1
+                    x = np.empty(right.shape)
+                    x[0] = r["own"] + r["first"]
+                    if not last:
+                        x[-1] = r["following"] + r["first"]
+                    if end > 1:
+                        inner = right[1:end].copy()
+                        inner[0] -= e[0].T @ x[0]
+                        if not last:
+                            inner[-1] -= e[-1] @ x[-1]
+                        x[1:end] = separators(d[1:end], e[1 : end - 1], inner)
+                    yield row(r, x.ravel()[: r["n"] + (0 if last else r["width"])] - r["first"], more)
+
+        return run
+
+    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = []
             for r in frame.itertuples():
-                d, e, right = of_segment(r)
-                last = r.part == r.parts - 1
-                end = len(d) if last else len(d) - 1
-                x = np.empty(right.shape)
-                x[0] = np.asarray(r.own) + r.first
-                if not last:
-                    x[-1] = np.asarray(r.following) + r.first
-                if end > 1:
-                    inner = right[1:end].copy()
-                    inner[0] -= e[0].T @ x[0]
-                    if not last:
-                        inner[-1] -= e[-1] @ x[-1]
-                    x[1:end] = separators(d[1:end], e[1 : end - 1], inner)
-                found.append(x.ravel()[: int(r.n) + (0 if last else int(r.width))] - r.first)
-            frame["t"] = pd.Series(found, dtype=object, index=frame.index)
-            yield frame[[c.split()[0] for c in shape.split(", ")]]
+                yield pd.DataFrame({"stack_id": [r.stack_id] * r.n, "axis": r.axis, "frame": r.begin + np.arange(r.n), "v": np.frombuffer(r.t, "<f8")[: r.n]})
 
-    for _ in range(rounds):
-        small = state.mapInPandas(condense, f"stack_id {kind}, axis int, part bigint, parts bigint, width int, a array<double>, b array<double>")
+    cut = stacks.withColumn("long", segment_length(segment)).withColumn("parts", F.greatest(F.lit(1), F.expr("(last + 1) div long")))  # the last one takes what is left over
+    dealt = good.join(cut, "stack_id").withColumn("part", F.least(F.floor(F.col("i") / F.col("long")), F.col("parts") - 1))
+    every = cut.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    dealt = dealt.unionByName(every, allowMissingColumns=True)
+    # a file a segment, so that a round's tasks can share them out evenly
+    state = materialize(dealt.groupBy("stack_id", "part").applyInPandas(deal, shape), "segments", maxRecordsPerFile=1)
+    for k in range(rounds):
+        small = state.select("stack_id", "axis", "part", "width", "a", "b")
         found = small.groupBy("stack_id", "axis").applyInPandas(join, f"stack_id {kind}, axis int, part bigint, own array<double>, following array<double>, first double")
-        # merged, as segments and systems of all stacks would pass through the driver in every round when broadcast
-        new = materialize(state.hint("merge").join(found, ["stack_id", "axis", "part"]).mapInPandas(expand, shape), "segments")
+        moved = state.join(F.broadcast(found), ["stack_id", "axis", "part"]).mapInPandas(advance(k + 1 < rounds), shape)
+        new = materialize(moved, "segments", maxRecordsPerFile=1)
         discard(state)
         state = new
-    each = state.select("stack_id", "axis", "begin", F.posexplode(F.slice("t", F.lit(1), F.col("n"))).alias("k", "v"))
-    at = each.groupBy("stack_id", (F.col("begin") + F.col("k")).cast("int").alias("frame"))
-    return at.agg(F.max(F.when(F.col("axis") == 0, F.col("v"))).alias("ty"), F.max(F.when(F.col("axis") == 1, F.col("v"))).alias("tx"))
+    each = state.select("stack_id", "axis", "begin", "n", "t").mapInPandas(unpack, f"stack_id {kind}, axis int, frame int, v double")
+    return each.groupBy("stack_id", "frame").agg(F.max(F.when(F.col("axis") == 0, F.col("v"))).alias("ty"), F.max(F.when(F.col("axis") == 1, F.col("v"))).alias("tx"))
 
 
 def solve_shifts(edges: DataFrame, weight: str | None = None, segment: int | None = None, rounds: int = ROUNDS) -> DataFrame:
