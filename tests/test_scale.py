@@ -151,3 +151,24 @@ def test_images_keep_null_pixels_and_refuse_other_lengths():
     for odd in ([[1.0] * 4, None], [[1.0] * 3, [1.0] * 5]):
         with pytest.raises(ValueError):
             blocks.images(pa.array(odd, pa.list_(pa.float64())), 2, 2)
+
+
+def test_a_round_of_a_stack_of_segments_takes_few_jobs(spark):
+    n = 400
+    rows = [("s", i, j, float(j - i), 0.0) for i in range(n) for j in range(i + 1, min(i + 4, n))]
+    edges = spark.createDataFrame(rows, "stack_id string, i int, j int, dy double, dx double").cache()
+    edges.count()
+
+    def stages(rounds):
+        group = f"segments-{rounds}"
+        spark.sparkContext.setJobGroup(group, "")
+        got = solve.solve_shifts(edges, segment=60, rounds=rounds).collect()
+        tracker = spark.sparkContext.statusTracker()
+        found = sum(len(tracker.getJobInfo(k).stageIds) for k in tracker.getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(got) == n and all(abs(r.ty - r.frame) < 0.01 and abs(r.tx) < 0.01 for r in got)
+        return found
+
+    few, many = stages(3), stages(7)
+    edges.unpersist()
+    assert 0 < (many - few) / 4 < 7, (few, many)
